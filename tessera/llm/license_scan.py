@@ -45,7 +45,7 @@ TEMPLATES = [
 def words(text: Column) -> Column:
     """A-Z lower-cased, runs outside [\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. The Kelvin sign must not become an ASCII k."""
     kept = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\ufffd")))
-    return F.regexp_extract_all(kept, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
+    return F.regexp_extract_all(kept, F.lit("[a-z0-9\\x{80}-\\x{10FFFF}]++"), F.lit(0))
 
 
 def _template_grams(spark, base, templates) -> DataFrame:
