@@ -30,3 +30,38 @@ def fold(id_col: str, modulus: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, name: str, words: int = 1 << 16) -> DataFrame:
+    """df with a boolean column `name`: false only where `key` is surely not among `keys`.
+
+    A bitmap of words * 64 bits is broadcast (at most `words` rows of 16 bytes, whatever the size of keys).
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
+    bits = (
+        keys.select(slot(keys_key).alias("__slot")).groupBy(F.expr("__slot div 64").alias("__word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(__slot % 64 as int)))").alias("__bits"))
+    )
+    return (
+        df.withColumn("__slot", slot(key)).withColumn("__word", F.expr("__slot div 64")).join(F.broadcast(bits), "__word", "left")
+        .withColumn(name, F.expr("coalesce(shiftrightunsigned(__bits, cast(__slot % 64 as int)) & 1L, 0L) = 1L"))
+        .drop("__word", "__bits", "__slot")
+    )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(u long, v long) -> (node, label): the smallest node of each connected component.
+
+    Minimum labels move along edges, then each label is replaced by its own label, until nothing changes.
+    """
+    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    while True:
+        near = both.join(labels, both["u"] == labels["node"]).groupBy(F.col("v").alias("n")).agg(F.min("label").alias("m"))
+        step = labels.join(near, labels["node"] == near["n"], "left").select(
+            "node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("new"))
+        jump = labels.select(F.col("node").alias("j"), F.col("label").alias("to"))
+        step = cut(step.join(jump, step["new"] == jump["j"], "left").select("node", "old", F.least("new", F.coalesce("to", "new")).alias("label")))
+        labels = step.select("node", "label")
+        if not step.where("old <> label").limit(1).count():
+            return labels
