@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+import unicodedata
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -27,34 +28,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_CHARS = 300_000, 64
+CACHE, CACHED_CHARS = 400_000, 64
 CUTS = re.compile("[^ \t-\r]+")  # the tokenizer drops white space and never joins across it
+OTHER_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split(), not to the tokenizer
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
 
 
 class Tokenizer:
-    """Token ids of a text; each run of non-space is encoded once and kept in a bounded cache."""
+    """Token ids of texts; each run of non-space is encoded once and kept in a bounded cache of two generations.
+
+    A word's merges are made by tiktoken's byte-pair core, which is much faster than the tokenizer's own: the mark of a
+    word's end becomes the byte 0xFF, which UTF-8 never has. This needs ids in the order of merges and the usual
+    normalisation and pattern of such files; for any other file the tokenizers library encodes each run.
+    """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer as Load
 
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.load = Load.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.core = None
+        spec = json.loads(self.load.to_str())
+        vocab, merges = spec["model"]["vocab"], spec["model"].get("merges", [])
+        pre = json.dumps(spec.get("pre_tokenizer"))
+        if (spec["model"].get("end_of_word_suffix") == "</w>" and json.dumps(WORDS.replace("\\p{L}+", "[\\p{L}]+").replace("|\\p{N}|", "|[\\p{N}]|")) in pre
+                and [n["type"] for n in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+                and all(vocab.get("".join(m if isinstance(m, list) else m.split(" "))) == 512 + i for i, m in enumerate(merges))):
+            import tiktoken
+
+            from tessera.llm.byte_bpe import byte_characters
+
+            byte = {c: bytes([b]) for b, c in enumerate(byte_characters())}
+            ranks = {}
+            for piece, i in vocab.items():
+                end = piece.endswith("</w>")
+                body = piece[:-4] if end else piece
+                if i < 512 + len(merges):
+                    ranks[b"".join(byte[c] for c in body) + b"\xff" * end] = i
+            self.numbers = list(range(max(ranks.values()) + 1))  # shared int objects
+            self.core = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
+            self.words = regex.compile(WORDS)
+            self.special = [t["content"] for t in spec["added_tokens"]]
+
+    def _encode(self, run: str) -> tuple[int, ...]:
+        if (ids := self.old.get(run)) is None:
+            if self.core is None or "<|" in run and any(s in run for s in self.special):
+                ids = tuple(self.load.encode(run, add_special_tokens=False).ids)
+            else:
+                low = run if run.isascii() else unicodedata.normalize("NFC", run)
+                low = low.lower() if "\u03a3" not in low else "".join(c.lower() for c in low)
+                piece, number = self.core.encode_single_piece, self.numbers
+                parts = [low] if low.isalpha() else self.words.findall(low)
+                ids = tuple([number[i] for w in parts for i in piece(w.encode() + b"\xff")])
+        if len(run) <= CACHED_CHARS:
+            if len(self.young) >= CACHE:
+                self.young, self.old = {}, self.young
+            self.young[run] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [CUTS.findall(t) for t in texts]
-        cache = self.cache
-        new = list(set(itertools.chain.from_iterable(cuts)) - cache.keys())
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(set(itertools.chain.from_iterable(cuts)))
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            for c, e in zip(part, self.load.encode_batch(part, add_special_tokens=False), strict=True):
-                cache[c] = tuple(e.ids)
-        get = cache.__getitem__
-        out = [np.fromiter(itertools.chain.from_iterable(map(get, c)), np.uint32) for c in cuts]
-        for c in [c for c in new if len(c) > CACHED_CHARS]:
-            del cache[c]
+        out = []
+        for t in texts:
+            runs = CUTS.findall(t) if any(c in t for c in OTHER_SEPARATORS) else t.split()
+            get, make = self.young.get, self._encode
+            out.append(np.fromiter(itertools.chain.from_iterable([get(r) or make(r) for r in runs]), np.uint32))
         return out
 
 
