@@ -5,7 +5,7 @@ sentencepiece's best-scoring merge is the lowest-ranked merge. Normalisation is
 pre-tokens with the given pattern, each pre-token is encoded separately, and decoding maps ids back to bytes.
 
 Texts are cut before every run of white space first; no match of the pattern runs from a non-space into white space, so
-each cut can be encoded by itself, and a cache of short cuts (bounded by `CACHE` entries, then emptied) saves work.
+each cut can be encoded by itself, and a cache of short cuts (two generations of at most `CACHE` entries) saves work.
 
 Defined results: null text counts as empty; an empty text has no ids; very long texts are encoded whole. Repeated rows
 each get a row; null ids are kept; other columns are not read; an empty table gives an empty result.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_CHARS = 300_000, 64
+CACHE, CACHED_CHARS = 400_000, 64
 # White space as the pattern language's \s has it (the Unicode property White_Space).
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CUTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -90,20 +90,32 @@ class Codec:
         self.pre = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.table = {b: c for b, c in enumerate(byte_characters())}
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _encode_cut(self, cut: str) -> tuple[int, ...]:
-        mapped = [x.encode().decode("latin-1").translate(self.table) for x in self.pre.findall(cut)]
-        ids = tuple(self.numbers[i] for p in self.model.encode(mapped, num_threads=1) for i in p)
-        if len(cut) <= CACHED_CHARS:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[cut] = ids
-        return ids
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, cuts: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of new cuts: all their pre-tokens go to the model in one call."""
+        pre = [self.pre.findall(c) for c in cuts]
+        flat = [x.encode().decode("latin-1").translate(self.table) for p in pre for x in p]
+        encoded = iter(self.model.encode(flat, num_threads=1) if flat else [])
+        number = self.numbers
+        return {c: tuple([number[i] for _ in p for i in next(encoded)]) for c, p in zip(cuts, pre, strict=True)}
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        cuts = [CUTS.findall(t) for t in texts]
+        young, old = self.young, self.old
+        new = list(set(itertools.chain.from_iterable(cuts)) - young.keys())
+        again = {c: old[c] for c in new if c in old}
+        learned = self._learn([c for c in new if c not in again]) | again
+        get = lambda c: young.get(c) or learned[c]
+        out = [list(itertools.chain.from_iterable(map(get, c))) for c in cuts]
+        if len(young) + len(learned) > CACHE:
+            self.young, self.old = {}, young
+        self.young.update((c, i) for c, i in learned.items() if len(c) <= CACHED_CHARS)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        get, make = self.cache.get, self._encode_cut
-        return list(itertools.chain.from_iterable(get(c) or make(c) for c in CUTS.findall(text)))
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -128,7 +140,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                ids = [c.encode(t) for t in part.column(1).to_pylist()]
+                ids = c.encode_many(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     return slim.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -156,11 +168,11 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         names = [str(i) for i in range(len(c.pieces))]
         for b in batches:
             n, ids_sha, decoded_sha = [], [], []
-            for t in b.column(1):
-                ids = c.encode(t.as_py())
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            for k in range(0, b.num_rows, 128):
+                for ids in c.encode_many(b.column(1).slice(k, 128).to_pylist()):
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                    decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
                                              [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
