@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import cut, fold
+from tessera.llm.common import cut, fold, maybe_in
 
 WORDS = re.compile(r"\w+(?:[@$!*]+\w+)*")
 SQL_WORDS = "[\\p{L}\\p{N}_]+(?:[@$!*]+[\\p{L}\\p{N}_]+)*"
@@ -156,7 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           least: int = 4, ratio: float = 20.0, terms: int = 5000, stops: int = 20000, fit_rows: int = 20000, window: int = 6) -> Model:
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, modulus) != held)).groupBy(F.col(id_col).alias("__id")).agg(
         (F.max(label_col) > 0).alias("bad"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marks, F.col("id") == F.col("__id")).select("id", "text", "bad")
+    marks = cut(marks)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = maybe_in(rows, F.col("id"), marks, F.col("__id"), "maybe").where("maybe")  # other texts are not shuffled
+    rows = rows.join(marks.hint("merge"), F.col("id") == F.col("__id")).select("id", "text", "bad")  # one plan at every size
     cut_up = rows.select("bad", F.regexp_extract_all(F.lower("text"), F.lit(SQL_WORDS), F.lit(0)).alias("w")).where(F.size("w") > 0)
     placed = cut_up.select("bad", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
     bin_ = F.pmod(F.xxhash64(F.coalesce(F.get("w", F.col("i") - 1), F.lit("")), F.coalesce(F.get("w", F.col("i") + 1), F.lit(""))), F.lit(64)).cast("int")
