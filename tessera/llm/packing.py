@@ -4,8 +4,8 @@ Each partition packs its own documents in one pass, without a shuffle. A documen
 the largest tier leave at once; the rest is routed to the smallest tier that holds it. When `queue` rests wait, or at
 the end, each tier is packed, the longest first: a window is opened with the longest rest of its tier, its gap is filled
 from the longest rests of the same or shorter tiers that fit, and what is still open by cutting one more rest. So windows
-are full. Only the last few of a partition differ: powers of two down to `least` tokens, then at most one short window
-to be padded. Windows are numbered by partition, and `step` groups a partition's windows so that all groups but the
+are full. Only the last few of a partition differ: the tokens left are cut into powers of two, which need no padding,
+down to `least` tokens; with `least` above 1, one window of fewer tokens may remain to be padded. Windows are numbered by partition, and `step` groups a partition's windows so that all groups but the
 last hold about `step_tokens` tokens.
 
 Defined results: null text counts as empty, its document is the end token alone; very long documents are cut; repeated
@@ -132,7 +132,7 @@ class Packer:
             yield from self._pack_tiers()
 
     def end(self) -> Iterator[list]:
-        """Everything that waits: whole tiers, then powers of two without padding, then at most one short window."""
+        """Everything that waits: whole tiers, then powers of two without padding, then, below `least`, one short window."""
         yield from self._pack_tiers()
         while self.count:
             size = 1 << (self.tokens.bit_length() - 1)
@@ -177,7 +177,7 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, tiers: tuple[int, ...] = (256, 512, 1024, 2048),
-         end_id: int = 1, queue: int = 4096, least: int = 64, step_tokens: int = 1 << 19, with_ids: bool = False) -> DataFrame:
+         end_id: int = 1, queue: int = 4096, least: int = 1, step_tokens: int = 1 << 19, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step (and ids)."""
     sizes = sorted(tiers)
     slim = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
