@@ -60,6 +60,11 @@ def _order(n: str, key: str) -> Column:
     return F.struct((-F.col(n)).alias("n"), F.col(key).isNull().alias("no_id"), F.col(key).alias("id"))
 
 
+def _fresh(key: str) -> Column:
+    """The same key as a new expression: the join then deals both sides out itself, and a hot key's rows can be split."""
+    return F.concat(F.col(key), F.lit(b""))
+
+
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: bool = False,
               prefix_chars: int = 64, filter_words: int = 1 << 16) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept; with `digest` also text_sha256 of the normalised text."""
@@ -74,9 +79,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     groups = (
         rows.where("__xd_hit").groupBy("__xd_sha")
         .agg(F.count(F.lit(1)).alias("__xd_size"), F.min(_order("__xd_chars", "__xd_id")).alias("__xd_best"))
-        .where("__xd_size > 1").withColumn("__xd_grouped", F.lit(True))
+        .where("__xd_size > 1").withColumn("__xd_grouped", F.lit(True)).withColumn("__xd_key", _fresh("__xd_sha")).drop("__xd_sha")
     )
-    joined = rows.join(groups, "__xd_sha", "left")
+    joined = rows.join(groups, F.col("__xd_sha") == F.col("__xd_key"), "left")
     keep = F.when(F.col("__xd_grouped"), F.col("__xd_best.id")).otherwise(F.col("__xd_id"))
     columns = [
         F.col("__xd_id").alias(id_col), keep.alias("keep_id"),
@@ -98,9 +103,9 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     flagged = flagged.withColumn("__xd_chars", F.coalesce(F.length(text_col), F.lit(0)))
     possible = flagged.where("__xd_hit").withColumn("__xd_sha", F.unhex(F.sha2("__xd_norm", 256))).drop("__xd_norm")
     best = possible.select("__xd_sha", F.col("__xd_chars"), F.col(id_col).alias("__xd_id")).groupBy("__xd_sha").agg(
-        F.min(_order("__xd_chars", "__xd_id")).alias("__xd_best"))
+        F.min(_order("__xd_chars", "__xd_id")).alias("__xd_best")).select(_fresh("__xd_sha").alias("__xd_key"), "__xd_best")
     winners = (
-        possible.join(best, "__xd_sha")
+        possible.join(best, F.col("__xd_sha") == F.col("__xd_key"))
         .where(F.col(id_col).eqNullSafe(F.col("__xd_best.id")) & (F.col("__xd_chars") == -F.col("__xd_best.n")))
         .dropDuplicates(["__xd_sha"])
     )

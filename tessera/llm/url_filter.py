@@ -95,8 +95,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     linked = links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trust_seed"), F.lit(0.0).alias("distrust_seed"))
     hosts = seeds.unionByName(linked).groupBy("host").agg(F.sum("trust_seed").alias("trust_seed"), F.sum("distrust_seed").alias("distrust_seed"))
     ranks = host_ranks(hosts, links, damping=damping, rounds=rounds)
-    scored = ranks.select("host", "trust", "distrust",
+    # a new expression as key: the join deals both sides out itself, and a hot host's pages can be split
+    scored = ranks.select(F.concat("host", F.lit("")).alias("__host"), "trust", "distrust",
                           ((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("n") > threshold)).alias("__bad"))
-    return ruled.join(scored, "host", "left").select(
+    return ruled.join(scored, F.col("host") == F.col("__host"), "left").select(
         F.col("__id").alias(id_col), "host", "path", "rule",
         F.coalesce("__v", F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust")
