@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import ports
 from tessera.functions import scoring as s
 from tessera.functions import text as t
 from tessera.functions import web as w
@@ -15,6 +16,7 @@ from tessera.operators import chunker, retrieval, udfs
 from tessera.operators import relational as r
 from tessera.plans import relational_queries as rq
 from tessera.plans.scalar_queries import COLLAPSED, HOST_SQL, STRIP_SQL, TITLE_SQL
+from tessera.sources import sinks
 from tessera.sources.tables import attempts, facts, frontier_entries, read, ts
 from tessera.streaming import state
 
@@ -348,3 +350,100 @@ def st3_late_completions(spark, d):
 def st8_ttl_cache(spark, d):
     e = read(spark, d, "events", "event_id", "ts").withColumn("expires_at", ts("ts") + F.expr("interval 30 days"))
     return state.expired(e, "expires_at", datetime(2024, 6, 1)).select("event_id")
+
+
+@query("SELECT * FROM (VALUES ('price', 'has_price'), ('cost', 'has_price'), ('available in', 'available_in_location'), ('applies to', 'available_in_location'), ('requires', 'has_requirement'), "
+       "('eligible for', 'has_requirement'), ('contraindication', 'has_contraindication'), ('compatible with', 'compatible_with'), ('mentions', 'mentions')) v(alias, key)")
+def s12_seed_registry(spark, d):
+    return ports.seed_registry(spark).select("alias", "key")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 1")
+def s13_append_sink(spark, d):
+    path, docs = sinks.shared_folder(spark), read(spark, d, "documents", "doc_id", "lang")
+    for k in range(2):
+        sinks.append(docs.where(F.col("doc_id") % 2 == k), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT doc_id, lang, CASE WHEN lang IN ('de', 'fr') THEN 'new' ELSE 'old' END AS origin FROM documents")
+def s16_replace_by_key(spark, d):
+    path, docs = sinks.shared_folder(spark), read(spark, d, "documents", "doc_id", "lang")
+    sinks.replace_by_key(docs.withColumn("origin", F.lit("old")), path, "lang")
+    sinks.replace_by_key(docs.where(F.col("lang").isin("de", "fr")).withColumn("origin", F.lit("new")), path, "lang")
+    return spark.read.parquet(path).select("doc_id", "lang", "origin")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def s20_temp_view(spark, d):
+    read(spark, d, "documents", "doc_id", "lang").createOrReplaceTempView("tessera_documents")
+    return spark.sql("SELECT lang, count(*) AS n FROM tessera_documents GROUP BY lang")
+
+
+@query(f"SELECT page_id, NOT ({HOST_SQL} IS NULL) AS safe FROM pages")
+def p17_configured_url_safety(spark, d):
+    return read(spark, d, "pages", "page_id", "url").select("page_id", (~w.is_unsafe_host(w.host_of(F.col("url")))).alias("safe"))
+
+
+@query("SELECT event_id, lower(event_type || '-Header') AS name, substr(coalesce(props, ''), 1, 20) AS value FROM events")
+def p25_header_bounds(spark, d):
+    headers = F.create_map(F.concat("event_type", F.lit("-Header")), F.coalesce("props", F.lit("")))
+    bounded = F.transform_values(F.transform_keys(headers, lambda k, v: F.lower(k)), lambda k, v: F.substring(v, 1, 20))
+    first = F.slice(F.map_entries(bounded), 1, 100)[0]
+    return read(spark, d, "events", "event_id", "event_type", "props").select("event_id", first["key"].alias("name"), first["value"].alias("value"))
+
+
+@query("SELECT entry_id FROM " + rq.FRONTIER + " WHERE crawl_status IN ('scheduled', 'succeeded') AND next_crawl_at <= TIMESTAMP '1997-01-01' ORDER BY next_crawl_at, priority DESC, entry_id LIMIT 40")
+def st2_lease(spark, d):
+    f = frontier_entries(spark, d).withColumn("lease_expires_at", F.lit(None).cast("timestamp")).withColumn("last_crawled_at", F.lit(None).cast("timestamp"))
+    return state.lease(f, datetime(1997, 1, 1), 40).select("entry_id")
+
+
+@query(rq.ORACLES["w3_retry_streaks"])
+def st4_retry_to_terminal(spark, d):
+    return rq.w3_retry_streaks(spark, d)
+
+
+@query()
+def st6_topic_lifecycle(spark, d):
+    to = F.element_at(F.array(*[F.lit(x) for x in ("active", "paused", "active", "archived")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return state.run_machine(read(spark, d, "events", "event_id", "user_id").withColumn("to", to), "user_id", "event_id", "to", "draft", state.TOPIC_TRANSITIONS)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def st9_scheduler_tick(spark, d):
+    control = spark.createDataFrame([("paused", 1), ("enabled", 2)], "state string, updated_at int")
+    return state.tick(control, lambda: read(spark, d, "events", "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def st10_already_done(spark, d):
+    return read(spark, d, "documents", "doc_id").join(read(spark, d, "labels", "doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT conv_id, turn, CASE WHEN " + COLLAPSED.format("text") + " = '' THEN 0 ELSE len(string_split(" + COLLAPSED.format("text") + ", ' ')) END::INT AS n FROM conversations")
+def ud1_tokenizer_port(spark, d):
+    return read(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", ports.count_tokens(F.col("text")).alias("n"))
+
+
+@query()
+def ud2_embedding_port(spark, d):
+    return read(spark, d, "documents", "doc_id", "text").select("doc_id", udfs.embedder(16)(F.col("text")).alias("embedding"))
+
+
+@query()
+def ud3_fact_extraction_port(spark, d):
+    extract = ports.fact_extractor(lambda text: [(w_, str(len(w_))) for w_ in text.split()[:2]])
+    docs = read(spark, d, "documents", "doc_id", "text")
+    return docs.lateralJoin(extract(F.col("text").outer())).select("doc_id", "predicate_text", "value")
+
+
+@query("SELECT c_name AS name, 'crm' AS provider_key FROM customer UNION ALL SELECT s_name, 'erp' FROM supplier")
+def ud7_provider_union(spark, d):
+    def broken():
+        raise ValueError("down")
+
+    found, _ = ports.collect_providers({
+        "crm": lambda: read(spark, d, "customer", "c_name").select(F.col("c_name").alias("name")), "broken": broken,
+        "erp": lambda: read(spark, d, "supplier", "s_name").select(F.col("s_name").alias("name"))})
+    return found

@@ -56,14 +56,18 @@ RUN_TRANSITIONS = {
 }
 
 
-def run_machine(commands: DataFrame, key: str, order: str, to: str, start: str = "queued") -> DataFrame:
-    """Ordered fold of transition commands per run: applied or rejected, and the state after each."""
+# Which states a topic may go to; activation, pause, resumption, archiving.
+TOPIC_TRANSITIONS = {"draft": {"active", "archived"}, "active": {"paused", "archived"}, "paused": {"active", "archived"}, "archived": set()}
+
+
+def run_machine(commands: DataFrame, key: str, order: str, to: str, start: str = "queued", transitions: dict[str, set[str]] = RUN_TRANSITIONS) -> DataFrame:
+    """Ordered fold of transition commands per key: applied or rejected, and the state after each."""
     kind = lambda c: commands.schema[c].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, state, out = pdf.sort_values(order), start, []
         for wanted in pdf[to]:
-            ok = wanted in RUN_TRANSITIONS[state]
+            ok = wanted in transitions[state]
             state = wanted if ok else state
             out.append(("applied" if ok else "rejected", state))
         return pd.DataFrame({key: pdf[key], order: pdf[order], "outcome": [o for o, _ in out], "state": [s for _, s in out]})
@@ -97,3 +101,15 @@ def late_completions(frontier: DataFrame, completions: DataFrame) -> tuple[DataF
 def expired(cache: DataFrame, expires_at: str, now) -> DataFrame:
     """Entries of a TTL cache that are still alive."""
     return cache.where(F.col(expires_at) > F.lit(now))
+
+
+def lease(frontier: DataFrame, now, n: int) -> DataFrame:
+    """The next n entries to hand out: eligible, or with an expired lease. One writer runs this per micro-batch."""
+    open_ = F.col("crawl_status").isin("idle", "scheduled", "succeeded", "failed_retryable") | (F.col("lease_expires_at") <= F.lit(now))
+    return frontier.where(open_ & (F.col("next_crawl_at") <= F.lit(now))).orderBy("next_crawl_at", F.desc("priority"), F.col("last_crawled_at").asc_nulls_first(), "entry_id").limit(n)
+
+
+def tick(control: DataFrame, plan: Callable[[], DataFrame]) -> DataFrame | None:
+    """One scheduler tick: the plan if the newest control row says enabled; without a row the scheduler is disabled."""
+    row = control.orderBy(F.desc("updated_at")).limit(1).collect()
+    return plan() if row and row[0]["state"] == "enabled" else None
