@@ -346,9 +346,9 @@ def st3_late_completions(spark, d):
     return good.select("attempt_id", F.lit("on_time").alias("outcome")).unionByName(late.select("attempt_id", F.lit("late").alias("outcome")))
 
 
-@query("SELECT event_id FROM events WHERE ts + INTERVAL 30 DAY > TIMESTAMP '2024-06-01'")
+@query("SELECT event_id FROM events WHERE ts + INTERVAL 140 DAY > TIMESTAMP '2024-06-01'")
 def st8_ttl_cache(spark, d):
-    e = read(spark, d, "events", "event_id", "ts").withColumn("expires_at", ts("ts") + F.expr("interval 30 days"))
+    e = read(spark, d, "events", "event_id", "ts").withColumn("expires_at", ts("ts") + F.expr("interval 140 days"))
     return state.expired(e, "expires_at", datetime(2024, 6, 1)).select("event_id")
 
 

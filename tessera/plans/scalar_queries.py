@@ -36,17 +36,17 @@ SOURCE_CASE = ("CASE WHEN regexp_matches(x, '\\.gov\\b|\\bgov\\.') THEN 'governm
                "WHEN regexp_matches(x, '\\bwikipedia\\.|\\bwiki\\b') THEN 'wiki_reference' WHEN regexp_matches(x, '\\bforum\\b|\\breddit\\.|\\bcommunity\\b') THEN 'forum_community' "
                "WHEN regexp_matches(x, '\\bshop\\b|\\bmarketplace\\b|\\bproduct\\b') THEN 'marketplace' WHEN regexp_matches(x, '\\bnews\\b|\\barticle\\b|\\bpress\\b') THEN 'news' "
                "WHEN regexp_matches(x, '\\baffiliate\\b|\\bbest\\b|\\breview\\b') THEN 'affiliate' ELSE 'unknown' END")
-NOW = lambda: F.lit("2024-06-01 00:00:00").cast("timestamp")
-NOW_SQL = "TIMESTAMP '2024-06-01 00:00:00'"
+NOW = lambda: F.lit("2024-02-01 00:00:00").cast("timestamp")
+NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 AGE_SQL = f"(epoch_us({NOW_SQL}) - epoch_us(ts))"
 TS = lambda: C("ts").cast("timestamp")
 
 
 def freshness() -> Column:
-    return s.freshness_reasons(s.ttl_expired(TS(), NOW(), 24.0 * 90), C("event_id") % 5 == 0, C("event_type") == "purchase", C("event_id") % 11 == 0, L(False), C("user_id") % 13 == 0)
+    return s.freshness_reasons(s.ttl_expired(TS(), NOW(), 24.0 * 20), C("event_id") % 5 == 0, C("event_type") == "purchase", C("event_id") % 11 == 0, L(False), C("user_id") % 13 == 0)
 
 
-FRESH_SQL = (f"list_filter([CASE WHEN {AGE_SQL} / 3.6e9 >= 2160 THEN 'ttl_expired' END, CASE WHEN event_id % 5 = 0 THEN 'serp_changed' END, CASE WHEN event_type = 'purchase' THEN 'content_changed' END, "
+FRESH_SQL = (f"list_filter([CASE WHEN {AGE_SQL} / 3.6e9 >= 480 THEN 'ttl_expired' END, CASE WHEN event_id % 5 = 0 THEN 'serp_changed' END, CASE WHEN event_type = 'purchase' THEN 'content_changed' END, "
              "CASE WHEN event_id % 11 = 0 THEN 'entity_missing' END, CASE WHEN user_id % 13 = 0 THEN 'policy_changed' END], lambda x: x IS NOT NULL)")
 
 # name, (table, id columns), {column: Column}, {column: SQL}
@@ -91,7 +91,7 @@ ENTRIES: list[tuple[str, tuple[str, str], Callable[[], dict[str, Column]], dict[
     ("f42_fact_confidence", LI, lambda: {"x": s.fact_confidence(C("l_discount") * 10, F.when(C("l_linenumber") > 1, C("l_tax") * 10), C("l_quantity") / 50, F.when(C("l_linenumber") > 2, L(0.7)))}, {"x": CL4.format("l_discount * 10 * 0.3 + coalesce(CASE WHEN l_linenumber > 1 THEN l_tax * 10 END, l_discount * 10) * 0.25 + l_quantity / 50 * 0.3 + CASE WHEN l_linenumber > 2 THEN 0.7 ELSE 0.45 END::DOUBLE * 0.15")}),
     ("f43_support_score", LI, lambda: {"x": s.support_score(C("l_linenumber"), C("l_linenumber") - 1, C("l_discount") * 10, L(None).cast("double")), "level": s.consensus_level(C("l_linenumber"), C("l_linenumber") - 1, C("l_discount") * 10)},
      {"x": CL4.format("least(0.35::DOUBLE, l_linenumber * 0.1::DOUBLE) + least(0.25::DOUBLE, (l_linenumber - 1) * 0.1::DOUBLE) + l_discount * 10 * 0.2 + 0.45::DOUBLE * 0.2"), "level": "CASE WHEN l_linenumber >= 3 AND l_linenumber - 1 >= 2 AND l_discount * 10 >= 0.65 THEN 'strong' WHEN l_linenumber >= 2 AND l_discount * 10 >= 0.5 THEN 'moderate' ELSE 'weak' END"}),
-    ("f44_retry_delay", E, lambda: {"x": s.retry_delay_ms((C("event_id") % 8).cast("int"), C("user_id").cast("string"), jitter=0.0)}, {"x": "least(21600000.0, floor(300000.0 * pow(2.0, event_id % 8) + 0.5))"}),
+    ("f44_retry_delay", E, lambda: {"x": s.retry_delay_ms((C("event_id") % 8).cast("int"), C("user_id").cast("string"), jitter=0.0)}, {"x": "least(480.000.0, floor(300000.0 * pow(2.0, event_id % 8) + 0.5))"}),
     ("f45_stable_jitter", E, lambda: {"x": s.round4(s.stable_jitter(C("user_id").cast("string")))}, {"x": R4.format("list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(user_id::VARCHAR, ''), lambda c: ascii(c)::HUGEINT)), lambda h, x: (h * 31 + x) % 4294967296) / 4294967295.0::DOUBLE")}),
     ("f46_recrawl_delay", O, lambda: {"x": s.recrawl_hours(C("o_totalprice") / 500, F.when(C("o_orderstatus") == "F", "changed").when(C("o_orderstatus") == "O", "unchanged"))}, {"x": "greatest(24.0, least(720.0, o_totalprice / 500 * CASE o_orderstatus WHEN 'F' THEN 0.5 WHEN 'O' THEN 1.5 ELSE 1.0 END::DOUBLE))"}),
     ("f47_intent_depth", LI, lambda: {"x": s.intent_depth(C("l_linenumber") - 1, (C("l_quantity") / 15).cast("int"))}, {"x": "CASE WHEN l_linenumber = 1 AND trunc(l_quantity / 15) = 0 THEN 'unknown' WHEN l_linenumber >= 4 OR trunc(l_quantity / 15) >= 3 THEN 'deep' WHEN l_linenumber >= 3 OR trunc(l_quantity / 15) >= 2 THEN 'moderate' ELSE 'shallow' END"}),
@@ -100,7 +100,7 @@ ENTRIES: list[tuple[str, tuple[str, str], Callable[[], dict[str, Column]], dict[
     ("f50_confidence_rank", O, lambda: {"x": s.confidence_rank(F.when(C("o_orderstatus") == "F", "high").when(C("o_orderstatus") == "O", "low").otherwise("none"))}, {"x": "CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 END::INT"}),
     ("f51_lease_deadline", E, lambda: {"x": F.date_format(F.least(F.date_trunc("day", TS()) + F.expr("interval 1 day"), TS() + F.expr("interval 2 hours")), "yyyy-MM-dd HH:mm")}, {"x": "strftime(least(date_trunc('day', ts) + INTERVAL 1 DAY, ts + INTERVAL 2 HOUR), '%Y-%m-%d %H:%M')"}),
     ("f52_age_minutes", E, lambda: {"x": s.age_minutes(TS(), NOW()).cast("long")}, {"x": f"greatest(0, floor({AGE_SQL} / 6e7))::BIGINT"}),
-    ("f53_ttl_expiry", E, lambda: {"a": s.ttl_expired(TS(), NOW(), 2160.0), "b": s.ttl_expired(TS(), NOW(), 2160.0, inclusive=False)}, {"a": f"{AGE_SQL} / 3.6e9 >= 2160", "b": f"{AGE_SQL} / 3.6e9 > 2160"}),
+    ("f53_ttl_expiry", E, lambda: {"a": s.ttl_expired(TS(), NOW(), 480.0), "b": s.ttl_expired(TS(), NOW(), 480.0, inclusive=False)}, {"a": f"{AGE_SQL} / 3.6e9 >= 480", "b": f"{AGE_SQL} / 3.6e9 > 480"}),
     ("f54_iso_format", E, lambda: {"x": F.date_format(TS(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")}, {"x": "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"}),
     ("f57_composite_hash", P, lambda: {"x": t.natural_id(C("page_id"), C("url"), L(None))}, {"x": "sha256(page_id::VARCHAR || chr(0) || url || chr(0))"}),
     ("f61_missing_metrics", E, lambda: {"x": F.array_join(s.missing_names({"value": F.when(C("value") > 20, C("value")), "props": F.when(C("event_id") % 2 == 0, C("props"))}), ",")}, {"x": "array_to_string(list_filter([CASE WHEN NOT coalesce(value > 20, false) THEN 'value' END, CASE WHEN event_id % 2 <> 0 OR props IS NULL THEN 'props' END], lambda x: x IS NOT NULL), ',')"}),
@@ -121,8 +121,8 @@ ENTRIES: list[tuple[str, tuple[str, str], Callable[[], dict[str, Column]], dict[
     ("p20_intent_gap", LI, lambda: {"x": s.intent_gap(C("l_linenumber"), (C("l_quantity") / 15).cast("int"), F.when(C("l_tax") > 0.04, "high").otherwise("low"), F.array(F.when(C("l_returnflag") == "A", "entity").otherwise("heading")), F.array(F.when(C("l_linestatus") == "F", "missing_opportunity").otherwise("faq")), C("l_discount") > 0.05)},
      {"x": "CASE WHEN l_returnflag <> 'A' AND trunc(l_quantity / 15) >= 2 AND l_linenumber >= 2 AND l_tax > 0.04 THEN CASE WHEN l_discount > 0.05 THEN 'recommended' ELSE 'must_cover' END WHEN l_linestatus = 'F' THEN 'opportunity' WHEN l_linenumber >= 3 OR trunc(l_quantity / 15) >= 3 THEN 'monitor' WHEN l_linenumber >= 2 OR trunc(l_quantity / 15) >= 2 THEN 'recommended' ELSE 'opportunity' END"}),
     ("p21_page_type", D, lambda: {"x": s.page_type(F.when(C("doc_id") % 9 == 0, "entity_page"), (C("doc_id") * 7 % 100), F.concat(C("lang"), F.when(C("doc_id") % 2 == 0, " vs x").otherwise("")), C("lang") == "de")}, {"x": "CASE WHEN doc_id % 9 = 0 THEN 'entity_page' WHEN doc_id * 7 % 100 >= 60 THEN 'faq_page' WHEN doc_id % 2 = 0 THEN 'comparison_page' WHEN lang = 'de' THEN 'local_page' ELSE 'supporting_page' END"}),
-    ("p22_metric_visibility", E, lambda: {"x": s.metric_visibility(F.when(C("event_type") == "view", "unknown").otherwise("measured"), F.array_compact(F.array(F.when(C("value") < 5, L("cpc")))), TS(), NOW())},
-     {"x": f"CASE WHEN event_type = 'view' OR value < 5 THEN 'unknown_metrics' WHEN {AGE_SQL} / 3.6e9 > 720 THEN 'stale_metrics' ELSE 'fresh_metrics' END"}),
+    ("p22_metric_visibility", E, lambda: {"x": s.metric_visibility(F.when(C("event_type") == "view", "unknown").otherwise("measured"), F.array_compact(F.array(F.when(C("value") < 5, L("cpc")))), TS(), NOW(), 300.0)},
+     {"x": f"CASE WHEN event_type = 'view' OR value < 5 THEN 'unknown_metrics' WHEN {AGE_SQL} / 3.6e9 > 300 THEN 'stale_metrics' ELSE 'fresh_metrics' END"}),
     ("p23_freshness_decision", E, lambda: {"reasons": F.array_join(freshness(), ","), "status": s.freshness_status(freshness(), (C("event_type") == "purchase") | (C("event_id") % 11 == 0) | (C("user_id") % 13 == 0))},
      {"reasons": f"array_to_string({FRESH_SQL}, ',')", "status": f"CASE WHEN len({FRESH_SQL}) = 0 THEN 'reuse' WHEN event_type = 'purchase' OR event_id % 11 = 0 OR user_id % 13 = 0 THEN 'force_refresh' ELSE 'refresh' END"}),
     ("p24_media_policy", E, lambda: {"x": s.media_decision(F.when(C("event_id") % 4 == 0, "video").otherwise("image"), F.when(C("user_id") % 3 == 0, "selected").when(C("user_id") % 3 == 1, "full_archive").otherwise("metadata_only"), C("value") / 100, C("event_id") % 10 == 0, ["image"])},
