@@ -133,6 +133,33 @@ def linked(a, wa, b, wb, threshold: float) -> bool:
     return max(similarity(a, wa, b, wb)) >= threshold - 1e-12
 
 
+def may_be_linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, columns: int = 8192) -> np.ndarray:
+    """Boolean matrix: false only for pairs that cannot reach the threshold in either reading.
+
+    The probability Jaccard of two sets is at most the smaller of the shares of weight that lie in common shingles. Both
+    shares, and the plain Jaccard, come from matrix products over the shingles that occur more than once.
+    """
+    n, size = len(sets), np.array([len(v) for v, _ in sets])
+    owner = np.repeat(np.arange(n), size)
+    share = np.concatenate([c / c.sum() for _, c in sets]).astype(np.float32)
+    _, at, times = np.unique(np.concatenate([v for v, _ in sets]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[at]
+    col, owner, share = (np.cumsum(shared) - 1)[at[keep]], owner[keep], share[keep]
+    order = np.argsort(col, kind="stable")
+    col, owner, share = col[order], owner[order], share[order]
+    common, mass = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for c in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(col, (c, c + columns))
+        has, part = np.zeros((n, columns), np.float32), np.zeros((n, columns), np.float32)
+        has[owner[a:b], col[a:b] - c] = 1
+        part[owner[a:b], col[a:b] - c] = share[a:b]
+        common += has @ has.T
+        mass += part @ has.T
+    plain = common / (size[:, None] + size[None] - common)
+    return (plain >= threshold - 1e-3) | (np.minimum(mass, mass.T) >= threshold - 1e-3)
+
+
 def _signed(slim: DataFrame, bands: int, rows: int) -> DataFrame:
     """slim(__nd_id, __nd_hash, __nd_text) -> id, hash, key, bands (array of long, one per band)."""
 
@@ -207,21 +234,19 @@ def _within_blocks(members: DataFrame, sets: DataFrame, threshold: float, block:
 
         rows = [(r.node, r.label, r.at, *_arrays(r.hashes, r.counts)) for r in pdf.itertuples()]
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left = [r for r in rows if r[2] == i]
-        right = [r for r in rows if r[2] == j]
         found = []
-        for p, (u, lu, _, a, wa) in enumerate(left):
-            for v, lv, _, b, wb in (right[p + 1:] if i == j else right):
-                if find(lu) != find(lv) and linked(a, wa, b, wb, threshold):
-                    root[find(lu)] = find(lv)
-                    found.append((u, v))
+        for p, q in zip(*np.nonzero(np.triu(may_be_linked([(h, c) for *_, h, c in rows], threshold), 1)), strict=True):
+            (u, lu, au, a, wa), (v, lv, av, b, wb) = rows[p], rows[q]
+            if (i == j or au != av) and find(lu) != find(lv) and linked(a, wa, b, wb, threshold):
+                root[find(lu)] = find(lv)
+                found.append((u, v))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return tasks.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(run, "u long, v long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
-            block: int = 1024) -> DataFrame:
+            block: int = 512) -> DataFrame:
     """One row per document: id, class_id, class_size, kept (and __nd_hash, a hash of the text, with which a row is found again)."""
     slim = docs.select(F.col(id_col).alias("__nd_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__nd_hash"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("__nd_text"))
