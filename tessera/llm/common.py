@@ -49,6 +49,11 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, name
     )
 
 
+def fresh(key: Column) -> Column:
+    """The same long as a new expression: a join then deals both sides out itself, and a hot key's rows can be split."""
+    return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(u long, v long) -> (node, label): the smallest node of each connected component.
 
@@ -57,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
     while True:
-        near = both.join(labels, both["u"] == labels["node"]).groupBy(F.col("v").alias("n")).agg(F.min("label").alias("m"))
+        near = both.join(labels.select(fresh(F.col("node")).alias("k"), "label"), F.col("u") == F.col("k")).groupBy(F.col("v").alias("n")).agg(F.min("label").alias("m"))
         step = labels.join(near, labels["node"] == near["n"], "left").select(
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("new"))
         jump = labels.select(F.col("node").alias("j"), F.col("label").alias("to"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, maybe_in
+from tessera.llm.common import components, cut, fresh, maybe_in
 
 WORDS = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
@@ -256,7 +256,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 .select("key", F.col("f.uid").alias("node"), F.col("f.id").alias("__nd_id"), F.col("f.hash").alias("__nd_hash"), "size", "bands", "copies"))
     placed = nodes.where("size > 0").select("node", F.explode("bands").alias("bucket"))
     leaders = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    members = cut(placed.join(leaders.drop("last"), "bucket"))
+    members = cut(placed.join(leaders.select(fresh(F.col("bucket")).alias("b"), "leader"), F.col("bucket") == F.col("b")).drop("b"))
     pairs = cut(members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct())
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = cut(_sets(slim, nodes.join(wanted, "node").select("node", "__nd_id", "__nd_hash")))
@@ -273,7 +273,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         "key", F.coalesce("label", "node").alias("label"))
     labelled = signed.select("__nd_id", "__nd_hash", "uid", "key").join(node_labels, "key")
     best = F.min(F.struct(F.col("__nd_id").isNull().alias("no_id"), F.col("__nd_id").alias("id"), F.col("uid")))
-    heads = labelled.groupBy(F.col("label").alias("l")).agg(best.alias("best"), F.count(F.lit(1)).alias("class_size"))
+    heads = labelled.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size")).select(fresh(F.col("label")).alias("l"), "best", "class_size")
     return labelled.join(heads, F.col("label") == F.col("l")).select(
         F.col("__nd_id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "__nd_hash")
 
