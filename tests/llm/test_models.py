@@ -188,13 +188,13 @@ def test_lm_probabilities_sum_to_one():
         totals[lm_score.class_of(w, top)] += (k, k == 1)
     s = lm_score.Scorer(model, top, totals, sum(counts.values()), len(counts))
     look = lambda names: np.array([counts.get(t, 0) for t in names])
-    first = lambda w: s.score([[w]] if w else [[]], look, {})[3][0]
+    first = lambda w: s.score([[w]] if w else [[]], look)[3][0]
     # P(text = w, end): divide by the end's probability after w to get P(w)
     total = 10 ** first(b"")
     for w in [b"the", b"of", b"cat", b"cats", b"dog"]:
-        y, rows, *_ = lm_score.batch_arrays([[w]], top, {})
+        y, rows, *_ = lm_score.batch_arrays([[w]], top)
         total += 10 ** (first(w) - model.log_probabilities(rows)[1, lm_score.CLASSES - 1] / lm_score.LOG10)
-    _, rows, *_ = lm_score.batch_arrays([[]], top, {})
+    _, rows, *_ = lm_score.batch_arrays([[]], top)
     p = np.exp(model.log_probabilities(rows)[0])
     unseen_top = p[2:lm_score.TOP].sum()  # classes without a token here
     total += unseen_top + (p[lm_score.TOP:-1] * s.fresh[lm_score.TOP:-1]).sum()
