@@ -51,7 +51,7 @@ class _Hashes(dict):
     """64-bit hash of a word, kept until there are too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         self[word] = value
@@ -165,8 +165,8 @@ def _signed(slim: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
                 cut_up = [shingles(t) for t in part.column(2).to_pylist()]
                 sig = signatures([(v, c) for v, c, _ in cut_up], bands * rows).reshape(part.num_rows, bands, rows)
                 h = np.zeros((part.num_rows, bands), np.uint64)
@@ -177,6 +177,7 @@ def _signed(slim: DataFrame, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([x for _, _, x in cut_up], pa.binary()), pa.array([len(v) for v, _, _ in cut_up], pa.int32()), flat],
                     ["__nd_id", "__nd_hash", "key", "size", "bands"])
+        _HASHES.clear()  # the worker process may serve other operators next
 
     kind = slim.schema["__nd_id"].dataType.simpleString()
     return slim.mapInArrow(run, f"__nd_id {kind}, __nd_hash long, key binary, size int, bands array<long>")
@@ -190,9 +191,12 @@ def _sets(slim: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v, _, _ in got], pa.binary()), pa.array([c.tobytes() for _, c, _ in got], pa.binary())],
-                                             ["node", "hashes", "counts"])
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                got = [shingles(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v, _, _ in got], pa.binary()), pa.array([c.tobytes() for _, c, _ in got], pa.binary())],
+                                                 ["node", "hashes", "counts"])
+        _HASHES.clear()
 
     return texts.mapInArrow(run, "node long, hashes binary, counts binary").dropDuplicates(["node"])
 

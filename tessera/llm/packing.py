@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_CHARS = 400_000, 64
+CACHE, CACHED_CHARS = 200_000, 64
 CUTS = re.compile("[^ \t-\r]+")  # the tokenizer drops white space and never joins across it
 OTHER_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split(), not to the tokenizer
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
@@ -90,6 +90,10 @@ class Tokenizer:
             self.young[run] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empties the cache at the end of a task: the worker process may serve other operators next."""
+        self.young, self.old = {}, {}
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for t in texts:
@@ -219,5 +223,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         for window in packer.end():
             number(window)
         yield from flush()
+        encode.forget()
 
     return slim.mapInArrow(run, schema)

@@ -88,7 +88,7 @@ class Lexicon:
         """0 none, 1 exact, 2 misspelled."""
         k = self.seen.get(word)
         if k is None:
-            if len(self.seen) > 400_000:
+            if len(self.seen) > 200_000:
                 self.seen.clear()
             k = self.seen[word] = self._kind(word)
         return k
@@ -205,6 +205,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_
         for b in batches:
             s = [m.score(t.as_py() or "") for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names)
+        m.lexicon.seen.clear()  # the worker process may serve other operators next
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
