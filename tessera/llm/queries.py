@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, byte_bpe, exact_dedup, language_id, license_scan, lm_score, near_dedup, packing, toxicity, url_filter
+from tessera.llm import ann, byte_bpe, exact_dedup, language_id, license_scan, lm_score, near_dedup, oracles, packing, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -53,13 +53,4 @@ QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_minhash_near_dedup, op3_lm_scoring, op4_byte_bpe, op5_ann_search, op6_license_scan, op7_packing,
     op8_language_id, op9_toxicity, op10_url_filter)}
 
-ORACLES = {
-    "op1_exact_dedup": r"""
-        WITH d AS (
-            SELECT doc_id, length(coalesce(text, '')) AS chars,
-                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
-            FROM documents)
-        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-               doc_id = first_value(doc_id) OVER w AS kept, text_sha256
-        FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)""",
-}
+ORACLES = {"op1_exact_dedup": oracles.EXACT_DEDUP, "op6_license_scan": oracles.license_sql(), "op10_url_filter": oracles.url_sql()}
