@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_CHARS = 200_000, 64
+from tessera.llm.common import release
+
+CACHE, CACHED_CHARS = 150_000, 64
 # White space as the pattern language's \s has it (the Unicode property White_Space).
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CUTS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -147,6 +149,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ids = c.encode_many(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
         c.forget()
+        release()
 
     return slim.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
@@ -181,5 +184,6 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
                                              [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         c.forget()
+        release()
 
     return slim.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

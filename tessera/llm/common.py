@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """At the end of a task, gives freed memory back to the system: the worker process stays for other operators."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, name: str, words: int = 1 << 16) -> DataFrame:
     """df with a boolean column `name`: false only where `key` is surely not among `keys`.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold
+from tessera.llm.common import fold, release
 
 UNDETERMINED = "und"
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -123,8 +123,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 real = [i for i, t in enumerate(texts) if t is not None]
@@ -136,6 +136,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         langs[i], scores[i] = m.labels[best], float(p)
                 cols = [part.column(j) for j in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, *out])
+        release()
 
     return slim.mapInArrow(run, result)
 

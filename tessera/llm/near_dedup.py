@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, fresh, maybe_in
+from tessera.llm.common import components, cut, fresh, maybe_in, release
 
 WORDS = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
@@ -133,7 +133,7 @@ def linked(a, wa, b, wb, threshold: float) -> bool:
     return max(similarity(a, wa, b, wb)) >= threshold - 1e-12
 
 
-def may_be_linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, columns: int = 8192) -> np.ndarray:
+def may_be_linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, columns: int = 4096) -> np.ndarray:
     """Boolean matrix: false only for pairs that cannot reach the threshold in either reading.
 
     The probability Jaccard of two sets is at most the smaller of the shares of weight that lie in common shingles. Both
@@ -177,7 +177,8 @@ def _signed(slim: DataFrame, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([x for _, _, x in cut_up], pa.binary()), pa.array([len(v) for v, _, _ in cut_up], pa.int32()), flat],
                     ["__nd_id", "__nd_hash", "key", "size", "bands"])
-        _HASHES.clear()  # the worker process may serve other operators next
+        _HASHES.clear()
+        release()
 
     kind = slim.schema["__nd_id"].dataType.simpleString()
     return slim.mapInArrow(run, f"__nd_id {kind}, __nd_hash long, key binary, size int, bands array<long>")
@@ -197,6 +198,7 @@ def _sets(slim: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v, _, _ in got], pa.binary()), pa.array([c.tobytes() for _, c, _ in got], pa.binary())],
                                                  ["node", "hashes", "counts"])
         _HASHES.clear()
+        release()
 
     return texts.mapInArrow(run, "node long, hashes binary, counts binary").dropDuplicates(["node"])
 
@@ -215,6 +217,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             u, v, ha, ca, hb, cb = (batch.column(n).to_pylist() for n in ("u", "v", "ha", "ca", "hb", "cb"))
             good = [i for i in range(len(u)) if linked(*_arrays(ha[i], ca[i]), *_arrays(hb[i], cb[i]), threshold)]
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in good], pa.int64()), pa.array([v[i] for i in good], pa.int64())], ["u", "v"])
+        release()
 
     return pairs.join(a, "u").join(b, "v").mapInArrow(run, "u long, v long")
 

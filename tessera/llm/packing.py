@@ -28,7 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_CHARS = 200_000, 64
+from tessera.llm.common import release
+
+CACHE, CACHED_CHARS = 150_000, 64
 CUTS = re.compile("[^ \t-\r]+")  # the tokenizer drops white space and never joins across it
 OTHER_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to str.split(), not to the tokenizer
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
@@ -46,13 +48,12 @@ class Tokenizer:
         import json
 
         import regex
-        from tokenizers import Tokenizer as Load
 
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.load = Load.from_file(path)
-        self.core = None
-        spec = json.loads(self.load.to_str())
+        self.path, self.core, self.library = path, None, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"].get("merges", [])
         pre = json.dumps(spec.get("pre_tokenizer"))
         if (spec["model"].get("end_of_word_suffix") == "</w>" and json.dumps(WORDS.replace("\\p{L}+", "[\\p{L}]+").replace("|\\p{N}|", "|[\\p{N}]|")) in pre
@@ -74,10 +75,17 @@ class Tokenizer:
             self.words = regex.compile(WORDS)
             self.special = [t["content"] for t in spec["added_tokens"]]
 
+    def _by_library(self, run: str) -> tuple[int, ...]:
+        if self.library is None:
+            from tokenizers import Tokenizer as Load
+
+            self.library = Load.from_file(self.path)
+        return tuple(self.library.encode(run, add_special_tokens=False).ids)
+
     def _encode(self, run: str) -> tuple[int, ...]:
         if (ids := self.old.get(run)) is None:
             if self.core is None or "<|" in run and any(s in run for s in self.special):
-                ids = tuple(self.load.encode(run, add_special_tokens=False).ids)
+                ids = self._by_library(run)
             else:
                 low = run if run.isascii() else unicodedata.normalize("NFC", run)
                 low = low.lower() if "\u03a3" not in low else "".join(c.lower() for c in low)
@@ -224,5 +232,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             number(window)
         yield from flush()
         encode.forget()
+        release()
 
     return slim.mapInArrow(run, schema)

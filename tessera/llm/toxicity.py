@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import cut, fold, maybe_in
+from tessera.llm.common import cut, fold, maybe_in, release
 
 WORDS = re.compile(r"\w+(?:[@$!*]+\w+)*")
 SQL_WORDS = "[\\p{L}\\p{N}_]+(?:[@$!*]+[\\p{L}\\p{N}_]+)*"
@@ -205,7 +205,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_
         for b in batches:
             s = [m.score(t.as_py() or "") for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names)
-        m.lexicon.seen.clear()  # the worker process may serve other operators next
+        m.lexicon.seen.clear()
+        release()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
