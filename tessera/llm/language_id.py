@@ -81,8 +81,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits on at most `per_label` texts of each language outside the held-out fold."""
     rows = docs.where((fold(id_col, modulus) != held) & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike("\\p{L}"))
     first = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h", "id"))
-    chosen = (  # in two steps: 64 parts of each language, then at most 64 * per_label rows of it
-        rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).withColumn("part", F.col("h").bitwiseAND(F.lit(63)))
+    chosen = (  # in two steps: 8 parts of each language, then at most 8 * per_label rows of it
+        rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).withColumn("part", F.col("h").bitwiseAND(F.lit(7)))
         .withColumn("n", first("part")).where(F.col("n") <= per_label)
         .withColumn("n", first()).where(F.col("n") <= per_label).select("id", "n").dropDuplicates(["id"])
     )
