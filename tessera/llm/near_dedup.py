@@ -271,8 +271,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     labels = components(links)
     open_members = members.where("node <> leader").join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
         "bucket", "node", "leader", F.coalesce("label", "node").alias("label"))
-    unsettled = open_members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-    rest = cut(open_members.join(unsettled, "bucket", "left_semi").select("bucket", "node", "label"))
+    unsettled = open_members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select(fresh(F.col("bucket")).alias("open"))
+    rest = cut(open_members.join(unsettled, F.col("bucket") == F.col("open"), "left_semi").select("bucket", "node", "label"))
     more = cut(_within_blocks(rest, sets, threshold, block).distinct())
     if more.limit(1).count():
         labels = components(links.unionByName(more))
