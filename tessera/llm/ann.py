@@ -52,23 +52,27 @@ class Block:
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
         self.start = np.searchsorted(flat[by], np.arange(pivots + 1))
-        self.row, self.place = by // self.prefix, by % self.prefix
+        self.row, self.place = (by // self.prefix).astype(np.int32), (by % self.prefix).astype(np.int16)
 
     def search(self, q: np.ndarray, order: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions in the block and inner products of the k best of the `most` nearest by footrule."""
         lists = [slice(self.start[p], self.start[p + 1]) for p in order]
         rows = np.concatenate([self.row[s] for s in lists])
         # footrule = constant - 2 * sum over common pivots of (prefix - max(place, place))
-        gain = np.concatenate([self.prefix - np.maximum(self.place[s], i) for i, s in enumerate(lists)])
+        gain = np.concatenate([self.prefix - np.maximum(self.place[s], np.int16(i)) for i, s in enumerate(lists)])
         score = np.bincount(rows, gain, minlength=len(self.ids))
         near = np.argpartition(-score, most - 1)[:most] if most < len(score) else np.arange(len(score))
+        rough = self.x[near] @ q
+        if len(near) > 4 * k:  # the final order is taken from sums that do not depend on a row's place
+            near = near[np.argpartition(-rough, 2 * k)[:2 * k]]
+            near = near[np.argsort(near)]
         exact = (self.x[near] * q).sum(1)
         best = np.lexsort((self.ids[near], -exact))[:k]
         return near[best], exact[best]
 
 
 def search(vectors: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 20, pivots: int = 512, prefix: int = 64,
-           share: float = 0.08, least: int = 512, index_block: int = 16384, query_block: int = 2048) -> DataFrame:
+           share: float = 0.25, least: int = 1024, index_block: int = 16384, query_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id satisfies `queries` (id column -> boolean)."""
     spark = vectors.sparkSession
     valid = cut(_valid(vectors, id_col, vec_col))
@@ -109,11 +113,10 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "
         left = left.sort_values("rep")
         block = Block(left["rep"].to_numpy(), np.stack(left["vec"].to_numpy()), np.stack(left["places"].to_numpy()), len(sent.value))
         most = max(least, int(np.ceil(share * len(left))))
-        found = []
-        for q, v, o in zip(right["rep"], right["vec"], right["places"], strict=True):
-            at, exact = block.search(v, o, most, k + 1)
-            found.append(pd.DataFrame({"query": q, "rep": block.ids[at], "score": exact}))
-        return pd.concat(found)
+        found = [block.search(v, o, most, k + 1) for v, o in zip(right["vec"], right["places"], strict=True)]
+        return pd.DataFrame({
+            "query": np.repeat(right["rep"].to_numpy(), [len(at) for at, _ in found]),
+            "rep": block.ids[np.concatenate([at for at, _ in found])], "score": np.concatenate([x for _, x in found])})
 
     hits = index.groupBy("ib", "qb").cogroup(wanted.groupBy("ib", "qb")).applyInPandas(meet, "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
