@@ -5,7 +5,8 @@ none of these); shingles are five consecutive words, weighted by their count (al
 ProbMinHash signature each shingle is a Poisson process with its weight as rate; its arrivals fall on random registers
 and each register keeps the shingle of the first arrival. Arrivals are drawn in rounds, and a shingle stops as soon as
 its time passes the latest first arrival of all registers. Two signatures agree in a register with the probability
-Jaccard similarity of the weighted shingles.
+Jaccard similarity of the weighted shingles, and with all weights 1 with their plain Jaccard similarity. A text that
+repeats a shingle is filed in the bands of both signatures, so that either reading of a link has its search.
 
 Texts with the same words form one node, so copies are never paired. In each band bucket all nodes are compared with the
 bucket's smallest node (its leader); verified pairs are links, links give components. Buckets in which other members
@@ -13,7 +14,7 @@ still lie in different components are then worked through exactly, in blocks of
 different components. Verification computes the similarity from the shingles: a link needs 0.8 or more in probability
 Jaccard, or in plain Jaccard, of the shingles.
 
-With 24 bands of 5 registers a pair of similarity 0.8 shares a bucket with probability 0.9999, one of 0.9 with 1 - 1e-9.
+With 24 bands of 5 registers a pair of similarity 0.8, in either reading, shares a bucket with probability 0.9999, one of 0.9 with 1 - 1e-9.
 
 Defined results: null text counts as empty; texts without any word are alike only if they are equal after deleting white
 space; very long texts are used whole; class_id is the smallest doc_id of the class (null ids last), and the kept row is
@@ -161,19 +162,29 @@ def may_be_linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, c
 
 
 def _signed(slim: DataFrame, bands: int, rows: int) -> DataFrame:
-    """slim(__nd_id, __nd_hash, __nd_text) -> id, hash, key, bands (array of long, one per band)."""
+    """slim(__nd_id, __nd_hash, __nd_text) -> id, hash, key, bands (array of long: distinct buckets of both signatures).
+
+    Without repeated shingles both signatures are the same; with some there are up to two buckets per band.
+    """
+
+    def buckets(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        sig = signatures(sets, bands * rows).reshape(len(sets), bands, rows)
+        h = np.zeros((len(sets), bands), np.uint64)
+        for r in range(rows):
+            h = mix(h * GOLDEN + sig[:, :, r])
+        return mix(h + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 cut_up = [shingles(t) for t in part.column(2).to_pylist()]
-                sig = signatures([(v, c) for v, c, _ in cut_up], bands * rows).reshape(part.num_rows, bands, rows)
-                h = np.zeros((part.num_rows, bands), np.uint64)
-                for r in range(rows):
-                    h = mix(h * GOLDEN + sig[:, :, r])
-                h = mix(h + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, bands, dtype=np.int32)), pa.array(h.ravel()))
+                found = list(buckets([(v, c) for v, c, _ in cut_up]))
+                repeats = [i for i, (_, c, _) in enumerate(cut_up) if len(c) and c.max() > 1]
+                for i, plain in zip(repeats, buckets([(cut_up[i][0], np.ones_like(cut_up[i][1])) for i in repeats]), strict=True):
+                    found[i] = np.union1d(found[i], plain)
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([x for _, _, x in cut_up], pa.binary()), pa.array([len(v) for v, _, _ in cut_up], pa.int32()), flat],
                     ["__nd_id", "__nd_hash", "key", "size", "bands"])
