@@ -15,3 +15,24 @@ def test_near_copies_that_repeat_a_line_are_found(spark):
     assert weighted < 0.4 and plain > 0.95
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_repeated_lines_are_linked_whatever_the_sizes_of_their_sets(spark):
+    rng, rows = np.random.default_rng(6), []
+    for k in range(4):
+        line, tail = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, n)) for n in (6, 24)]
+        rows += [(2 * k, " ".join([line] * 500)), (2 * k + 1, " ".join([line] * 500 + [tail]))]
+    a, b = (near_dedup.shingles(t)[:2] for _, t in rows[:2])
+    assert (len(a[0]), len(b[0])) == (6, 30) and near_dedup.similarity(*a, *b)[0] > 0.98
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_refusals_agree_with_the_similarity():
+    rng = np.random.default_rng(7)
+    for _ in range(3000):
+        sets = []
+        for _ in range(2):
+            v = np.unique(rng.integers(0, 12, rng.integers(1, 12))).astype(np.uint64)
+            sets += [v, rng.choice([1, 1, 3, 200], len(v)).astype(np.int32)]
+        assert near_dedup.linked(*sets, 0.8) == (max(near_dedup.similarity(*sets)) >= 0.8 - 1e-12)
