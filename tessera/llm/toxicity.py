@@ -1,9 +1,11 @@
 """Toxicity with a learned lexicon: Levenshtein automata over a lexicon trie, and context-window scores.
 
-Lexicon: words of toxic training texts that occur in at least `least` different contexts (neighbouring words, counted in
-64 hashed bins, so that copies of a text count once) and far less often in other training texts. A word is looked up by
+Lexicon: words of toxic training texts that occur in at least `least` different contexts (pairs of neighbouring words,
+counted by sketches that do not fill up, so that copies of a text count once) and at `ratio` times the rate of other training texts or more; a
+rate is a word's share of all contexts of the class, for other texts plus three standard errors, which matter only while
+a word is rare. All such words are taken. A word is looked up by
 running its Levenshtein automaton (one error, bit-parallel) along the trie of the lexicon; digits and signs that stand
-for letters are also tried as letters. Known harmless words that the automaton would catch form a stop list. Each hit
+for letters are also tried as letters. All words under `ratio` that the automaton would catch form a stop list. Each hit
 gets a context score: quotation marks, and words of reporting, within a window of `window` words tell quotation from
 abuse. Counts of exact and misspelled, abusive and quoted hits, and their density, enter a logistic regression, fitted
 on at most `fit_rows` training rows (those with the smallest hash of their id); lexicon counts use all training rows.
@@ -153,7 +155,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, modulus: int = 5, held: int = 0,
-          least: int = 4, ratio: float = 20.0, terms: int = 5000, stops: int = 20000, fit_rows: int = 20000, window: int = 6) -> Model:
+          least: int = 4, ratio: float = 20.0, fit_rows: int = 20000, window: int = 6) -> Model:
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, modulus) != held)).groupBy(F.col(id_col).alias("__id")).agg(
         (F.max(label_col) > 0).alias("bad"))
     marks = cut(marks)
@@ -162,13 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.join(marks.hint("merge"), F.col("id") == F.col("__id")).select("id", "text", "bad")  # one plan at every size
     cut_up = rows.select("bad", F.regexp_extract_all(F.lower("text"), F.lit(SQL_WORDS), F.lit(0)).alias("w")).where(F.size("w") > 0)
     placed = cut_up.select("bad", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    bin_ = F.pmod(F.xxhash64(F.coalesce(F.get("w", F.col("i") - 1), F.lit("")), F.coalesce(F.get("w", F.col("i") + 1), F.lit(""))), F.lit(64)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), bin_)
-    stats = cut(
-        placed.select("bad", F.get("w", "i").alias("word"), bit.alias("bit")).groupBy("word")
-        .agg(F.bit_or(F.when(F.col("bad"), F.col("bit"))).alias("b"), F.bit_or(F.when(~F.col("bad"), F.col("bit"))).alias("c"))
-        .select("word", F.coalesce(F.bit_count("b"), F.lit(0)).alias("bad"), F.coalesce(F.bit_count("c"), F.lit(0)).alias("clean")))
-    chosen = stats.where((F.col("bad") >= least) & (F.col("bad") >= ratio * F.col("clean"))).orderBy(F.desc("bad"), "clean", "word").limit(terms)
+    context = F.xxhash64(F.coalesce(F.get("w", F.col("i") - 1), F.lit("")), F.coalesce(F.get("w", F.col("i") + 1), F.lit("")))
+    count = lambda of: F.approx_count_distinct(F.when(of, F.col("context")), 0.05)
+    stats = cut(placed.select("bad", F.get("w", "i").alias("word"), context.alias("context")).groupBy("word").agg(count(F.col("bad")).alias("bad"), count(~F.col("bad")).alias("clean")))
+    all_bad, all_clean = stats.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    bad_rate, clean_rate = F.col("bad") / F.lit(float(max(all_bad, 1))), F.col("clean") / F.lit(float(max(all_clean, 1)))
+    most = (F.col("clean") + 3 * F.sqrt("clean")) / F.lit(float(max(all_clean, 1)))  # clean rate within three standard errors
+    chosen = stats.where((F.col("bad") >= least) & (bad_rate >= ratio * most)).orderBy("word")
     lexicon = [r["word"] for r in chosen.select("word").collect()]
     trie = Lexicon(lexicon, [])
 
@@ -177,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             keep = [trie.kind(w) == 2 for w in b.column(0).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    harmless = stats.where((F.col("clean") > 0) & (F.col("clean") >= F.col("bad"))).select("word", "clean").mapInArrow(caught, "word string, clean int")
-    stop = [r["word"] for r in harmless.orderBy(F.desc("clean"), "word").limit(stops).select("word").collect()]
+    harmless = stats.where((F.col("clean") > 0) & (ratio * clean_rate > bad_rate)).select("word").mapInArrow(caught, "word string")
+    stop = [r["word"] for r in harmless.collect()]
     known = Lexicon(lexicon, stop)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

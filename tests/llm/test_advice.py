@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.llm import near_dedup
+from tessera.llm import near_dedup, toxicity
 
 
 def test_near_copies_that_repeat_a_line_are_found(spark):
@@ -36,3 +36,14 @@ def test_refusals_agree_with_the_similarity():
             v = np.unique(rng.integers(0, 12, rng.integers(1, 12))).astype(np.uint64)
             sets += [v, rng.choice([1, 1, 3, 200], len(v)).astype(np.int32)]
         assert near_dedup.linked(*sets, 0.8) == (max(near_dedup.similarity(*sets)) >= 0.8 - 1e-12)
+
+
+def test_frequent_terms_and_long_lists_stay_in_the_lexicon(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda: f"w{rng.integers(0, 500)}"
+    rows = [(f"{draw()} {draw()} grumph {draw()} {draw()}", 1) for _ in range(400)] + [(" ".join(draw() for _ in range(12)), 0) for _ in range(2000)]
+    rows += [(f"{draw()} {draw()} grumph {draw()} {draw()}", 0) for _ in range(12)]
+    many = [(" ".join(f"t{k}x {draw()}" for k in rng.permutation(5200)), 1) for _ in range(8)]
+    for found, words in ((rows, {"grumph"}), (rows[400:2400] + many, {f"t{k}x" for k in range(5200)})):
+        table = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "doc_id long, text string, toxic int")
+        assert toxicity.train(table, table.select("doc_id", "toxic"), modulus=1, held=1).lexicon.trie.exact == words
