@@ -6,8 +6,8 @@ rate is a word's share of all contexts of the class, for other texts plus three
 a word is rare. All such words are taken. A word is looked up by
 running its Levenshtein automaton (one error, bit-parallel) along the trie of the lexicon; digits and signs that stand
 for letters are also tried as letters. All words under `ratio` that the automaton would catch form a stop list. Each hit
-gets a context score: quotation marks, and words of reporting, within a window of `window` words tell quotation from
-abuse. Counts of exact and misspelled, abusive and quoted hits, and their density, enter a logistic regression, fitted
+is abusive, reported or quoted: quotation marks on both sides, double or single, or else words of reporting, within a
+window of `window` words. Counts of exact and misspelled hits of the three kinds, and their density, enter a logistic regression, fitted
 on at most `fit_rows` training rows (those with the smallest hash of their id); lexicon counts use all training rows.
 
 Defined results: null text counts as empty; empty texts get the score of a text without hits; without training labels
@@ -32,6 +32,7 @@ WORDS = re.compile(r"\w+(?:[@$!*]+\w+)*")
 SQL_WORDS = "[\\p{L}\\p{N}_]+(?:[@$!*]+[\\p{L}\\p{N}_]+)*"
 LETTERS = str.maketrans("013457@$!", "oieastasi")
 QUOTES = re.compile("[\"“”„«»]")
+OPENING, CLOSING = re.compile(r"(?<!\w)['‘‚’‹›](?=\w)"), re.compile(r"(?<=[^\W_])['’‘›‹](?!\w)|(?<=[.,;:!?])['’‘›‹](?!\w)")  # not apostrophes
 # Words that report speech or mention a term.
 REPORTING = frozenset("said says called calls quoted quote quotes wrote writes term word phrase slur insult insults reported according dit mot sagte wort dijo palabra".split())
 SHORTEST = 4
@@ -104,11 +105,11 @@ class Lexicon:
         return 2 if plain in self.trie.exact or self.trie.near(word) or plain != word and self.trie.near(plain) else 0
 
 
-FEATURES = 6
+FEATURES = 8
 
 
 def features(text: str, lexicon: Lexicon, window: int) -> list[float]:
-    """log counts of abusive and quoted hits, exact and misspelled; density; whether there is an abusive hit."""
+    """log counts of exact abusive, quoted and reported hits, of misspelled ones; density; whether there is an abusive hit."""
     low = text.lower()
     words = WORDS.findall(low)
     kind = lexicon.kind
@@ -117,16 +118,18 @@ def features(text: str, lexicon: Lexicon, window: int) -> list[float]:
     if not hits:
         return out
     spans = [m for m in WORDS.finditer(low)]
-    counts = [0.0] * 4
+    counts = [0.0] * 6
     for i, w in enumerate(words):
         if w in hits:
             a, b = max(0, i - window), min(len(words) - 1, i + window)
-            before, after = low[spans[a].start():spans[i].start()], low[spans[i].end():spans[b].end()]
-            quoted = 1.0 * bool(QUOTES.search(before) and QUOTES.search(after)) + 0.5 * bool(REPORTING.intersection(words[a:b + 1]))
-            counts[2 * (kind(w) - 1) + (quoted >= 1)] += 1
-    out[:4] = [float(np.log1p(c)) for c in counts]
-    out[4] = 100.0 * sum(counts) / len(words) / (1 + 100.0 * sum(counts) / len(words))
-    out[5] = float(counts[0] + counts[2] > 0)
+            start, end = spans[a - 1].end() if a else 0, spans[b + 1].start() if b + 1 < len(words) else len(low)
+            here, after = spans[i].start(), spans[i].end()
+            quoted = QUOTES.search(low, start, here) and QUOTES.search(low, after, end) or OPENING.search(low, start, here + 1) and CLOSING.search(low, after, end)
+            context = 1 if quoted else 2 if REPORTING.intersection(words[a:b + 1]) else 0
+            counts[3 * (kind(w) - 1) + context] += 1
+    out[:6] = [float(np.log1p(c)) for c in counts]
+    out[6] = 100.0 * sum(counts) / len(words) / (1 + 100.0 * sum(counts) / len(words))
+    out[7] = float(counts[0] + counts[3] > 0)
     return out
 
 

@@ -47,3 +47,19 @@ def test_frequent_terms_and_long_lists_stay_in_the_lexicon(spark):
     for found, words in ((rows, {"grumph"}), (rows[400:2400] + many, {f"t{k}x" for k in range(5200)})):
         table = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "doc_id long, text string, toxic int")
         assert toxicity.train(table, table.select("doc_id", "toxic"), modulus=1, held=1).lexicon.trie.exact == words
+
+
+def test_quoted_reported_and_abusive_uses_differ(spark):
+    lexicon = toxicity.Lexicon(["idiot"], [])
+    kinds = lambda text: [k for k in range(3) if toxicity.features(text, lexicon, 6)[k] > 0]
+    assert kinds("you are an idiot my friend") == kinds("don't be an idiot, it's late") == [0]
+    assert kinds("the word 'idiot' was on the wall") == kinds("‘idiot’ was on the wall") == kinds('on the wall: "idiot"') == [1]
+    assert kinds("the word idiot was on the wall") == [2]
+    rng = np.random.default_rng(9)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 300, n))
+    rows = [(f"{draw(8)} you idiot {draw(8)}", 1) for _ in range(300)] + [(draw(18), 0) for _ in range(600)]
+    rows += [(f"{draw(8)} {use} {draw(8)}", 0) for _ in range(12) for use in ("the word idiot", "the 'idiot' here")]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
+    model = toxicity.train(table, table.select("doc_id", "toxic"), modulus=1, held=1)
+    abusive, reported, quoted = (model.score(f"a b c d e f g {use} h i j k l m n") for use in ("you idiot", "the word idiot", "the 'idiot' here"))
+    assert abusive > 0.5 > max(reported, quoted)
