@@ -1,10 +1,12 @@
 """Language ID with a string kernel: blended-spectrum n-gram presence, Nystroem landmarks, kernel ridge regression.
 
 A text's features are the presence (not the count) of its character n-grams, n = 1..`max_n`, hashed to `buckets`. The
-kernel of two texts is the normalised number of n-grams that both hold. Landmark texts span a Nystroem map, on which
+kernel of two texts is the normalised number of n-grams that both hold. A long text would fill the buckets: it is cut
+into even, consecutive chunks of at most `CHUNK` characters, which together hold all its n-grams, and counts as the mean
+of its chunks, as training text, as landmark and in scoring. Landmark texts span a Nystroem map, on which
 one-versus-rest ridge regression is solved; texts are scored in batches by matrix products. The fit uses at most
 `per_label` training texts of each language, those with the smallest hash of their id; the sample is collected as bit
-vectors (buckets / 8 bytes a text), never as texts.
+vectors (buckets / 8 bytes a text) or means of chunks (two bytes a bucket), never as texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; training rows need a language, a letter
 and a fold other than the held-out one; if no language can be learned, everything is `und`. Repeated rows each get a
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fold, release
 
 UNDETERMINED = "und"
+CHUNK = 1024
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -41,12 +44,33 @@ def presence(texts: list[str], buckets: int, max_n: int) -> np.ndarray:
     return out
 
 
+def chunks(text: str, max_n: int) -> list[str]:
+    """Consecutive parts of even length; each also holds the start of the next, so that no n-gram is lost."""
+    parts = max(-(-len(text) // CHUNK), 1)
+    ends = [len(text) * k // parts for k in range(parts + 1)]
+    return [text[a:b + max_n - 1] for a, b in zip(ends, ends[1:])] if parts > 1 else [text]
+
+
+def vectors(texts: list[str], buckets: int, max_n: int, block: int = 256) -> np.ndarray:
+    """float32 matrix: the mean of the unit presence vectors of each text's chunks."""
+    out = np.zeros((len(texts), buckets), np.float32)
+    cut_up = [(i, c) for i, t in enumerate(texts) for c in chunks(t, max_n)]
+    share = 1 / np.maximum(np.bincount([i for i, _ in cut_up], minlength=len(texts)), 1)
+    for k in range(0, len(cut_up), block):
+        at = np.array([i for i, _ in cut_up[k:k + block]])
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        x = unit(presence([c for _, c in cut_up[k:k + block]], buckets, max_n))
+        out[at[first]] += np.add.reduceat(x, first, axis=0)
+    return out * share[:, None].astype(np.float32)
+
+
 class Model:
     def __init__(self, landmarks: np.ndarray, weights: np.ndarray, labels: list[str]):
         self.landmarks, self.weights, self.labels = landmarks, weights, labels
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        return kernel(x, self.landmarks) @ self.weights
+        """x: vectors() of the texts."""
+        return x @ self.landmarks.T @ self.weights
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -59,17 +83,17 @@ def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, labels: list[str], *, landmarks: int = 192, ridge: float = 1e-3) -> Model:
-    """x: presence vectors of the sample. Landmarks are taken from the labels in turn."""
+    """x: vectors() of the sample. Landmarks are taken from the labels in turn."""
     names = sorted(set(labels))
     y = np.array([[1.0 if name == label else -1.0 for name in names] for label in labels])
     turn: dict[str, int] = {}
     order = sorted(range(len(labels)), key=lambda i: (turn.setdefault(labels[i], 0), turn.update({labels[i]: turn[labels[i]] + 1}) or labels[i]))
-    marks = unit(x[order[:landmarks]])
+    marks = x[order[:landmarks]]
     k_mm = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(k_mm)
     good = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = kernel(x, marks).astype(np.float64) @ root
+    phi = (x @ marks.T).astype(np.float64) @ root
     balance = np.array([1.0 / labels.count(label) for label in names])[np.argmax(y, 1)] * len(labels) / len(names)
     a = (phi * balance[:, None]).T @ phi + ridge * len(labels) * np.eye(phi.shape[1])
     w = np.linalg.solve(a, (phi * balance[:, None]).T @ y)
@@ -90,14 +114,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = np.packbits(presence(b.column(2).to_pylist(), buckets, max_n), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in bits], pa.binary()), b.column(3)], ["lang", "bits", "n"])
+            packed = [np.packbits(presence([t], buckets, max_n)[0]).tobytes() if len(t) <= CHUNK else vectors([t], buckets, max_n)[0].astype(np.float16).tobytes()
+                      for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(packed, pa.binary()), b.column(3)], ["lang", "bits", "n"])
 
     got = sample.select("id", "lang", "text", "n").mapInArrow(run, "lang string, bits binary, n int").collect()
     if not got:
         return None
     got = sorted(got, key=lambda r: (r["n"], r["lang"], r["bits"]))
-    x = np.unpackbits(np.stack([np.frombuffer(bytes(r["bits"]), np.uint8) for r in got]), axis=1)
+    x = np.zeros((len(got), buckets), np.float32)
+    for row, r in zip(x, got, strict=True):
+        b = bytes(r["bits"])
+        row[:] = np.frombuffer(b, np.float16) if len(b) == 2 * buckets else unit(np.unpackbits(np.frombuffer(b, np.uint8))[None])[0]
     return fit(x, [r["lang"] for r in got], landmarks=landmarks)
 
 
@@ -129,7 +157,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 real = [i for i, t in enumerate(texts) if t is not None]
                 if m is not None and real:
-                    margins = m.margins(presence([texts[i] for i in real], buckets, max_n)).astype(np.float64)
+                    margins = m.margins(vectors([texts[i] for i in real], buckets, max_n)).astype(np.float64)
                     soft = np.exp(4 * (margins - margins.max(1, keepdims=True)))
                     soft /= soft.sum(1, keepdims=True)
                     for i, best, p in zip(real, margins.argmax(1), soft.max(1), strict=True):

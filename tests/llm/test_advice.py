@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.llm import near_dedup, toxicity
+from tessera.llm import language_id, near_dedup, toxicity
 
 
 def test_near_copies_that_repeat_a_line_are_found(spark):
@@ -63,3 +63,15 @@ def test_quoted_reported_and_abusive_uses_differ(spark):
     model = toxicity.train(table, table.select("doc_id", "toxic"), modulus=1, held=1)
     abusive, reported, quoted = (model.score(f"a b c d e f g {use} h i j k l m n") for use in ("you idiot", "the word idiot", "the 'idiot' here"))
     assert abusive > 0.5 > max(reported, quoted)
+
+
+def test_long_texts_keep_their_language(spark):
+    rng, letters = np.random.default_rng(10), [list(map(chr, range(0x4E00 + 400 * k, 0x4E00 + 400 * k + 700))) for k in range(3)]  # overlapping
+    write = lambda k, n: "".join(rng.choice(letters[k], n))
+    rows = [(i, write(i % 3, 300), f"l{i % 3}") for i in range(240)] + [(1000 + i, write(i % 3, 60_000), f"l{i % 3}") for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table.where("doc_id < 1000"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(table.where("doc_id >= 1000"), model).collect()}
+    assert all(got[1000 + i][0] == f"l{i % 3}" for i in range(9)), got
+    parts = language_id.chunks("abcdefg" * 999, 4)
+    assert "".join(c[:-3] for c in parts[:-1]) + parts[-1] == "abcdefg" * 999
