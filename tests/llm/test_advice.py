@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.llm import language_id, near_dedup, toxicity
+from tessera.llm import language_id, lm_score, near_dedup, toxicity
 
 
 def test_near_copies_that_repeat_a_line_are_found(spark):
@@ -75,3 +75,7 @@ def test_long_texts_keep_their_language(spark):
     assert all(got[1000 + i][0] == f"l{i % 3}" for i in range(9)), got
     parts = language_id.chunks("abcdefg" * 999, 4)
     assert "".join(c[:-3] for c in parts[:-1]) + parts[-1] == "abcdefg" * 999
+
+
+def test_language_model_keeps_its_classes():
+    assert lm_score.TOP >= 15 and lm_score.ENDINGS >= 32
