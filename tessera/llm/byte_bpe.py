@@ -2,7 +2,9 @@
 
 Each token's bytes are mapped to printable characters (one per byte), and the piece scores the negative rank, so that
 sentencepiece's best-scoring merge is the lowest-ranked merge. Normalisation is the identity. Texts are cut into
-pre-tokens with the given pattern, each pre-token is encoded separately, and decoding maps ids back to bytes.
+pre-tokens with the given pattern, each pre-token is encoded separately, and decoding maps ids back to bytes. Cuts are made
+as tiktoken makes them: a character that its Unicode tables class otherwise than Python's is matched by a stand-in. Beyond
+the ASCII range, the pattern may tell characters apart as letters, numbers and white space only.
 
 Texts are cut before every run of white space first; no match of the pattern runs from a non-space into white space, so
 each cut can be encoded by itself, and a cache of short cuts (two generations of at most `CACHE` entries) saves work.
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import characters
 from tessera.llm.common import release
 
 CACHE, CACHED_CHARS = 150_000, 64
@@ -80,10 +83,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """encode(text) -> ids, decode(ids) -> bytes."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, stand_ins: dict[int, str] | None = None):
         import regex
         import sentencepiece
 
+        self.stand_ins = characters.stand_ins() if stand_ins is None else stand_ins
+        self.odd = frozenset(map(chr, self.stand_ins))
         ranks = read_ranks(path)
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
@@ -95,9 +100,14 @@ class Codec:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
+    def pre_tokens(self, cut: str) -> list[str]:
+        if cut.isascii() or self.odd.isdisjoint(cut):
+            return self.pre.findall(cut)
+        return [cut[m.start():m.end()] for m in self.pre.finditer(cut.translate(self.stand_ins))]
+
     def _learn(self, cuts: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of new cuts: all their pre-tokens go to the model in one call."""
-        pre = [self.pre.findall(c) for c in cuts]
+        pre = [self.pre_tokens(c) for c in cuts]
         flat = [x.encode().decode("latin-1").translate(self.table) for p in pre for x in p]
         encoded = iter(self.model.encode(flat, num_threads=1) if flat else [])
         number = self.numbers
@@ -130,19 +140,20 @@ class Codec:
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, stand_ins: dict[int, str]) -> Codec:
     """One codec for each worker process."""
     if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
+        _CODECS[path, pattern] = Codec(path, pattern, stand_ins)
     return _CODECS[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and token ids (array of int) of each document."""
     slim = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    stand_ins = characters.stand_ins()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, stand_ins)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
@@ -157,9 +168,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and decoded bytes of each row; null ids count as none."""
     slim = encoded.select(F.col(id_col), F.col(ids_col).alias("__ids"))
+    stand_ins = characters.stand_ins()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, stand_ins)
         for b in batches:
             data = [c.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], [id_col, "data"])
@@ -170,9 +182,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encodes each text, then decodes its ids, in one pass."""
     slim = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    stand_ins = characters.stand_ins()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, stand_ins)
         names = [str(i) for i in range(len(c.pieces))]
         for b in batches:
             n, ids_sha, decoded_sha = [], [], []
