@@ -4,9 +4,9 @@ Each partition packs its own documents in one pass, without a shuffle. A documen
 the largest tier leave at once; the rest is routed to the smallest tier that holds it. When `queue` rests wait, or at
 the end, each tier is packed, the longest first: a window is opened with the longest rest of its tier, its gap is filled
 from the longest rests of the same or shorter tiers that fit, and what is still open by cutting one more rest. So windows
-are full. Only the last few of a partition differ: the tokens left are cut into powers of two, which need no padding,
-down to `least` tokens; with `least` above 1, one window of fewer tokens may remain to be padded. Windows are numbered by partition, and `step` groups a partition's windows so that all groups but the
-last hold about `step_tokens` tokens.
+are full. Only the last few of a partition differ: the tokens left are cut into tiers, the largest first, and fewer tokens
+than the smallest tier, if any, make one window that is padded. Tiers must be powers of two. Windows are numbered by
+partition, and `step` groups a partition's windows so that all groups but the last hold about `step_tokens` tokens.
 
 Defined results: null text counts as empty, its document is the end token alone; very long documents are cut; repeated
 rows are packed each; null ids are kept; other columns are not read; an empty table gives an empty result.
@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import characters
 from tessera.llm.common import release
 
 CACHE, CACHED_CHARS = 150_000, 64
@@ -41,10 +42,11 @@ class Tokenizer:
 
     A word's merges are made by tiktoken's byte-pair core, which is much faster than the tokenizer's own: the mark of a
     word's end becomes the byte 0xFF, which UTF-8 never has. This needs ids in the order of merges and the usual
-    normalisation and pattern of such files; for any other file the tokenizers library encodes each run.
+    normalisation and pattern of such files; for any other file, and for runs with a character that the library may class
+    or normalise otherwise than Python, the tokenizers library encodes each run.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: frozenset[str] | None = None):
         import json
 
         import regex
@@ -52,6 +54,7 @@ class Tokenizer:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.path, self.core, self.library = path, None, None
+        self.odd = characters.odd_characters(path) if odd is None else odd
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"].get("merges", [])
@@ -84,7 +87,7 @@ class Tokenizer:
 
     def _encode(self, run: str) -> tuple[int, ...]:
         if (ids := self.old.get(run)) is None:
-            if self.core is None or "<|" in run and any(s in run for s in self.special):
+            if self.core is None or "<|" in run and any(s in run for s in self.special) or not (run.isascii() or self.odd.isdisjoint(run)):
                 ids = self._by_library(run)
             else:
                 low = run if run.isascii() else unicodedata.normalize("NFC", run)
@@ -114,21 +117,21 @@ class Tokenizer:
 _TOKENIZERS: dict[str, Tokenizer] = {}
 
 
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, odd: frozenset[str]) -> Tokenizer:
     """One tokenizer for each worker process, without threads of its own."""
     if path not in _TOKENIZERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _TOKENIZERS[path] = Tokenizer(path)
+        _TOKENIZERS[path] = Tokenizer(path, odd)
     return _TOKENIZERS[path]
 
 
 class Packer:
     """Piece: (doc, start, ids, doc_tokens). Yields windows as lists of pieces."""
 
-    def __init__(self, tiers: list[int], queue: int, least: int):
-        self.tiers, self.size, self.queue, self.least = tiers, tiers[-1], queue, least
+    def __init__(self, tiers: list[int], queue: int):
+        self.tiers, self.size, self.queue = tiers, tiers[-1], queue
         self.waiting: dict[int, deque] = defaultdict(deque)  # length -> pieces
         self.lengths: list[int] = []  # sorted, of the pieces that wait; a tier is a range of it
         self.count = self.tokens = 0
@@ -144,11 +147,10 @@ class Packer:
             yield from self._pack_tiers()
 
     def end(self) -> Iterator[list]:
-        """Everything that waits: whole tiers, then powers of two without padding, then, below `least`, one short window."""
+        """Everything that waits: whole windows, then the tiers that the tokens left still fill, then one short window."""
         yield from self._pack_tiers()
         while self.count:
-            size = 1 << (self.tokens.bit_length() - 1)
-            yield self._fill(size if size >= self.least else self.tokens)
+            yield self._fill(next((t for t in reversed(self.tiers) if t <= self.tokens), self.tokens))
 
     def _pack_tiers(self) -> Iterator[list]:
         """From the longest tier on: a window is opened by a piece of its own tier."""
@@ -189,15 +191,15 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, tiers: tuple[int, ...] = (256, 512, 1024, 2048),
-         end_id: int = 1, queue: int = 4096, least: int = 1, step_tokens: int = 1 << 19, with_ids: bool = False) -> DataFrame:
+         end_id: int = 1, queue: int = 4096, step_tokens: int = 1 << 19, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step (and ids)."""
     sizes = sorted(tiers)
     slim = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    kind = docs.schema[id_col].dataType
+    kind, odd = docs.schema[id_col].dataType, characters.odd_characters(path)
     schema = f"{id_col} {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = tokenizer(path), Packer(sizes, queue, least)
+        encode, packer = tokenizer(path, odd), Packer(sizes, queue)
         base, made, tokens = TaskContext.get().partitionId() << 36, 0, 0
         id_type = None
         rows: list[tuple] = []

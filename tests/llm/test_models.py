@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, byte_bpe, language_id, lm_score, near_dedup, packing, toxicity
+from tessera.llm import ann, byte_bpe, characters, language_id, lm_score, near_dedup, packing, toxicity
 
 ODD = [None, "", " ", "a\x1cb \x1d\x85 c", "x" * 50_000, " \n\n  word", "İÉ 'll don't'S", "\U0001f642\U0001f642 ok　ＡＢ", "<|endoftext|> hi", "﻿a​b", "word " * 3000]
 
@@ -49,6 +50,35 @@ def test_byte_bpe_equals_tiktoken(docs):
     assert byte_bpe.digests(docs.limit(0), path, P.PATTERN).count() == 0
 
 
+def odd_texts():
+    """Every code point between letters, odd ones and a sample also beside marks and apostrophes, and 50,000 random strings."""
+    every = characters.code_points()
+    odd = "".join(sorted(characters.odd_characters(P.path("word_bpe_49k.json"))))
+    shapes = ["a{0}b", "'{0}'s 1{0}2", "e{0}\u0301{0}\u0323 \u03a3{0}"]
+    for shape, chars in zip(shapes, (every, odd + every[:0x3F800:11], odd + every[:0x3F800:11]), strict=True):
+        for k in range(0, len(chars), 96):
+            yield " ".join(shape.format(c) for c in chars[k:k + 96])
+    rng = random.Random(1)
+    common = "abcXYZ019 '\t\n\r.,;-sStTlLdD\u0323\u0301\u0345\xa0 \x85\x1c\x1f\u200b\u0130ı\u03a3\u03c3ſ\u212aẞßﬁ가각क़一٠²①\U0001f642\u200d<|>"
+    pools = [common, common + odd[:200], every[:0x3000], every, odd]
+    for _ in range(50_000):
+        yield "".join(rng.choice(rng.choice(pools) if rng.random() < 0.5 else common) for _ in range(rng.randint(1, 14)))
+
+
+def test_tokenizers_agree_on_every_code_point():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path, words = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    codec, lib, mine = byte_bpe.Codec(path, P.PATTERN), Tokenizer.from_file(words), packing.Tokenizer(words)
+    texts = list(odd_texts())
+    for k in range(0, len(texts), 4096):
+        part = texts[k:k + 4096]
+        assert codec.encode_many(part) == enc.encode_ordinary_batch(part)
+        assert [x.tolist() for x in mine(part)] == [x.ids for x in lib.encode_batch(part, add_special_tokens=False)]
+
+
 def test_packing_keeps_every_id_once(docs):
     from tokenizers import Tokenizer
 
@@ -66,15 +96,14 @@ def test_packing_keeps_every_id_once(docs):
         parts = sorted(got[i], key=lambda p: p["start"])
         assert [x for p in parts for x in p["ids"]] == ids and parts[0]["doc_tokens"] == len(ids)
         assert all(p["start"] == sum(q["length"] for q in parts[:k]) for k, p in enumerate(parts))
-    padding = total = 0
+    short = 0
     for w in windows.values():
         w.sort()
         assert all(o == sum(n for _, n in w[:k]) for k, (o, _) in enumerate(w))
         n = sum(x for _, x in w)
-        assert n <= 2048
-        total += n
-        padding += 0 if n & (n - 1) == 0 else 2048 - n
-    assert padding == 0 < total
+        assert n in (256, 512, 1024, 2048) or n < 256
+        short += n < 256
+    assert short <= 3  # one window of each partition may need padding
     steps = defaultdict(int)
     for p in packing.pack(docs.coalesce(1), P.path("word_bpe_49k.json"), step_tokens=32768).collect():
         steps[p["step"]] += p["length"]
