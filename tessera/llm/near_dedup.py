@@ -239,10 +239,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").mapInArrow(run, "u long, v long")
 
 
-def _within_blocks(members: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """members(bucket, node, label): links between nodes of different labels in a bucket, in tasks of two blocks at most."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "bucket").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+HOT = 4096
+
+
+def _dealt(rows: DataFrame, keyed: DataFrame, total: int) -> DataFrame:
+    """rows(bucket, ...) joined with keyed(bucket, n, ...), n being the rows of a bucket, `total` of all.
+
+    Buckets with more than 1 / HOT of all rows number HOT at most: they are broadcast, so that their rows stay spread.
+    """
+    hot = F.col("n") > total / HOT
+    right = keyed.withColumnRenamed("bucket", "__b")
+    by = F.col("bucket") == F.col("__b")
+    cold = right.where(~hot).withColumn("__b", fresh(F.col("__b")))
+    return rows.join(F.broadcast(right.where(hot)), by).drop("__b").unionByName(rows.join(cold, by).drop("__b"))
+
+
+def _within_blocks(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """placed(bucket, node, label, blocks): links between nodes of different labels in a bucket, in tasks of two blocks at most."""
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "node", "label", "at")
 
@@ -279,8 +293,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     nodes = cut(signed.groupBy("key").agg(first.alias("f"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
                 .select("key", F.col("f.uid").alias("node"), F.col("f.id").alias("__nd_id"), F.col("f.hash").alias("__nd_hash"), "size", "bands", "copies"))
     placed = nodes.where("size > 0").select("node", F.explode("bands").alias("bucket"))
-    leaders = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    members = cut(placed.join(leaders.select(fresh(F.col("bucket")).alias("b"), "leader"), F.col("bucket") == F.col("b")).drop("b"))
+    leaders = cut(placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
+                  .where("leader < last").select("bucket", "leader", "n"))
+    total = leaders.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = cut(_dealt(placed, leaders, total).drop("n"))
     pairs = cut(members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct())
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = cut(_sets(slim, nodes.join(wanted, "node").select("node", "__nd_id", "__nd_hash")))
@@ -288,9 +304,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     labels = components(links)
     open_members = members.where("node <> leader").join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
         "bucket", "node", "leader", F.coalesce("label", "node").alias("label"))
-    unsettled = open_members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select(fresh(F.col("bucket")).alias("open"))
-    rest = cut(open_members.join(unsettled, F.col("bucket") == F.col("open"), "left_semi").select("bucket", "node", "label"))
-    more = cut(_within_blocks(rest, sets, threshold, block).distinct())
+    unsettled = cut(open_members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
+                    .where("a <> b").select("bucket", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    rest = cut(_dealt(open_members.select("bucket", "node", "label"), unsettled, total).select("bucket", "node", "label", "blocks"))
+    more = cut(_within_blocks(rest, sets, threshold).distinct())
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     node_labels = nodes.select("key", "node").join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
