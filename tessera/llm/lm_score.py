@@ -1,339 +1,579 @@
 """LM scoring with a hashed maximum-entropy model, class-factored.
 
-p(token | history) = p(class | history) * p(token | class). Classes: the most frequent tokens have one each, the end of a
-text has one, and all other tokens are dealt by their ending. The class factor is a softmax over hashed features of the
-history: the word before, the word before that (a skip), the pair of both, and a constant. The token factor is the
-token's share of its class's training tokens; each class keeps a share for unknown tokens by the Good-Turing estimate
-(tokens seen once / all tokens), and "an unknown token of this class" is one event, so probabilities sum to one.
-
-Training: exact token counts of all training texts (one distributed aggregation), then gradient updates over all training
-texts: every task runs mini-batch updates (Adagrad) over its partition, and the tasks' weights are averaged feature by
-feature, weighted by how often each task met the feature, in two distributed steps. Scoring runs in numpy batches.
-
-The vocabulary is broadcast to the scoring tasks (16 bytes a token) up to `vocabulary_limit` tokens; beyond it the
-tokens of the texts are joined with their counts in Spark, with the same results.
+p(token | history) = p(class | history) * p(slot | class, history) * p(token | slot). The most frequent tokens have a class
+each, the end of a text has one, and all other tokens are dealt to `ENDINGS` classes by their ending; within such a class
+tokens are dealt to `SLOTS` slots by their hash. Both of the first factors are softmaxes over hashed features of the
+history: the word before, the word before that (a skip) and the pair of both for the class; the word before and the skip
+for the slot, hashed within the class. The last factor is the token's share of its slot's training tokens. Each class keeps
+a share for unknown tokens by the Good-Turing estimate (tokens seen once / all tokens), and "an unknown token of this class"
+is one event, without a slot, so probabilities sum to one.
+
+Training: exact token counts of all training texts; then two gradient updates over all training texts, each a sum over
+tasks. At weights of zero the expected count of (feature, outcome) is known without a pass, so the first update needs only
+the observed counts, which are integers; its step is `SHARE` of the log ratio of both. The second takes observed minus
+expected counts at the new weights, scaled by the expected ones. No update depends on the order of texts or on partitions
+(sums of expected counts do in their last digits, about 1e-7). Scoring runs in numpy batches.
+
+A token is known by a 64-bit number: a hash, the lowest bits of which are its ending's class. Counts of the most frequent
+tokens (at most `head` of them, all with a count over some bound) are broadcast, 16 bytes each; rarer ones, of which none
+can hold a large share of the tokens, are joined with their counts in Spark. This is the plan at every size.
 
 Defined results: A-Z is lower-cased; tokens are runs outside [\\x20\\x09-\\x0D] and one end per text; null text counts as
-empty (its end alone); documents with a null id belong to the training side; repeated rows each count and get a row;
-without training texts all counts are 0. Other columns are not read. An empty table gives an empty result.
+empty (its end alone); very long texts are read whole, in chunks cut at white space; among tokens of equal count the
+smaller number is the more frequent one; documents with a null id belong to the training side; repeated rows each count
+and get a row; without training texts all counts are 0. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fold
+from tessera.llm.common import cut, fold, release
 
-TOP, ENDINGS = 15, 32
+TOP, ENDINGS, SLOTS = 15, 32, 32  # powers of two: endings and slots are bits of a token's number
 CLASSES = TOP + ENDINGS + 1
-END = b""  # no word is empty
-BUCKETS = 1 << 15
-BLOCK = 512
-FEATURES = 3
-MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+END_CLASS = CLASSES - 1
+END = np.uint64(0xE4D0F7E275A1C600)
+BUCKETS, SLOT_BUCKETS = 1 << 15, 1 << 10  # rows of weights: of classes; of the slots of one class
+CHUNK, BLOCK = 1 << 18, 512
+PRIOR, SHARE, RATE, CALM = 100.0, 0.6, 0.5, 400.0
 LOG10 = float(np.log(10.0))
+MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+FIRST, SECOND = np.uint32(0x51ED270B), np.uint32(0x2545F491)  # stand for the words before a text
 
-
-def tokens(text: str | None) -> list[bytes]:
-    """bytes.lower() and bytes.split() know ASCII letters and ASCII white space only, as wanted."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-POWERS = np.cumprod(np.full(4096, 0x01000193, np.uint64) & np.uint64(0xFFFFFFFF), dtype=np.uint64).astype(np.uint32)
+SOLID = np.ones(256, bool)
+SOLID[[0x20, *range(9, 14)]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+VALUES = np.where(SOLID, LOWER.astype(np.uint64) + np.uint64(1), np.uint64(0))  # white space adds nothing to a sum
 PLAIN = np.ones(256, bool)  # bytes that are not signs at a word's end
 PLAIN[list(b".,;:!?|#$%&*")] = False
 
 
-def token_table(names: list[bytes], top: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """A 32-bit hash and the class of each token: its own if it is in `top` or the end, else by its last three bytes
-    before any signs."""
-    sizes = np.fromiter(map(len, names), np.int64, len(names))
-    filled = np.maximum(sizes, 1)
-    raw = np.frombuffer(b"".join(names) if sizes.all() else b"".join([t or b"\n" for t in names]), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(filled)[:-1]])
-    at = np.arange(len(raw))
-    place = (at - np.repeat(starts, filled)) & 4095
-    code = np.add.reduceat((raw.astype(np.uint32) + np.uint32(1)) * POWERS[place], starts, dtype=np.uint32)
-    code = (code ^ (code >> np.uint32(15))) * MULT[0]
-    last = np.maximum.reduceat(np.where(PLAIN[raw], at, -1), starts)
-    ends = np.zeros(len(names), np.uint32)
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+PLACES = 1 << 12
+FACTORS = mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of the tokens raw[start:end]; between them is white space."""
+    value = VALUES.take(raw)
+    at = np.arange(len(raw), dtype=np.int32)
+    place = at[starts[0]:] - np.repeat(starts.astype(np.int32), np.diff(starts, append=len(raw)))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value[starts[0]:] * FACTORS.take(place & np.int32(PLACES - 1)), out=sums[starts[0] + 1:])
+    h = sums[ends] - sums[starts]
+    sizes = ends - starts
+    if sizes.max() > PLACES:  # factors come again: bind each byte to its round as well
+        np.cumsum(value[starts[0]:] * mix((place // PLACES).astype(np.uint64)), out=sums[starts[0] + 1:])
+        h += sums[ends] - sums[starts]
+    h = mix(h + sizes.astype(np.uint64))
+    last = ends - 1  # of the bytes before any signs
+    signs = np.flatnonzero(~PLAIN.take(raw[last]))
+    for _ in range(8):
+        if not len(signs):
+            break
+        last[signs] -= 1
+        signs = signs[(last[signs] >= starts[signs]) & ~PLAIN.take(raw[last[signs]])]
+    if len(signs):
+        last[signs] = np.maximum.accumulate(np.where(PLAIN.take(raw), at, np.int32(-1)))[last[signs]]
+    code = np.zeros(len(starts), np.uint32)
     for k in range(3):
         i = last - k
-        ends = ends * np.uint32(257) + np.where((last >= 0) & (i >= starts), raw[np.maximum(i, 0)], 0).astype(np.uint32)
-    kinds = (TOP + ((ends * MULT[1]) >> np.uint32(16)) % np.uint32(ENDINGS)).astype(np.int64)
-    kinds[sizes == 0] = CLASSES - 1
-    if top:
-        where = {t: i for i, t in enumerate(names)} if len(names) <= len(top) else None
-        for t, k in top.items():
-            if where is not None:
-                if t in where:
-                    kinds[where[t]] = k
-            else:
-                same = np.flatnonzero((sizes == len(t)) & (code == _code(t)))
-                for i in same:
-                    if names[i] == t:
-                        kinds[i] = k
-    return code, kinds
-
-
-def _code(token: bytes) -> np.uint32:
-    return token_table([token], {})[0][0]
-
-
-def class_of(token: bytes, top: dict[bytes, int]) -> int:
-    return int(token_table([token], top)[1][0])
-
-
-def batch_arrays(texts: list[list[bytes]], top: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Of all tokens in turn: their class, the rows of their features, the number of each token among the distinct ones;
-    the distinct tokens; the lengths."""
-    ids: dict[bytes, int] = {}
-    put = ids.setdefault
-    flat: list[int] = []
-    for text in texts:
-        flat += [put(t, len(ids)) for t in text]
-        flat.append(put(END, len(ids)))
-    at = np.array(flat, np.int64)
-    names = list(ids)
-    code, kinds = token_table(names, top)
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    h = code[at]
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    one = np.empty_like(h)
-    one[1:], two = h[:-1], np.empty_like(h)
-    one[starts] = 0x51ED270B
-    two[1:] = one[:-1]
-    two[starts] = 0x2545F491
-    shift = np.uint32(32 - (BUCKETS - 1).bit_length())
-    mixed = lambda x: ((x ^ (x >> np.uint32(15))) * MULT[1]) >> shift
-    rows = np.stack([mixed(one * MULT[0] + np.uint32(1)), mixed(two * MULT[0] + np.uint32(7)), mixed(one * MULT[2] ^ two * MULT[0])])
-    return kinds[at], rows.astype(np.uint16), at, names, lengths
-
-
-class ClassModel:
-    """Softmax over classes: a constant and one weight row for each hashed feature."""
-
-    def __init__(self, weights: np.ndarray | None = None, constant: np.ndarray | None = None):
-        self.w = np.zeros((BUCKETS, CLASSES), np.float32) if weights is None else weights
-        self.b = np.zeros(CLASSES, np.float32) if constant is None else constant
-
-    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
-        z = self.w[rows[0]]
+        code = code * np.uint32(257) + np.where(i >= starts, LOWER.take(raw[np.maximum(i, 0)]), 0).astype(np.uint32)
+    kind = ((code * MULT[1]) >> np.uint32(16)) & np.uint32(ENDINGS - 1)
+    return (h & ~np.uint64(ENDINGS - 1)) | kind.astype(np.uint64)
+
+
+@dataclass
+class Chunk:
+    """Consecutive tokens: their numbers, the row of each one's text in the batch, and the codes of the two words before."""
+
+    ids: np.ndarray
+    docs: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+
+
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
+    """The tokens of a column of texts without nulls, in chunks of about `size` bytes; texts are cut at white space only."""
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    begin, stop = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    a = doc = 0
+    carried = FIRST, SECOND
+    while doc < len(stop):
+        b = min(a + size, len(raw))
+        if b < len(raw):
+            whole = int(np.searchsorted(stop, b, "right"))
+            if whole > doc and stop[whole - 1] > a:
+                b = int(stop[whole - 1])
+            else:  # inside a long text: up to the next white space
+                while b < stop[doc] and SOLID[raw[b:b + 4096][:stop[doc] - b]].all():
+                    b = min(b + 4096, int(stop[doc]))
+                if b < stop[doc]:
+                    b += int(np.argmin(SOLID[raw[b:b + 4096]]))
+        until = int(np.searchsorted(stop, b, "right"))
+        inside = a > begin[doc]
+        chunk = _chunk(raw[a:b], a, stop, doc, until, carried if inside else (FIRST, SECOND))
+        if len(chunk.ids):
+            carried = np.uint32(chunk.ids[-1] >> np.uint64(32)), chunk.one[-1]
+            yield chunk
+        a, doc = b, until
+
+
+def _chunk(raw: np.ndarray, at: int, stop: np.ndarray, doc: int, until: int, carried: tuple) -> Chunk:
+    """raw: bytes from position `at`; the texts from doc to until - 1 end in it."""
+    solid = SOLID.take(raw)
+    edges = (stop[doc:until] - at)
+    new, old = solid.copy(), solid.copy()
+    new[1:] &= ~solid[:-1]
+    old[:-1] &= ~solid[1:]
+    inner = edges[(edges > 0) & (edges < len(raw))]
+    new[inner] = solid[inner]
+    old[inner - 1] = solid[inner - 1]
+    starts, ends = np.flatnonzero(new), np.flatnonzero(old) + 1
+    text = np.searchsorted(stop, starts + at, "right")
+    n, closing = len(starts), np.arange(doc, until)
+    ids, docs = np.empty(n + len(closing), np.uint64), np.empty(n + len(closing), np.int64)
+    place = np.searchsorted(text, closing, "right") + np.arange(len(closing))
+    is_end = np.zeros(len(ids), bool)
+    is_end[place] = True
+    ids[place], docs[place] = END, closing
+    if n:
+        ids[~is_end] = numbers(raw, starts, ends)
+        docs[~is_end] = text
+    code = (ids >> np.uint64(32)).astype(np.uint32)
+    one, two = np.empty_like(code), np.empty_like(code)
+    if len(ids):
+        after = np.flatnonzero(is_end[:-1]) + 1  # the first of each next text
+        one[1:], one[0] = code[:-1], carried[0]
+        one[after] = FIRST
+        two[1:], two[0] = one[:-1], carried[1]
+        two[after] = SECOND
+    return Chunk(ids, docs, one, two)
+
+
+class Classes:
+    """The class of each token; tokens beyond the frequent ones also have a slot."""
+
+    def __init__(self, top: list[int]):
+        self.top = np.array(top, np.uint64)
+        self.bits = next(k for k in range(16, 64) if len(set((self.top & np.uint64((1 << k) - 1)).tolist())) == len(top)) if top else 16
+        self.table = np.zeros(1 << self.bits, np.uint8)
+        self.table[(self.top & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = np.arange(1, len(top) + 1)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        y = (TOP + (ids & np.uint64(ENDINGS - 1))).astype(np.int64)
+        maybe = self.table[(ids & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
+        at = np.flatnonzero(maybe)
+        k = maybe[at].astype(np.int64) - 1
+        same = self.top[k] == ids[at]
+        y[at[same]] = k[same]
+        y[ids == END] = END_CLASS
+        return y
+
+
+def slots(ids: np.ndarray) -> np.ndarray:
+    return ((ids >> np.uint64(5)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def class_rows(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+    """Rows of weights of the features of each history."""
+    mixed = lambda x: (((x ^ (x >> np.uint32(15))) * MULT[1]) >> np.uint32(32 - 15)).astype(np.uint16)
+    return [mixed(one * MULT[0] + np.uint32(1)), mixed(two * MULT[0] + np.uint32(7)), mixed(one * MULT[2] ^ two * MULT[0])]
+
+
+def slot_rows(one: np.ndarray, two: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
+    """Rows of weights of the features within the class TOP + kind."""
+    mixed = lambda x: (((x ^ (x >> np.uint32(13))) * MULT[2]) >> np.uint32(32 - 10)).astype(np.uint16)
+    base = (kind * SLOT_BUCKETS).astype(np.uint16)
+    return [base + mixed(one * MULT[1] + np.uint32(3)), base + mixed(two * MULT[1] + np.uint32(11))]
+
+
+class Model:
+    """Weights of both softmaxes: constants, and a row for each hashed feature. They are small enough to need no scaling before exp()."""
+
+    def __init__(self, classes: Classes, constant: np.ndarray, slot_constant: np.ndarray, w: np.ndarray | None = None, v: np.ndarray | None = None):
+        self.classes, self.b, self.c = classes, constant.astype(np.float32), slot_constant.astype(np.float32)
+        self.w = np.zeros((BUCKETS, CLASSES), np.float32) if w is None else w.astype(np.float32)
+        self.v = np.zeros((ENDINGS * SLOT_BUCKETS, SLOTS), np.float32) if v is None else v.astype(np.float32)
+
+    def class_sums(self, rows: list[np.ndarray]) -> np.ndarray:
+        z = self.w.take(rows[0], axis=0)
         for r in rows[1:]:
-            z += self.w[r]
+            z += self.w.take(r, axis=0)
         z += self.b
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def train(self, rows: np.ndarray, y: np.ndarray, squares: np.ndarray, rate: float) -> None:
-        """One mini-batch update."""
-        g = np.exp(self.log_probabilities(rows))
-        g[np.arange(len(y)), y] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        s = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        sums = np.add.reduceat(g[order % len(y)], first, axis=0)
-        u = s[first]
-        squares[u] += np.einsum("ij,ij->i", sums, sums) / CLASSES
-        self.w[u] -= (rate / np.sqrt(squares[u] + 1e-6))[:, None] * sums
-        self.b -= (rate / np.sqrt(len(y))) * g.sum(0) / np.sqrt(len(y))
-
-
-def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
-    """(token binary, c long) over all texts; the end of a text is the empty token."""
+        return z
+
+    def slot_sums(self, rows: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
+        z = self.c.take(kind, axis=0)
+        for r in rows:
+            z += self.v.take(r, axis=0)
+        return z
+
+    def log_probabilities(self, c: Chunk, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: its class, ln p(class | history) and ln p(slot | class, history)."""
+        y, s = self.classes.of(c.ids), slots(c.ids)
+        p, inside = np.empty(len(y)), np.zeros(len(y))
+
+        def chosen(z: np.ndarray, k: np.ndarray) -> np.ndarray:
+            mine = z[np.arange(len(z)), k].astype(np.float64)
+            return mine - np.log(np.einsum("ij->i", np.exp(z, out=z)).astype(np.float64))
+
+        for i in range(0, len(y), block):  # stays in the processor's cache
+            part = slice(i, i + block)
+            p[part] = chosen(self.class_sums(class_rows(c.one[part], c.two[part])), y[part])
+            wide = np.flatnonzero((y[part] >= TOP) & (y[part] < END_CLASS))
+            kind = y[part][wide] - TOP
+            inside[i + wide] = chosen(self.slot_sums(slot_rows(c.one[part][wide], c.two[part][wide], kind), kind), s[part][wide])
+        return y, p, inside
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    np.exp(z, out=z)
+    z *= (1 / np.einsum("ij->i", z))[:, None]
+    return z
+
+
+def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray, rounds: int = 4) -> None:
+    """total[rows] += values, for repeated rows too: the first few of each row at once in turn, then the sums of the others."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order].astype(np.int64)
+    at = np.arange(len(rows))
+    turn = at - np.maximum.accumulate(np.where(np.concatenate([[True], ordered[1:] != ordered[:-1]]), at, 0))
+    for k in range(rounds):
+        now = np.flatnonzero(turn == k)
+        if not len(now):
+            return
+        r = ordered[now]
+        sums = total.take(r, axis=0)
+        sums += values.take(order[now], axis=0)
+        total[r] = sums
+    rest = np.flatnonzero(turn >= rounds)
+    if len(rest):
+        r = ordered[rest]
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        total[r[first]] += np.add.reduceat(values.take(order[rest], axis=0), first, axis=0)
+
+
+def count_tokens(docs: DataFrame, text_col: str, flush: int = 1 << 22) -> DataFrame:
+    """(id long, c long) over all texts, the end of a text included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
+        def rows() -> pa.RecordBatch:
+            ids, c = np.unique(np.concatenate(seen), return_counts=True)
             seen.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(c.astype(np.int64))], ["id", "c"])
 
+        waiting = 0
         for b in batches:
-            for t in b.column(0):
-                seen.update(tokens(t.as_py()))
-                seen[END] += 1
-                if len(seen) > 200_000:
-                    yield flush()
+            for c in chunks(b.column(0)):
+                seen.append(c.ids)
+                waiting += len(c.ids)
+                if waiting > flush:
+                    yield rows()
+                    waiting = 0
         if seen:
-            yield flush()
+            yield rows()
+        release()
 
-    return docs.select(text_col).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select(_text(text_col)).mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
 
 
-def _class_totals(counts: DataFrame, top: dict[bytes, int]) -> np.ndarray:
-    """For each class: tokens, and tokens seen once."""
+def _text(text_col: str):
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, 2), np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k = token_table(b.column(0).to_pylist(), top)[1]
-            c = b.column(1).to_numpy()
-            np.add.at(total[:, 0], k, c)
-            np.add.at(total[:, 1], k[c == 1], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int64()), pa.array(total[:, 0]), pa.array(total[:, 1])], ["k", "n", "once"])
-
-    got = counts.mapInArrow(run, "k long, n long, once long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()
-    out = np.zeros((CLASSES, 2))
-    for r in got:
-        out[r["k"]] = r["n"], r["once"]
-    return out
 
+def _summed(docs: DataFrame, text_col: str, collect: Callable[[np.ndarray, np.ndarray, Chunk], None], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """collect(class sums, slot sums, chunk) over all chunks of all texts, added up over the tasks.
+
+    Tasks send blocks of rows; every adding task holds one sum of each block, whatever the number of tasks.
+    """
+    shapes = (BUCKETS, CLASSES), (ENDINGS * SLOT_BUCKETS, SLOTS)
+    wide = np.int64 if kind is np.int32 else np.float64
+    split = BUCKETS // BLOCK
+    schema = "block int, salt int, data binary"
 
-def train_classes(docs: DataFrame, text_col: str, top: dict[bytes, int], class_tokens: np.ndarray, *, rate: float = 0.3, mini_batch: int = 2048) -> ClassModel:
-    """Gradient updates in every task over its texts, then the average of the tasks' weights by feature."""
-    start = np.log((class_tokens + 0.5) / (class_tokens + 0.5).sum()).astype(np.float32)
+    def blocks(sums: list[np.ndarray], salt: int) -> pa.RecordBatch:
+        data = [x[i:i + BLOCK].astype(kind).tobytes() for x in sums for i in range(0, len(x), BLOCK)]
+        return pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int32()), pa.array([salt] * len(data), pa.int32()), pa.array(data, pa.binary())], ["block", "salt", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, squares, met = ClassModel(constant=start.copy()), np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS)
-        updates = 0
+        salt = TaskContext.get().partitionId() % 16
+        near, sums, met, new = [np.zeros(s, kind) for s in shapes], [np.zeros(s, wide) for s in shapes], 0, 0
+
+        def settle() -> None:
+            for x, y in zip(sums, near, strict=True):
+                x += y
+                y[:] = 0
+
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                y, rows, _, _, _ = batch_arrays([tokens(t) for t in b.column(0).slice(k, 1024).to_pylist()], top)
+            for c in chunks(b.column(0)):
+                collect(*near, c)
+                met, new = met + len(c.ids), new + len(c.ids)
+                if new > 1 << 20:
+                    settle()
+                    new = 0
+                if met >= 1 << 30:  # what is sent has 32 bits
+                    settle()
+                    yield blocks(sums, salt)
+                    sums, met, new = [np.zeros(s, wide) for s in shapes], 0, 0
+        if met:
+            settle()
+            yield blocks(sums, salt)
+        release()
+
+    def add(read: type, write: type):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                for k, s, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    x = np.frombuffer(d, read).astype(write)
+                    total[k, s] = total[k, s] + x if (k, s) in total else x
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([s for _, s in total], pa.int32()),
+                                                  pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "salt", "data"])
+
+        return run
+
+    parts = docs.select(_text(text_col)).mapInArrow(run, schema).repartition("block", "salt").mapInArrow(add(kind, wide), schema)
+    got = parts.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(add(wide, wide), schema).collect()  # two matrices of a fixed size
+    out = [np.zeros(s, wide) for s in shapes]
+    for r in got:
+        which, k = divmod(r["block"], split)
+        out[which][k * BLOCK:(k + 1) * BLOCK] = np.frombuffer(bytes(r["data"]), wide).reshape(BLOCK, -1)
+    return out[0], out[1]
+
+
+def observe(classes: Classes) -> Callable[[np.ndarray, np.ndarray, Chunk], None]:
+    """Counts of (feature, outcome)."""
+
+    def collect(n: np.ndarray, m: np.ndarray, c: Chunk) -> None:
+        y = classes.of(c.ids)
+        one = np.int32(1)
+        for r in class_rows(c.one, c.two):
+            np.add.at(n.reshape(-1), r * np.int64(CLASSES) + y, one)
+        wide = np.flatnonzero((y >= TOP) & (y < END_CLASS))
+        s = slots(c.ids[wide])
+        for r in slot_rows(c.one[wide], c.two[wide], y[wide] - TOP):
+            np.add.at(m.reshape(-1), r * np.int64(SLOTS) + s, one)
+
+    return collect
+
+
+def expect(model: Model, block: int = 4096) -> Callable[[np.ndarray, np.ndarray, Chunk], None]:
+    """Expected counts of (feature, outcome) under the model."""
+
+    def collect(n: np.ndarray, m: np.ndarray, c: Chunk) -> None:
+        y = model.classes.of(c.ids)
+        for i in range(0, len(y), block):
+            one, two, k = c.one[i:i + block], c.two[i:i + block], y[i:i + block]
+            rows = class_rows(one, two)
+            p = softmax(model.class_sums(rows))
+            for r in rows:
+                _add_rows(n, r, p)
+            wide = np.flatnonzero((k >= TOP) & (k < END_CLASS))
+            if len(wide):
+                kind = k[wide] - TOP
+                rows = slot_rows(one[wide], two[wide], kind)
+                p = softmax(model.slot_sums(rows, kind))
                 for r in rows:
-                    met += np.bincount(r, minlength=BUCKETS)
-                for i in range(0, len(y), mini_batch):
-                    model.train(rows[:, i:i + mini_batch], y[i:i + mini_batch], squares, rate)
-                    updates += 1
-        if updates:
-            weighted = (model.w * met[:, None]).astype(np.float32)
-            salt = TaskContext.get().partitionId() % 61
-            data = [weighted[i:i + BLOCK].tobytes() for i in range(0, BUCKETS, BLOCK)] + [(model.b * updates).astype(np.float32).tobytes()]
-            mets = [met[i:i + BLOCK].tobytes() for i in range(0, BUCKETS, BLOCK)] + [np.array([float(updates)]).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(data)), pa.int32()), pa.array([salt] * len(data), pa.int32()), pa.array(data, pa.binary()), pa.array(mets, pa.binary())],
-                                             ["block", "salt", "w", "met"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["w"])
-        met = sum(np.frombuffer(x, np.float64) for x in pdf["met"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": [0], "w": [w.astype(np.float32).tobytes()], "met": [met.tobytes()]})
-
-    schema = "block int, salt int, w binary, met binary"
-    parts = docs.select(text_col).mapInArrow(run, schema).groupBy("block", "salt").applyInPandas(add, schema)
-    got = sorted(parts.groupBy("block").applyInPandas(add, schema).collect(), key=lambda r: r["block"])  # one model: a fixed size
-    if not got:
-        return ClassModel(constant=start)
-    w = np.concatenate([np.frombuffer(bytes(r["w"]), np.float32) for r in got[:-1]]).reshape(BUCKETS, CLASSES)
-    met = np.concatenate([np.frombuffer(bytes(r["met"]), np.float64) for r in got[:-1]])
-    b = np.frombuffer(bytes(got[-1]["w"]), np.float32) / np.frombuffer(bytes(got[-1]["met"]), np.float64)
-    return ClassModel((w / np.maximum(met, 1)[:, None]).astype(np.float32), b.astype(np.float32))
-
-
-def token_key(token: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(token)
-
-
-class Scorer:
-    def __init__(self, model: ClassModel, top: dict[bytes, int], totals: np.ndarray, n: int, v: int):
-        self.model, self.top, self.n, self.v = model, top, n, v
-        self.in_class = totals[:, 0]
-        fresh = np.minimum((totals[:, 1] + 0.5) / (totals[:, 0] + 1), 0.5)
-        single = np.r_[np.ones(TOP, bool), np.zeros(ENDINGS, bool), True]  # classes of one token
-        self.fresh = np.where(single, 1e-12, np.where(totals[:, 0] > 0, fresh, 1.0))
-
-    def score(self, texts: list[list[bytes]], counts) -> tuple[np.ndarray, ...]:
-        """counts: distinct tokens -> their training counts. n_tokens, n_known, base, score of each text."""
-        y, rows, at, names, lengths = batch_arrays(texts, self.top)
-        c_of = counts(names)
-        c = c_of[at]
-        p = np.empty(len(y), np.float64)
-        for i in range(0, len(y), 4096):  # stays in the processor's cache
-            z = self.model.log_probabilities(rows[:, i:i + 4096])
-            p[i:i + 4096] = z[np.arange(len(z)), y[i:i + 4096]]
-        fresh = self.fresh[y]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inside = np.where(c > 0, np.log1p(-fresh) + np.log(c / self.in_class[y]), np.log(fresh))
-        inside[(y == CLASSES - 1)] = 0.0  # the end is the only token of its class
-        base = np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        add = lambda x: np.add.reduceat(x, starts)
-        return lengths, add((c > 0).astype(np.int64)), add(base), add(p + inside) / LOG10
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, modulus: int = 5, held: int = 1,
-                    vocabulary_limit: int = 4_000_000) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    training = docs.where(fold(id_col, modulus) != held)
-    counts = cut(count_tokens(training, text_col))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = {bytes(r["token"]): i for i, r in enumerate(counts.where(F.length("token") > 0).orderBy(F.desc("c"), "token").limit(TOP).collect())}
-    totals = _class_totals(counts, top)
-    model = train_classes(training, text_col, top, totals[:, 0])
-    sent = spark.sparkContext.broadcast(Scorer(model, top, totals, n, v))
-    slim = docs.select(F.col(id_col).alias("id"), (fold(id_col, modulus) == held).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+                    _add_rows(m, r, p)
 
-    def result(part: pa.RecordBatch, got: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        tokens_, known, base, score = got
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens_), pa.array(known), pa.array(np.full(part.num_rows, n), pa.int64()), pa.array(base), pa.array(score)], out)
+    return collect
 
-    if v <= vocabulary_limit:
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([token_key(t) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)), b.column(1)], ["key", "c"])
 
-        table = counts.mapInArrow(keyed, "key long, c long").toArrow()  # at most vocabulary_limit rows of 16 bytes
-        keys, cs = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
-        order = np.argsort(keys)
-        vocabulary = spark.sparkContext.broadcast((keys[order], cs[order]))
+def first_update(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """From zero weights: `SHARE` of the log ratio of observed and expected counts, both with a prior of PRIOR tokens."""
+    return SHARE * np.log((n + PRIOR * p) / ((n.sum(1, keepdims=True) + PRIOR) * p))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s, (keys, cs), known = sent.value, vocabulary.value, {}
-
-            def look_up(names: list[bytes]) -> np.ndarray:
-                if len(known) > 400_000:
-                    known.clear()
-                new = [t for t in names if t not in known]
-                if new and len(keys):
-                    want = np.array([token_key(t) for t in new], np.uint64)
-                    i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                    known.update(zip(new, np.where(keys[i] == want, cs[i], 0).tolist(), strict=True))
-                return np.array([known.get(t, 0) for t in names], np.int64)
 
-            for b in batches:
-                for k in range(0, b.num_rows, 1024):
-                    part = b.slice(k, 1024)
-                    yield result(part, s.score([tokens(t) for t in part.column(2).to_pylist()], look_up))
+def second_update(n: np.ndarray, e: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The gradient, observed minus expected counts, scaled by the expected ones."""
+    return np.clip(RATE * (n - e) / (e + CALM * p + 20.0), -1, 1)
 
-        scored = slim.mapInArrow(run, schema)
-    else:
-        key = F.xxhash64("text").alias("h")
 
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i, h, t in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
-                    found = list({*tokens(t), END})
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), b.schema.field(0).type), pa.array([h] * len(found), pa.int64()), pa.array(found, pa.binary())], ["id", "h", "token"])
+def train(docs: DataFrame, text_col: str, classes: Classes, leaves: np.ndarray) -> Model:
+    """leaves: training tokens of each leaf, see leaf_of()."""
+    by_class, by_slot = _leaf_sums(leaves)
+    p = (by_class + 0.5) / (by_class + 0.5).sum()
+    q = (by_slot + 0.5) / (by_slot + 0.5).sum(1, keepdims=True)
+    q_rows = np.repeat(q, SLOT_BUCKETS, axis=0)
+    n, m = _summed(docs, text_col, observe(classes), np.int32)
+    model = Model(classes, np.log(p), np.log(q), first_update(n, p), first_update(m, q_rows))
+    e, f = _summed(docs, text_col, expect(model), np.float32)
+    return Model(classes, np.log(p), np.log(q), model.w + second_update(n, e, p), model.v + second_update(m, f, q_rows))
 
-        wanted = slim.select("id", key, "text").mapInArrow(pairs, f"id {kind}, h long, token binary").dropDuplicates()
-        lists = wanted.join(counts, "token").groupBy(F.col("id").alias("i"), F.col("h").alias("hh")).agg(F.collect_list(F.struct("token", "c")).alias("known"))
-        joined = slim.withColumn("h", F.xxhash64("text")).join(lists, (F.col("h") == F.col("hh")) & F.col("id").eqNullSafe(F.col("i")), "left")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = sent.value
-            for b in batches:
-                for k in range(0, b.num_rows, 256):
-                    part = b.slice(k, 256)
-                    known = {x["token"]: x["c"] for row in part.column(3).to_pylist() for x in row or []}
-                    look_up = lambda names: np.array([known.get(t, 0) for t in names], np.int64)  # noqa: B023, E731
-                    yield result(part, s.score([tokens(t) for t in part.column(2).to_pylist()], look_up))
-
-        scored = joined.select("id", "held_out", "text", "known").mapInArrow(run, schema)
-    return scored.withColumnRenamed("id", id_col)
+LEAVES = TOP + 1 + ENDINGS * SLOTS
+
+
+def leaf_of(ids: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The frequent tokens' classes, the end, then every slot of every ending."""
+    return np.where(y < TOP, y, np.where(y == END_CLASS, TOP, TOP + 1 + (y - TOP) * SLOTS + slots(ids)))
+
+
+def _leaf_sums(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by_slot = leaves[TOP + 1:].reshape(ENDINGS, SLOTS)
+    return np.concatenate([leaves[:TOP], by_slot.sum(1), leaves[TOP:TOP + 1]]).astype(float), by_slot.astype(float)
+
+
+def leaf_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
+    """For each leaf: tokens, and tokens seen once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((LEAVES, 2), np.int64)
+        for b in batches:
+            ids, c = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            leaf = leaf_of(ids, classes.of(ids))
+            np.add.at(total[:, 0], leaf, c)
+            np.add.at(total[:, 1], leaf[c == 1], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEAVES), pa.int64()), pa.array(total[:, 0]), pa.array(total[:, 1])], ["k", "n", "once"])
+
+    out = np.zeros((LEAVES, 2), np.int64)
+    for r in counts.select("id", "c").mapInArrow(run, "k long, n long, once long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():
+        out[r["k"]] = r["n"], r["once"]
+    return out
+
+
+class Leaves:
+    """Beside the class's and the slot's, the last factors: known[leaf] + ln(count) for known tokens; for others, whose slot
+    does not count, unknown[leaf]."""
+
+    def __init__(self, totals: np.ndarray):
+        n = totals[:, 0].astype(float)
+        by_class, once = (x.sum(1) for x in (n[TOP + 1:].reshape(ENDINGS, SLOTS), totals[TOP + 1:, 1].reshape(ENDINGS, SLOTS)))
+        fresh = np.where(by_class > 0, np.minimum((once + 0.5) / (by_class + 1), 0.5), 1.0)
+        fresh = np.concatenate([np.zeros(TOP + 1), np.repeat(fresh, SLOTS)])  # frequent tokens and the end are known
+        single = np.arange(LEAVES) <= TOP
+        with np.errstate(divide="ignore"):
+            self.known = np.where(single | (n == 0), 0.0, np.log1p(-np.where(n > 0, fresh, 0.0)) - np.log(np.maximum(n, 1)))
+            self.unknown = np.where(single, 0.0, np.log(fresh))
+
+
+class Counts:
+    """An open hash table from numbers to counts."""
+
+    def __init__(self, ids: np.ndarray, c: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(4 * len(ids)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.c, self.used = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, bool)
+        at, left = (ids >> self.shift).astype(np.int64), np.arange(len(ids))
+        while len(left):
+            slot, first = np.unique(at[left], return_index=True)
+            free = ~self.used[slot]
+            put = left[first[free]]
+            self.keys[slot[free]], self.c[slot[free]], self.used[slot[free]] = ids[put], c[put], True
+            left = np.setdiff1d(left, put, assume_unique=True)
+            at[left] = (at[left] + self.used[at[left]]) & (size - 1)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts; -1 for numbers that are not in the table."""
+        at = (ids >> self.shift).astype(np.int64)
+        out = np.where(self.used[at] & (self.keys[at] == ids), self.c[at], -1)
+        left = np.flatnonzero((out < 0) & self.used[at])
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.c) - 1)
+            here = at[left]
+            same = self.used[here] & (self.keys[here] == ids[left])
+            out[left[same]] = self.c[here[same]]
+            left = left[self.used[here] & ~same]
+        return out
+
+
+_TABLES: dict[str, Counts] = {}  # of a worker process: the last one in use
+
+
+def _head(counts: DataFrame, most: int) -> DataFrame:
+    """The tokens with a count over a bound, `most` at most."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    bound, total = 0, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # at most 512 levels
+        total += r["n"]
+        if total > most:
+            bound = r["level"] + 1
+            break
+    return counts.where(level >= bound)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, modulus: int = 5, held: int = 1, head: int = 1 << 19) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    training = docs.where(fold(id_col, modulus) != held)
+    counts = cut(count_tokens(training, text_col))
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    end = int(END.view(np.int64))
+    classes = Classes([r["id"] % (1 << 64) for r in counts.where(F.col("id") != end).orderBy(F.desc("c"), "id").limit(TOP).collect()])
+    totals = leaf_totals(counts, classes)
+    model, leaves = train(training, text_col, classes, totals[:, 0]), Leaves(totals)
+    frequent = _head(counts, head).toArrow()  # at most `head` rows of 16 bytes
+    sent = spark.sparkContext.broadcast((model, leaves, frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy()))
+    number = uuid.uuid4().hex
+    whole = 0.5 * (v + 1) + n
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "held_out", "uid", "n_tokens", "n_known", "base", "score", "rare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, leaves, ids, cs = sent.value
+        if number not in _TABLES:
+            _TABLES.clear()
+            _TABLES[number] = Counts(ids, cs)
+        table = _TABLES[number]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                b = batch.slice(k, 1024)
+                out = np.zeros((4, b.num_rows))
+                rare_ids, rare_leaves, rare_slots, rare_docs = [], [], [], []
+                for c in chunks(b.column(3)):
+                    y, p, slot = model.log_probabilities(c)
+                    leaf, count = leaf_of(c.ids, y), table.of(c.ids)
+                    known = count >= 0
+                    some = np.maximum(count, 1)
+                    inside = np.where(leaf <= TOP, 0.0, slot + leaves.known[leaf] + np.log(some))
+                    base = np.log10((some + 0.5) / whole)
+                    for i, x in enumerate((np.ones(len(y)), known, np.where(known, base, 0.0), p + np.where(known, inside, 0.0))):
+                        out[i] += np.bincount(c.docs, x, b.num_rows)
+                    rare = np.flatnonzero(~known)
+                    rare_ids.append(c.ids[rare])
+                    rare_leaves.append(leaf[rare])
+                    rare_slots.append(slot[rare])
+                    rare_docs.append(c.docs[rare])
+                ends = np.cumsum(np.concatenate([[0], np.bincount(np.concatenate(rare_docs), minlength=b.num_rows)]))
+                rows = pa.StructArray.from_arrays([pa.array(np.concatenate(rare_ids).view(np.int64)), pa.array(np.concatenate(rare_leaves).astype(np.int32)),
+                                                   pa.array(np.concatenate(rare_slots))], ["id", "leaf", "slot"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]),
+                                                  pa.array(out[3]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names)
+        release()
+
+    slim = docs.select(F.col(id_col).alias("id"), (fold(id_col, modulus) == held).alias("held_out"), F.monotonically_increasing_id().alias("uid"), _text(text_col))
+    scored = cut(slim.mapInArrow(run, f"id {kind}, held_out boolean, uid long, n_tokens long, n_known long, base double, score double, rare array<struct<id:long,leaf:int,slot:double>>"))
+    terms = spark.createDataFrame([(i, float(leaves.known[i]), float(leaves.unknown[i])) for i in range(LEAVES)], "leaf int, known double, unknown double")
+    rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.id", "r.leaf", "r.slot").join(counts, "id", "left").join(F.broadcast(terms), "leaf")
+    c = F.coalesce("c", F.lit(0))
+    sums = rare.groupBy(F.col("uid").alias("u")).agg(
+        F.sum((c > 0).cast("long")).alias("more"), F.sum(F.log10((c + 0.5) / F.lit(float(whole)))).alias("rare_base"),
+        F.sum(F.when(F.col("leaf") <= TOP, 0.0).when(c > 0, F.col("slot") + F.log("c") + F.col("known")).otherwise(F.col("unknown"))).alias("rare_score"))
+    zero = F.lit(0.0)
+    return scored.drop("rare").join(sums, F.col("uid") == F.col("u"), "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"), ((F.col("score") + F.coalesce("rare_score", zero)) / LOG10).alias("score"))

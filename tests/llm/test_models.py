@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -193,42 +194,140 @@ def test_lm_counts_base_and_probabilities(docs):
     c = Counter(t for i, r in enumerate(rows) if fold(r["doc_id"]) != 1 for t in toks[i])
     n, v = sum(c.values()), len(c)
     got = by_id(lm_score.score_documents(docs))
-    other = by_id(lm_score.score_documents(docs, vocabulary_limit=0))
+    other = by_id(lm_score.score_documents(docs.repartition(7), head=50))  # other partitions, and most tokens joined
     better = held = 0
     for i, r in enumerate(rows):
         x = got[r["doc_id"]][0]
         base = math.fsum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in toks[i])
-        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (fold(r["doc_id"]) == 1, len(toks[i]), sum(c[t] > 0 for t in toks[i]), n)
-        assert abs(x["base_score"] - base) < 1e-6 * abs(base) + 1e-9 and x["score"] <= 0
-        assert abs(other[r["doc_id"]][0]["score"] - x["score"]) < 1e-3 * abs(x["score"]) + 1e-6
+        for y in (x, other[r["doc_id"]][0]):
+            assert (y["held_out"], y["n_tokens"], y["n_known"], y["train_tokens"]) == (fold(r["doc_id"]) == 1, len(toks[i]), sum(c[t] > 0 for t in toks[i]), n)
+            assert abs(y["base_score"] - base) < 1e-9 * abs(base) + 1e-9 and y["score"] <= 0
+        assert abs(other[r["doc_id"]][0]["score"] - x["score"]) < 1e-6 * abs(x["score"])
         if x["held_out"] and len(toks[i]) > 20:
             held, better = held + 1, better + (x["score"] > x["base_score"])
     assert better > 0.9 * held
     assert lm_score.score_documents(docs.limit(0)).count() == 0
+    none = lm_score.score_documents(docs.where("doc_id = 3").select("doc_id", "text"), modulus=1, held=0).collect()  # nothing to learn from
+    assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in none] == [(0, 0, 0.0)]
+
+
+LM_TEXTS = ["the cat sat on the mat.", "The dog sat, the dog ran", "a cat ran on a dog!!!", "", "the the the", "zebra xylophone the quux", None, "x" * 5000 + " mat. " + "ab" * 4000] * 3 + ["one more cat sat"]
+
+
+def test_lm_equals_a_model_made_token_by_token(spark):
+    """Counts, both updates and every factor by plain loops; only the hashes of tokens and features are shared."""
+    table = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(LM_TEXTS)], "doc_id long, text string, uid int, rare int")
+    got = {r["doc_id"]: r for r in lm_score.score_documents(table, head=4).collect()}
+    number = lambda w: int(lm_score.numbers(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    texts = [[*map(number, (t or "").encode().lower().split()), int(lm_score.END)] for t in LM_TEXTS]
+    learn = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for t in learn for w in t)
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    top = sorted((w for w in c if w != int(lm_score.END)), key=lambda w: (-c[w], signed(w)))[:lm_score.TOP]
+    K, S = lm_score.CLASSES, lm_score.SLOTS
+
+    def kind(w):
+        return K - 1 if w == int(lm_score.END) else top.index(w) if w in top else lm_score.TOP + w % 32
+
+    def histories(t):
+        codes = [int(lm_score.FIRST), *(w >> 32 for w in t)]
+        return [(codes[i], codes[i - 1] if i else int(lm_score.SECOND)) for i in range(len(t))]
+
+    def rows(one, two, k):
+        one, two = np.array([one], np.uint32), np.array([two], np.uint32)
+        wide = lm_score.TOP <= k < K - 1
+        return [int(r[0]) for r in lm_score.class_rows(one, two)], [int(r[0]) for r in lm_score.slot_rows(one, two, np.array([k - lm_score.TOP]))] if wide else []
+
+    leaf, fresh_once = Counter(), Counter()
+    for w, x in c.items():
+        leaf[kind(w), w >> 5 & 31] += x
+        fresh_once[kind(w)] += x == 1
+    class_tokens = [sum(x for (k, _), x in leaf.items() if k == j) for j in range(K)]
+    p = np.array([x + 0.5 for x in class_tokens]) / sum(x + 0.5 for x in class_tokens)
+    q = {k: np.array([leaf[k, s] + 0.5 for s in range(S)]) / sum(leaf[k, s] + 0.5 for s in range(S)) for k in range(lm_score.TOP, K - 1)}
+    n, m = defaultdict(lambda: np.zeros(K)), defaultdict(lambda: np.zeros(S))
+    for t in learn:
+        for w, (one, two) in zip(t, histories(t), strict=True):
+            a, b = rows(one, two, kind(w))
+            for r in a:
+                n[r][kind(w)] += 1
+            for r in b:
+                m[r][w >> 5 & 31] += 1
+    prior = lambda r: q[lm_score.TOP + r // lm_score.SLOT_BUCKETS]
+    step = lambda x, p: 0.6 * np.log((x + 100 * p) / ((x.sum() + 100) * p))
+    w1, w2 = defaultdict(lambda: np.zeros(K), {r: step(x, p) for r, x in n.items()}), defaultdict(lambda: np.zeros(S), {r: step(x, prior(r)) for r, x in m.items()})
+
+    def softmax(z):
+        return np.exp(z) / np.exp(z).sum()
+
+    e, f = defaultdict(lambda: np.zeros(K)), defaultdict(lambda: np.zeros(S))
+    for t in learn:
+        for w, (one, two) in zip(t, histories(t), strict=True):
+            a, b = rows(one, two, kind(w))
+            x = softmax(np.log(p) + sum(w1[r] for r in a))
+            for r in a:
+                e[r] += x
+            if b:
+                x = softmax(np.log(q[kind(w)]) + sum(w2[r] for r in b))
+                for r in b:
+                    f[r] += x
+    second = lambda x, y, p: np.clip(0.5 * (x - y) / (y + 400 * p + 20), -1, 1)
+    for r in n:
+        w1[r] = w1[r] + second(n[r], e[r], p)
+    for r in m:
+        w2[r] = w2[r] + second(m[r], f[r], prior(r))
+    for i, t in enumerate(texts):
+        total = 0.0
+        for w, (one, two) in zip(t, histories(t), strict=True):
+            k = kind(w)
+            a, b = rows(one, two, k)
+            total += np.log(softmax(np.log(p) + sum(w1[r] for r in a))[k])
+            if b:
+                unknown = min((fresh_once[k] + 0.5) / (class_tokens[k] + 1), 0.5) if class_tokens[k] else 1.0
+                slot = softmax(np.log(q[k]) + sum(w2[r] for r in b))[w >> 5 & 31]
+                total += np.log(slot * (1 - unknown) * c[w] / leaf[k, w >> 5 & 31]) if c[w] else np.log(unknown)
+        assert abs(got[i]["score"] - total / np.log(10)) < 1e-5 * abs(total) + 1e-6, (i, got[i]["score"], total / np.log(10))
 
 
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    model = lm_score.ClassModel(rng.normal(size=(lm_score.BUCKETS, lm_score.CLASSES)).astype(np.float32))
-    words = [b"the", b"of", b"cat", b"cats", b"dog", lm_score.END]
-    top = {b"the": 0, b"of": 1}
-    counts = {w: k + 1 for k, w in enumerate(words)}
-    totals = np.zeros((lm_score.CLASSES, 2))
-    for w, k in counts.items():
-        totals[lm_score.class_of(w, top)] += (k, k == 1)
-    s = lm_score.Scorer(model, top, totals, sum(counts.values()), len(counts))
-    look = lambda names: np.array([counts.get(t, 0) for t in names])
-    first = lambda w: s.score([[w]] if w else [[]], look)[3][0]
-    # P(text = w, end): divide by the end's probability after w to get P(w)
-    total = 10 ** first(b"")
-    for w in [b"the", b"of", b"cat", b"cats", b"dog"]:
-        y, rows, *_ = lm_score.batch_arrays([[w]], top)
-        total += 10 ** (first(w) - model.log_probabilities(rows)[1, lm_score.CLASSES - 1] / lm_score.LOG10)
-    _, rows, *_ = lm_score.batch_arrays([[]], top)
-    p = np.exp(model.log_probabilities(rows)[0])
-    unseen_top = p[2:lm_score.TOP].sum()  # classes without a token here
-    total += unseen_top + (p[lm_score.TOP:-1] * s.fresh[lm_score.TOP:-1]).sum()
-    assert abs(total - 1) < 1e-4
+    names = [b"the", b"of", b"cat", b"cats", b"dog"]
+    ids = [int(lm_score.numbers(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in names] + [int(lm_score.END)]
+    counts = dict(zip(ids, range(1, 7), strict=True))
+    classes = lm_score.Classes(ids[:2])
+    totals, (k, s) = np.zeros((lm_score.LEAVES, 2), np.int64), (lm_score.ENDINGS, lm_score.SLOTS)
+    arrays = np.array(ids, np.uint64)
+    leaf = lm_score.leaf_of(arrays, classes.of(arrays))
+    for at, c in zip(leaf, counts.values(), strict=True):
+        totals[at] += (c, c == 1)
+    _, by_slot = lm_score._leaf_sums(totals[:, 0])
+    normal = lambda *shape: rng.normal(size=shape)
+    with np.errstate(divide="ignore"):
+        model = lm_score.Model(classes, normal(lm_score.CLASSES), np.log(by_slot / np.maximum(by_slot.sum(1, keepdims=True), 1)), normal(lm_score.BUCKETS, lm_score.CLASSES), normal(k * lm_score.SLOT_BUCKETS, s))
+    leaves = lm_score.Leaves(totals)
+    history = np.full(len(ids), 5, np.uint32), np.full(len(ids), 9, np.uint32)
+    y, p, slot = model.log_probabilities(lm_score.Chunk(arrays, np.zeros(len(ids), int), *history))
+    known = np.exp(p + np.where(leaf <= lm_score.TOP, 0, slot + leaves.known[leaf] + np.log(list(counts.values()))))
+    x = lm_score.softmax(model.class_sums(lm_score.class_rows(history[0][:1], history[1][:1])))[0]
+    unknown = (x[lm_score.TOP:-1] * np.exp(leaves.unknown[lm_score.TOP + 1::s])).sum()
+    assert abs(known.sum() + unknown + x[2:lm_score.TOP].sum() - 1) < 1e-5  # and classes without a token here
+
+
+def test_lm_chunks_are_the_tokens():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab.|AB  \n\té\x85") for _ in range(rng.choice([0, 1, 5, 40, 900]))) for _ in range(300)] + ["y" * 9000 + "z", "y" * 9000 + "w", "." * 70 + " ..a.."]
+    expected = [w for t in texts for w in [*t.encode().lower().split(), None]]
+    column = pa.array(["skipped", *texts]).slice(1)
+    for size in (7, 64, 1 << 18):
+        found = list(lm_score.chunks(column, size))
+        ids = np.concatenate([c.ids for c in found]).tolist()
+        names: dict = {}
+        assert len(ids) == len(expected) and all(names.setdefault(w, i) == i for w, i in zip(expected, ids, strict=True)) and len(set(names.values())) == len(names)
+        assert np.concatenate([c.docs for c in found]).tolist() == [i for i, t in enumerate(texts) for _ in range(len(t.encode().split()) + 1)]
+        history = np.stack([np.concatenate([c.one for c in found]), np.concatenate([c.two for c in found])])
+        if size == 7:
+            first = history
+        assert (history == first).all()
 
 
 def test_ann_recall_and_edges(spark):
