@@ -43,7 +43,7 @@ CLASSES = TOP + ENDINGS + 1
 END_CLASS = CLASSES - 1
 END = np.uint64(0xE4D0F7E275A1C600)
 BUCKETS, SLOT_BUCKETS = 1 << 15, 1 << 10  # rows of weights: of classes; of the slots of one class
-CHUNK, BLOCK = 1 << 18, 512
+CHUNK, BLOCK, TASK_TOKENS = 1 << 18, 512, 1 << 22
 PRIOR, SHARE, RATE, CALM = 100.0, 0.6, 0.5, 400.0
 LOG10 = float(np.log(10.0))
 MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -304,11 +304,13 @@ def _text(text_col: str):
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
 
 
-def _summed(docs: DataFrame, text_col: str, collect: Callable[[np.ndarray, np.ndarray, Chunk], None], kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _summed(docs: DataFrame, text_col: str, tokens: int, collect: Callable[[np.ndarray, np.ndarray, Chunk], None], kind: type) -> tuple[np.ndarray, np.ndarray]:
     """collect(class sums, slot sums, chunk) over all chunks of all texts, added up over the tasks.
 
-    Tasks send blocks of rows; every adding task holds one sum of each block, whatever the number of tasks.
+    Tasks send blocks of rows; every adding task holds one sum of each block, whatever the number of tasks. Small partitions
+    are read together, so that what is sent (two matrices a task) stays in proportion to the `tokens` that are read.
     """
+    docs = docs.coalesce(max(-(-tokens // TASK_TOKENS), docs.sparkSession.sparkContext.defaultParallelism))
     shapes = (BUCKETS, CLASSES), (ENDINGS * SLOT_BUCKETS, SLOTS)
     wide = np.int64 if kind is np.int32 else np.float64
     split = BUCKETS // BLOCK
@@ -419,9 +421,9 @@ def train(docs: DataFrame, text_col: str, classes: Classes, leaves: np.ndarray)
     p = (by_class + 0.5) / (by_class + 0.5).sum()
     q = (by_slot + 0.5) / (by_slot + 0.5).sum(1, keepdims=True)
     q_rows = np.repeat(q, SLOT_BUCKETS, axis=0)
-    n, m = _summed(docs, text_col, observe(classes), np.int32)
+    n, m = _summed(docs, text_col, int(leaves.sum()), observe(classes), np.int32)
     model = Model(classes, np.log(p), np.log(q), first_update(n, p), first_update(m, q_rows))
-    e, f = _summed(docs, text_col, expect(model), np.float32)
+    e, f = _summed(docs, text_col, int(leaves.sum()), expect(model), np.float32)
     return Model(classes, np.log(p), np.log(q), model.w + second_update(n, e, p), model.v + second_update(m, f, q_rows))
 
 
