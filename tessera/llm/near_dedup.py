@@ -11,7 +11,7 @@ repeats a shingle is filed in the bands of both signatures, so that either readi
 Texts with the same words form one node, so copies are never paired. In each band bucket all nodes are compared with the
 bucket's smallest node (its leader); verified pairs are links, links give components. Buckets in which other members
 still lie in different components are then worked through exactly, in blocks of bounded size, comparing only nodes of
-different components. Verification computes the similarity from the shingles: a link needs 0.8 or more in probability
+different components; blocks of the bucket's most frequent component are not paired with each other. Verification computes the similarity from the shingles: a link needs 0.8 or more in probability
 Jaccard, or in plain Jaccard, of the shingles.
 
 With 24 bands of 5 registers a pair of similarity 0.8, in either reading, shares a bucket with probability 0.9999, one of 0.9 with 1 - 1e-9.
@@ -140,31 +140,63 @@ def linked(a, wa, b, wb, threshold: float) -> bool:
     return max(similarity(a, wa, b, wb)) >= threshold - 1e-12
 
 
-def may_be_linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, columns: int = 4096) -> np.ndarray:
-    """Boolean matrix: false only for pairs that cannot reach the threshold in either reading.
+def overlaps(sets: list[tuple[np.ndarray, np.ndarray]], often: int = 24, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs: the number of common shingles, and the share of the first set's weight that lies in them.
 
-    The probability Jaccard of two sets is at most the smaller of the shares of weight that lie in common shingles. Both
-    shares, and the plain Jaccard, come from matrix products over the shingles that occur more than once.
+    Shingles of fewer than `often` sets are counted pair by pair, the others by matrix products.
     """
-    n, size = len(sets), np.array([len(v) for v, _ in sets])
-    owner = np.repeat(np.arange(n), size)
-    share = np.concatenate([c / c.sum() for _, c in sets]).astype(np.float32)
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(v) for v, _ in sets])
+    share = np.concatenate([c / c.sum() for _, c in sets])
+    repeats = any(len(c) and c.max() > 1 for _, c in sets)
     _, at, times = np.unique(np.concatenate([v for v, _ in sets]), return_inverse=True, return_counts=True)
-    shared = times > 1
-    keep = shared[at]
-    col, owner, share = (np.cumsum(shared) - 1)[at[keep]], owner[keep], share[keep]
-    order = np.argsort(col, kind="stable")
-    col, owner, share = col[order], owner[order], share[order]
-    common, mass = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
-    for c in range(0, int(shared.sum()), columns):
-        a, b = np.searchsorted(col, (c, c + columns))
-        has, part = np.zeros((n, columns), np.float32), np.zeros((n, columns), np.float32)
-        has[owner[a:b], col[a:b] - c] = 1
-        part[owner[a:b], col[a:b] - c] = share[a:b]
+    order = np.argsort(at, kind="stable")
+    starts = np.cumsum(times) - times
+    common, mass = np.zeros(n * n), np.zeros(n * n)
+    for k in range(2, often):
+        same = starts[times == k]
+        if not len(same):
+            continue
+        place = order[same[:, None] + np.arange(k)]
+        docs, shares = owner[place], share[place]
+        p, q = np.nonzero(~np.eye(k, dtype=bool))
+        pairs = (docs[:, p] * n + docs[:, q]).ravel()
+        common += np.bincount(pairs, minlength=n * n)
+        if repeats:
+            mass += np.bincount(pairs, shares[:, p].ravel(), minlength=n * n)
+    common, mass = common.reshape(n, n), mass.reshape(n, n)
+    many = np.cumsum(times >= often) - 1
+    keep = np.flatnonzero(times[at] >= often)
+    col, who, part = many[at[keep]], owner[keep], share[keep].astype(np.float32)
+    by = np.argsort(col, kind="stable")
+    col, who, part = col[by], who[by], part[by]
+    for c in range(0, int(many[-1]) + 1 if len(many) else 0, columns):
+        i, j = np.searchsorted(col, (c, c + columns))
+        width = min(columns, int(many[-1]) + 1 - c)
+        has = np.zeros((n, width), np.float32)
+        has[who[i:j], col[i:j] - c] = 1
         common += has @ has.T
-        mass += part @ has.T
-    plain = common / (size[:, None] + size[None] - common)
-    return (plain >= threshold - 1e-3) | (np.minimum(mass, mass.T) >= threshold - 1e-3)
+        if repeats:
+            weighted = np.zeros((n, width), np.float32)
+            weighted[who[i:j], col[i:j] - c] = part[i:j]
+            mass += weighted @ has.T
+    if not repeats:
+        mass = common / np.array([max(len(v), 1) for v, _ in sets])[:, None]
+    return common, mass
+
+
+def may_be_linked(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Two boolean matrices. The first is false only for pairs that cannot reach the threshold in either reading; the second
+    is true for pairs that surely reach it.
+
+    Plain Jaccard follows from the common shingles. The probability Jaccard is at most the smaller share of weight in common
+    shingles, and the same as plain Jaccard for two sets without repeated shingles.
+    """
+    size = np.array([len(v) for v, _ in sets])
+    once = np.array([not len(c) or c.max() == 1 for _, c in sets])
+    common, mass = overlaps(sets)
+    sure = common >= (threshold - 1e-12) * (size[:, None] + size - common)
+    return sure | (np.minimum(mass, mass.T) >= threshold - 1e-3) & ~(once[:, None] & once), sure
 
 
 def _signed(slim: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -254,10 +286,25 @@ def _dealt(rows: DataFrame, keyed: DataFrame, total: int) -> DataFrame:
     return rows.join(F.broadcast(right.where(hot)), by).drop("__b").unionByName(rows.join(cold, by).drop("__b"))
 
 
+def _unsettled(members: DataFrame, block: int) -> DataFrame:
+    """members(bucket, node, label): buckets with several labels, their size n, their most frequent label (main), and the
+    numbers of blocks for nodes with that label and for the others."""
+    per = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    first = F.max(F.struct("k", "label")).alias("first")
+    found = per.groupBy("bucket").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels"), first).where("labels > 1")
+    blocks = lambda rows: F.ceil(rows / block).cast("int")
+    return found.select("bucket", "n", F.col("first.label").alias("main"), blocks(F.col("first.k")).alias("mains"), blocks(F.col("n") - F.col("first.k")).alias("minors"))
+
+
 def _within_blocks(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """placed(bucket, node, label, blocks): links between nodes of different labels in a bucket, in tasks of two blocks at most."""
-    placed = placed.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    """placed(bucket, node, label, main, mains, minors): links between nodes of different labels in a bucket.
+
+    A task compares two blocks at most; blocks of the bucket's main label are not compared with each other.
+    """
+    minor = F.col("label") != F.col("main")
+    at = F.when(minor, F.col("mains") + F.pmod(F.xxhash64("node"), F.col("minors"))).otherwise(F.pmod(F.xxhash64("node"), F.col("mains"))).cast("int")
+    others = F.sequence(F.when(minor, 0).otherwise(F.col("mains")), F.col("mains") + F.col("minors") - 1)
+    tasks = placed.withColumn("at", at).withColumn("other", F.explode(others)).select(
         "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "node", "label", "at")
 
     def run(pdf):
@@ -273,9 +320,12 @@ def _within_blocks(placed: DataFrame, sets: DataFrame, threshold: float) -> Data
         rows = [(r.node, r.label, r.at, *_arrays(r.hashes, r.counts)) for r in pdf.itertuples()]
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         found = []
-        for p, q in zip(*np.nonzero(np.triu(may_be_linked([(h, c) for *_, h, c in rows], threshold), 1)), strict=True):
-            (u, lu, au, a, wa), (v, lv, av, b, wb) = rows[p], rows[q]
-            if (i == j or au != av) and find(lu) != find(lv) and linked(a, wa, b, wb, threshold):
+        labels, places = pdf["label"].to_numpy(), pdf["at"].to_numpy()
+        may, sure = may_be_linked([(h, c) for *_, h, c in rows], threshold)
+        may &= (labels[:, None] != labels) & ((places[:, None] != places) | (i == j))
+        for p, q in zip(*np.nonzero(np.triu(may, 1)), strict=True):
+            (u, lu, _, a, wa), (v, lv, _, b, wb) = rows[p], rows[q]
+            if find(lu) != find(lv) and (sure[p, q] or linked(a, wa, b, wb, threshold)):
                 root[find(lu)] = find(lv)
                 found.append((u, v))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
@@ -304,9 +354,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     labels = components(links)
     open_members = members.where("node <> leader").join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
         "bucket", "node", "leader", F.coalesce("label", "node").alias("label"))
-    unsettled = cut(open_members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
-                    .where("a <> b").select("bucket", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rest = cut(_dealt(open_members.select("bucket", "node", "label"), unsettled, total).select("bucket", "node", "label", "blocks"))
+    open_members = cut(open_members.select("bucket", "node", "label"))
+    rest = cut(_dealt(open_members, cut(_unsettled(open_members, block)), total))
     more = cut(_within_blocks(rest, sets, threshold).distinct())
     if more.limit(1).count():
         labels = components(links.unionByName(more))

@@ -79,3 +79,24 @@ def test_long_texts_keep_their_language(spark):
 
 def test_language_model_keeps_its_classes():
     assert lm_score.TOP >= 15 and lm_score.ENDINGS >= 32
+
+
+def test_pairs_that_are_not_compared_cannot_be_linked():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        sets = []
+        for _ in range(40):
+            v = np.unique(rng.integers(0, rng.choice([8, 30, 300]), rng.integers(1, 25))).astype(np.uint64)
+            sets.append((v, rng.choice([1, 1, 2, 50], len(v)).astype(np.int32)))
+        for often in (2, 5, 24):
+            common, mass = near_dedup.overlaps(sets, often=often, columns=7)
+            for i in range(len(sets)):
+                for j in range(i):
+                    both, at, _ = np.intersect1d(sets[i][0], sets[j][0], return_indices=True)
+                    assert common[i, j] == len(both) and abs(mass[i, j] - sets[i][1][at].sum() / sets[i][1].sum()) < 1e-5
+        may, sure = near_dedup.may_be_linked(sets, 0.8)
+        for i in range(len(sets)):
+            for j in range(i):
+                found = max(near_dedup.similarity(*sets[i], *sets[j])) >= 0.8 - 1e-12
+                assert may[i, j] or not found
+                assert found or not sure[i, j]
