@@ -40,18 +40,15 @@ def license_sql() -> str:
     FROM w LEFT JOIN a ON a.doc_id = w.doc_id"""
 
 
-def url_sql(rounds: int = 12, damping: float = 0.85) -> str:
+def url_sql(rounds: int = 100, damping: float = 0.85) -> str:
     rules = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
     fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for h, p, _ in rules]
     rule = "CASE " + " ".join(f"{c}'{h}{p}'" for c, (h, p, _) in zip(fits, rules, strict=True)) + " END"
     verdict = "CASE " + " ".join(f"{c}'{v}'" for c, (_, _, v) in zip(fits, rules, strict=True)) + " END"
     link = r"""(?i)(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/"''?#\s>]+)"""
     az = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    steps = "".join(f"""
-    m{k} AS (SELECT "to" AS host, sum(CASE WHEN ahead THEN p * trust ELSE 0 END) AS t, sum(CASE WHEN ahead THEN 0 ELSE p * distrust END) AS d FROM flow JOIN r{k} ON "from" = host GROUP BY 1),
-    r{k + 1} AS (SELECT b.host, {1 - damping!r} * ts + {damping} * coalesce(t, 0) AS trust, {1 - damping!r} * ds + {damping} * coalesce(d, 0) AS distrust FROM base b LEFT JOIN m{k} ON m{k}.host = b.host),""" for k in range(rounds))
     return f"""
-    WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     s AS (SELECT page_id, html, {az.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
     p AS (SELECT page_id, html, host, path, {rule} AS rule, {verdict} AS v FROM s),
     l AS (SELECT host AS src, {az.format('x')} AS dst FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS x FROM p WHERE host <> '')),
@@ -62,6 +59,10 @@ def url_sql(rounds: int = 12, damping: float = 0.85) -> str:
     base AS (SELECT host, t / coalesce(nullif((SELECT sum(t) FROM hosts), 0), 1) AS ts, d / coalesce(nullif((SELECT sum(d) FROM hosts), 0), 1) AS ds, (SELECT count(*) FROM hosts) AS n FROM hosts),
     flow AS (SELECT src AS "from", dst AS "to", weight / sum(weight) OVER (PARTITION BY src) AS p, true AS ahead FROM edges
              UNION ALL SELECT dst, src, weight / sum(weight) OVER (PARTITION BY dst), false FROM edges),
-    r0 AS (SELECT host, ts AS trust, ds AS distrust FROM base),{steps}
-    z AS (SELECT b.host, distrust > trust AND distrust * n > 1.0 AS bad FROM r{rounds} r JOIN base b ON b.host = r.host)
+    r AS (SELECT 0 AS k, host, ts::DOUBLE AS trust, ds::DOUBLE AS distrust FROM base
+          UNION ALL SELECT k, host, {1 - damping!r} * ts + {damping} * coalesce(t, 0), {1 - damping!r} * ds + {damping} * coalesce(d, 0) FROM
+            (SELECT coalesce(m.k, (SELECT max(k) + 1 FROM r)) AS k, b.host, ts, ds, t, d FROM base b LEFT JOIN
+              (SELECT "to" AS host, max(k) + 1 AS k, sum(CASE WHEN ahead THEN p * trust ELSE 0 END) AS t, sum(CASE WHEN ahead THEN 0 ELSE p * distrust END) AS d
+               FROM flow JOIN r ON "from" = host GROUP BY 1) m ON m.host = b.host) WHERE k <= {rounds}),
+    z AS (SELECT b.host, distrust > trust AND distrust * n > 1.0 AS bad FROM r JOIN base b ON b.host = r.host WHERE k = {rounds})
     SELECT page_id, p.host, path, rule, coalesce(v, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN z ON z.host = p.host"""

@@ -1,7 +1,7 @@
 """URL filter by link-graph propagation, in DataFrame functions only.
 
 Longest-match rules decide first. For hosts that no rule settles, personalised PageRank runs over host edges (links of
-the pages): trust flows from hosts whose rule-matched pages are mostly allowed, distrust flows along reversed links from
+the pages) until the ranks move by less than `tolerance` in all: trust flows from hosts whose rule-matched pages are mostly allowed, distrust flows along reversed links from
 hosts whose rule-matched pages are mostly blocked. A host is blocked when its distrust exceeds both its trust and
 `threshold` times the mean distrust of a uniform distribution. Mass of hosts without links is not redistributed.
 
@@ -46,7 +46,7 @@ def match_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict
 
 
-def host_ranks(hosts: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
+def host_ranks(hosts: DataFrame, edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, cut_every: int = 4) -> DataFrame:
     """hosts(host, trust_seed, distrust_seed), edges(src, dst, weight) -> hosts with trust and distrust."""
     hosts = cut(hosts)
     t, d, n = hosts.agg(F.sum("trust_seed"), F.sum("distrust_seed"), F.count(F.lit(1))).first()  # one row
@@ -58,8 +58,8 @@ def host_ranks(hosts: DataFrame, edges: DataFrame, *, damping: float = 0.85, rou
     backward = edges.join(ins, edges["dst"] == ins["from"]).select(
         F.col("dst").alias("from"), F.col("src").alias("to"), (F.col("weight") / F.col("out")).alias("p"), F.lit(False).alias("ahead"))
     flow = cut(forward.unionByName(backward))
-    ranks = base.select("host", F.col("ts").alias("trust"), F.col("ds").alias("distrust"))
-    for k in range(rounds):
+    ranks = before = base.select("host", F.col("ts").alias("trust"), F.col("ds").alias("distrust"))
+    for k in range(10_000):  # the tolerance ends it: after k rounds, what moves is at most damping ** k
         moved = (
             flow.join(ranks, flow["from"] == ranks["host"])
             .groupBy(F.col("to").alias("__to"))
@@ -71,11 +71,16 @@ def host_ranks(hosts: DataFrame, edges: DataFrame, *, damping: float = 0.85, rou
             ((1 - damping) * F.col("ds") + damping * F.coalesce("__d", F.lit(0.0))).alias("distrust"))
         if k % cut_every == cut_every - 1:
             ranks = cut(ranks)
+            old = before.select(F.col("host").alias("h"), F.col("trust").alias("t"), F.col("distrust").alias("d"))
+            moved = ranks.join(old, F.col("host") == F.col("h")).agg(F.sum(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d")))).first()[0]
+            before = ranks
+            if not moved or moved < tolerance:
+                break
     return ranks.join(base.select("host", "n"), "host")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, rules=RULES,
-          threshold: float = 1.0, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+          threshold: float = 1.0, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the host's trust and distrust."""
     host, path = split_url(F.col(url_col))
     slim = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("__html"))
@@ -94,7 +99,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     seeds = own.select("host", F.when(a > b, a - b).otherwise(0.0).alias("trust_seed"), F.when(b > a, b - a).otherwise(0.0).alias("distrust_seed"))
     linked = links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trust_seed"), F.lit(0.0).alias("distrust_seed"))
     hosts = seeds.unionByName(linked).groupBy("host").agg(F.sum("trust_seed").alias("trust_seed"), F.sum("distrust_seed").alias("distrust_seed"))
-    ranks = host_ranks(hosts, links, damping=damping, rounds=rounds)
+    ranks = host_ranks(hosts, links, damping=damping, tolerance=tolerance)
     # a new expression as key: the join deals both sides out itself, and a hot host's pages can be split
     scored = ranks.select(F.concat("host", F.lit("")).alias("__host"), "trust", "distrust",
                           ((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("n") > threshold)).alias("__bad"))
