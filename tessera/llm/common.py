@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a private one only where that is unset (local tests)."""
+    """The shared folder named in spark.checkpoint.dir; a private one only where that is unset and Spark is local (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -34,6 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """At the end of a task, gives freed memory back to the system: the worker process stays for other operators."""
     import pyarrow as pa
@@ -46,11 +56,17 @@ def release() -> None:
         pass
 
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, name: str, words: int = 1 << 16) -> DataFrame:
-    """df with a boolean column `name`: false only where `key` is surely not among `keys`.
+def bitmap_words(keys: int) -> int:
+    """Words of 64 bits for a bitmap of so many keys: 16 bits a key, from half a megabyte to 8 megabytes of bits."""
+    return min(max(1 << 16, 1 << (max(keys, 1) // 4).bit_length()), 1 << 20)
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, name: str) -> DataFrame:
+    """df with a boolean column `name`: false only where `key` is surely not among `keys` (a table that was cut).
 
-    A bitmap of words * 64 bits is broadcast (at most `words` rows of 16 bytes, whatever the size of keys).
+    A bitmap is broadcast, at most 1,048,576 rows of 16 bytes, whatever the size of keys.
     """
+    words = bitmap_words(keys.count())
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
     bits = (
         keys.select(slot(keys_key).alias("__slot")).groupBy(F.expr("__slot div 64").alias("__word"))

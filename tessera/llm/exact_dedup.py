@@ -1,12 +1,12 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash for surviving groups only.
 
 One narrow scan groups documents by (normalised length, prefix hash). The keys of groups with two or more members set
-bits in a bitmap of fixed size, which is broadcast (at most `filter_words` rows of 16 bytes, whatever the input). A
+bits in a bitmap of bounded size, which is broadcast: 16 bits for each such key, at most 1,048,576 rows of 16 bytes. A
 second scan takes the full SHA-256 only of rows whose bit is set. A bit set by another key costs one extra hash and
-never changes the result; a bitmap that is full degrades to hashing every row.
+never changes the result; beyond some four million such keys a growing share of the single texts is hashed too.
 
 Defined results: null text counts as empty; texts are equal when identical after deleting every character of
-[\\x20\\x09-\\x0D]; the row with most code points in its original text stays, then the smallest doc_id, null ids last.
+[\\x20\\x09-\\x0D], however long; the row with most code points in its original text stays, then the smallest doc_id, null ids last.
 Rows that repeat an id and a text count as separate members; `decisions` marks all of them kept if their id stays, and
 `filter_documents` returns one of them. An empty table gives an empty result. Other columns are not read (`decisions`)
 or pass through unchanged (`filter_documents`).
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import bitmap_words, cut
 
 WHITE = " \t\n\x0b\f\r"
 
@@ -38,10 +38,11 @@ def _slot(words: int) -> Column:
     return F.pmod(F.xxhash64("__xd_len", "__xd_prefix"), F.lit(words * 64))
 
 
-def _flagged(docs: DataFrame, text_col: str, prefix_chars: int, words: int) -> DataFrame:
+def _flagged(docs: DataFrame, text_col: str, prefix_chars: int, words: int | None) -> DataFrame:
     """docs with __xd_norm and __xd_hit: whether its length and prefix may occur in another row."""
     keyed = _keyed(docs, text_col, prefix_chars)
-    shared = keyed.groupBy("__xd_len", "__xd_prefix").agg(F.count(F.lit(1)).alias("__xd_n")).where("__xd_n > 1")
+    shared = cut(keyed.groupBy("__xd_len", "__xd_prefix").agg(F.count(F.lit(1)).alias("__xd_n")).where("__xd_n > 1"))
+    words = words or bitmap_words(shared.count())
     bits = (
         shared.withColumn("__xd_slot", _slot(words))
         .groupBy(F.expr("__xd_slot div 64").alias("__xd_word"))
@@ -66,7 +67,7 @@ def _fresh(key: str) -> Column:
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: bool = False,
-              prefix_chars: int = 64, filter_words: int = 1 << 16) -> DataFrame:
+              prefix_chars: int = 64, filter_words: int | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept; with `digest` also text_sha256 of the normalised text."""
     slim = docs.select(F.col(id_col).alias("__xd_id"), F.col(text_col).alias("__xd_text"))
     full = F.unhex(F.sha2("__xd_norm", 256))
@@ -94,7 +95,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                     prefix_chars: int = 64, filter_words: int = 1 << 16) -> DataFrame:
+                     prefix_chars: int = 64, filter_words: int | None = None) -> DataFrame:
     """docs without the copies: one row of each group of equal texts, all columns as they were.
 
     Rows whose bit is not set go straight through; only possible copies are shuffled with their texts.

@@ -4,13 +4,15 @@ A text's features are the presence (not the count) of its character n-grams, n =
 kernel of two texts is the normalised number of n-grams that both hold. A long text would fill the buckets: it is cut
 into even, consecutive chunks of at most `CHUNK` characters, which together hold all its n-grams, and counts as the mean
 of its chunks, as training text, as landmark and in scoring. Landmark texts span a Nystroem map, on which
-one-versus-rest ridge regression is solved; texts are scored in batches by matrix products. The fit uses at most
+one-versus-rest ridge regression is solved (`landmarks` of them, or two for each language if that is more); texts are scored in batches by matrix products. The fit uses at most
 `per_label` training texts of each language, those with the smallest hash of their id; the sample is collected as bit
 vectors (buckets / 8 bytes a text) or means of chunks (two bytes a bucket), never as texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; training rows need a language, a letter
 and a fold other than the held-out one; if no language can be learned, everything is `und`. Repeated rows each get a
-row; null ids fall into fold 0; other columns are not read; an empty table gives an empty result.
+row; null ids fall into fold 0; other columns are not read; among equal margins the first language in alphabetical order
+is taken; very long texts are read whole; an empty table gives an empty result. The number of languages is taken to be
+bounded: the driver holds the sample of every one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, release
+from tessera.llm.common import fold, release, unused
 
 UNDETERMINED = "und"
 CHUNK = 1024
@@ -88,7 +90,7 @@ def fit(x: np.ndarray, labels: list[str], *, landmarks: int = 192, ridge: float
     y = np.array([[1.0 if name == label else -1.0 for name in names] for label in labels])
     turn: dict[str, int] = {}
     order = sorted(range(len(labels)), key=lambda i: (turn.setdefault(labels[i], 0), turn.update({labels[i]: turn[labels[i]] + 1}) or labels[i]))
-    marks = x[order[:landmarks]]
+    marks = x[order[:max(landmarks, 2 * len(names))]]  # every label has some
     k_mm = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(k_mm)
     good = values > 1e-6 * max(values.max(), 1e-12)
@@ -131,14 +133,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 1 << 13, max_n: int = 4,
             keep: bool = False) -> DataFrame:
-    """id, lang_pred, score; with `keep` every column of docs and __lang_pred, __score."""
+    """id, lang_pred, score; with `keep` every column of docs and two more, the same under unused names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(text_col), F.lit("")).rlike("\\p{L}")
     if keep:
-        slim = docs.withColumn("__text", F.when(has_letter, F.col(text_col)))
+        slim = docs.select("*", F.when(has_letter, F.col(text_col)).alias(unused(docs, "__text")))
         names = docs.columns
         schema = docs.select(*names)
-        out = "__lang_pred", "__score"
+        out = unused(docs, "__lang_pred"), unused(docs, "__score")
     else:
         slim = docs.select(F.col(id_col), F.when(has_letter, F.col(text_col)).alias("__text"))
         names = [id_col]
@@ -179,4 +181,5 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs without those whose language cannot be told: no letter, or a score below `least`."""
     model = train(docs, id_col, text_col, lang_col)
     scored = predict(docs, model, id_col, text_col, keep=True)
-    return scored.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
+    lang, score = scored.columns[-2:]
+    return scored.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)

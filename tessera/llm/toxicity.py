@@ -12,7 +12,8 @@ on at most `fit_rows` training rows (those with the smallest hash of their id);
 
 Defined results: null text counts as empty; empty texts get the score of a text without hits; without training labels
 every score is 0; label rows with a null id or label are not used; a repeated label row counts once, and if an id has
-different labels the largest counts. Repeated documents each get a row; other columns pass through or are not read.
+different labels the largest counts. Repeated documents each get a row; other columns pass through or are not read; very
+long texts are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import cut, fold, maybe_in, release
+from tessera.llm.common import cut, fold, maybe_in, release, unused
 
 WORDS = re.compile(r"\w+(?:[@$!*]+\w+)*")
 SQL_WORDS = "[\\p{L}\\p{N}_]+(?:[@$!*]+[\\p{L}\\p{N}_]+)*"
@@ -199,8 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(known, weights, window)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__tox") -> DataFrame:
-    """docs with one more column, the score."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs with one more column, the score, and the name of that column."""
+    name = unused(docs, "__tox")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     names = [*docs.columns, name]
@@ -213,19 +215,20 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_
         m.lexicon.seen.clear()
         release()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), name
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, modulus: int = 5,
                     held: int = 0, **options) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
     model = train(docs, labels, id_col, text_col, label_col, modulus=modulus, held=held, **options)
-    out = scored(docs.select(id_col, text_col), model, text_col)
-    return out.select(id_col, (fold(id_col, modulus) == held).alias("held_out"), F.col("__tox").alias("score"), (F.col("__tox") >= 0.5).cast("int").alias("predicted"))
+    out, tox = scored(docs.select(id_col, text_col), model, text_col)
+    return out.select(id_col, (fold(id_col, modulus) == held).alias("held_out"), F.col(tox).alias("score"), (F.col(tox) >= 0.5).cast("int").alias("predicted"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, threshold: float = 0.5,
                      **options) -> DataFrame:
     """docs that are not toxic, all columns as they were."""
     model = train(docs, labels, id_col, text_col, label_col, **options)
-    return scored(docs, model, text_col).where(F.col("__tox") < threshold).select(*docs.columns)
+    out, tox = scored(docs, model, text_col)
+    return out.where(F.col(tox) < threshold).select(*docs.columns)

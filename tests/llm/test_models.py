@@ -113,6 +113,20 @@ def test_packing_keeps_every_id_once(docs):
     assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_filters_keep_columns_of_any_name(spark):
+    rows = [(i, "you are a fool" if i % 2 else "the cat sat on the mat", "en", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, x int").selectExpr("*", "x as __text", "x as __tox", "x as __lang_pred", "x as __score", "x as __TOX_")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert language_id.filter_documents(docs).columns == docs.columns == toxicity.filter_documents(docs, labels).columns
+    assert language_id.filter_documents(docs).count() == 20 and toxicity.filter_documents(docs, labels).count() <= 20
+
+
+def test_every_language_has_landmarks():
+    x = np.eye(300, dtype=np.float32)
+    model = language_id.fit(np.repeat(x, 2, axis=0), [f"l{i:03d}" for i in range(300) for _ in range(2)])
+    assert [model.labels[k] for k in model.margins(x).argmax(1)] == [f"l{i:03d}" for i in range(300)]
+
+
 def test_language_id_held_out(docs):
     got = by_id(language_id.identify(docs))
     right = n = 0
@@ -161,8 +175,8 @@ def test_automaton_equals_edit_distance():
 
 
 def test_toxicity_held_out(spark, sf):
-    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    base = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     more = spark.createDataFrame([(None, None, None), (-1, "", "en"), (-2, "you l0ser, you total idiott and morron", "en"), (-3, "x" * 20_000, "en")], base.schema)
     docs = base.unionByName(more)
     got = by_id(toxicity.score_documents(docs, labels.unionByName(spark.createDataFrame([(None, 1, 1), (5, 1, None)], labels.schema))))
@@ -174,7 +188,7 @@ def test_toxicity_held_out(spark, sf):
         if x["held_out"]:
             hit, miss = hit + (t and x["predicted"]), miss + (t and not x["predicted"])
             wrong, clean = wrong + (not t and x["predicted"]), clean + (not t)
-    assert hit >= 0.6 * (hit + miss) and wrong <= 0.02 * clean
+    assert hit >= 0.9 * (hit + miss) and wrong <= 0.01 * clean, (hit, miss, wrong, clean)
     assert got[-2][0]["predicted"] == 1 and got[-1][0]["predicted"] == got[None][0]["predicted"] == 0
     empty = toxicity.score_documents(docs, labels.limit(0))
     assert empty.where("score <> 0").count() == 0 and empty.count() == docs.count()
