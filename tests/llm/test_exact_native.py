@@ -86,6 +86,13 @@ def test_license_base(spark):
     assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def test_whole_license_texts(spark):
+    mit, bsd = license_scan.MIT, license_scan.BSD_3
+    texts = [f"x y z {mit} and on", bsd.replace("copyright holder", "University"), " ".join(mit.split()[:12]), mit.upper().replace(",", "\n"), "permission is hereby granted"]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert [got[i][0] for i in range(5)] == ["mit", "bsd", "", "mit", ""] and got[0][1] == 1
+
+
 URLS = [
     None, "", "nothing", "http://a.com", "http://A.com/fr/x?y#z", "https://x.a.com/de/1", "http://example.org/es/2", "http://sub.example.org/en/1", "http://example.org/en/2",
     "ftp://badexample.org/es/", "http://org/", "http://x.net/fr/?://", "http://y.net#frag/de/", "://com/de/", "http://n.net/1",
