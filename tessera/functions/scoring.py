@@ -265,3 +265,27 @@ def ttl_expired(seen: Column, now: Column, hours: float, inclusive: bool = True)
 def age_minutes(ts: Column, now: Column) -> Column:
     """Whole minutes, at least 0; null for no time."""
     return F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(ts)) / 6e7))
+
+
+# The signals of a candidate, and the profiles that weight them; signals without an entry weigh 0.7.
+SCORING_SIGNALS = ["demand_strength", "serp_weakness", "content_gap", "faq_gap", "entity_gap", "serp_volatility", "competitor_similarity", "knowledge_strength",
+                   "topic_authority_potential", "research_asset_availability", "long_tail_specificity", "provider_metric", "unknown_metric_penalty"]
+SCORING_PROFILES = {
+    "default": {"demand_strength": 1.2, "serp_weakness": 1.1, "content_gap": 1.0, "faq_gap": 0.8, "entity_gap": 0.8, "knowledge_strength": 1.0,
+                "research_asset_availability": 0.9, "long_tail_specificity": 0.9, "unknown_metric_penalty": -0.6},
+    "fallback_first": {"knowledge_strength": 1.3, "research_asset_availability": 1.2, "long_tail_specificity": 1.1, "unknown_metric_penalty": -0.2},
+    "authority_building": {"topic_authority_potential": 1.4, "knowledge_strength": 1.2, "entity_gap": 1.1, "content_gap": 1.0},
+    "quick_win": {"serp_weakness": 1.4, "demand_strength": 1.2, "provider_metric": 1.1, "competitor_similarity": -0.8},
+}
+
+
+def signal_weights(profile: str) -> dict[str, float]:
+    return {name: SCORING_PROFILES[profile].get(name, 0.7) for name in SCORING_SIGNALS}
+
+
+def research_hints(kinds: Column, no_metric: Column, sources: Column, weak_serp: Column) -> Column:
+    """Codes of focused research, each followed by a comma: what is missing among a candidate's kinds of signals."""
+    lacks = lambda name: ~F.array_contains(kinds, name)
+    cases = {"missing_serp_pack": lacks("serp_weakness"), "missing_serp_intent_pack": lacks("content_gap") & lacks("faq_gap"), "missing_knowledge_pack": lacks("knowledge_strength"),
+             "missing_provider_metrics": no_metric, "weak_source_diversity": sources <= 1, "verify_shallow_competitor_coverage": weak_serp}
+    return F.concat(*[F.when(c, F.lit(f"{code},")).otherwise("") for code, c in cases.items()])

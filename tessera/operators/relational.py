@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import scoring
+
 
 def where_given(df: DataFrame, **equal) -> DataFrame:
     """Filters only by the arguments that are given (not None); a list means membership, an empty list no rows."""
@@ -130,9 +132,8 @@ def failure_streaks(df: DataFrame, entry: str, order: list[str], status: str, mo
 
 
 def upper_median(column: str) -> Column:
-    """sorted[floor(n / 2)] as an aggregate of one group; the group's values are gathered, so groups must be small."""
-    values = F.sort_array(F.collect_list(column))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+    """sorted[floor(n / 2)] as an exact aggregate: counts of distinct values are merged, no group is gathered."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def sessions(df: DataFrame, key: str, at: Column, gap_seconds: int) -> DataFrame:
@@ -142,13 +143,61 @@ def sessions(df: DataFrame, key: str, at: Column, gap_seconds: int) -> DataFrame
     return df.withColumn("__at", at).withColumn("__new", fresh).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__at")
 
 
-def contains_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs in which one text contains the other. Both sides must be small vocabularies; the smaller is broadcast by size."""
-    return left.join(right, F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))
+def contained(texts: DataFrame, terms: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs of texts(a) and terms(b) in which the term occurs in the text, as an equi-join.
+
+    Every substring of a text that is as long as some term is looked up; only the terms' distinct lengths reach the driver.
+    """
+    lengths = [r["n"] for r in terms.where(F.length(b) > 0).select(F.length(b).alias("n")).distinct().orderBy("n").collect()]
 
+    def all_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(a) - (n - 1), F.lit(1)))
+        return F.when(F.length(a) >= n, F.transform(starts, lambda i: F.substring(F.col(a), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-def combinations(dimensions: list[DataFrame], key: str, links: str, cap: int) -> DataFrame:
-    """One row per compatible choice from two dimension tables (they share a link), at most cap, by key."""
-    a, b = (d.alias(n) for d, n in zip(dimensions, "ab", strict=True))
-    joined = a.join(b, F.arrays_overlap(F.col(f"a.{links}"), F.col(f"b.{links}")))
-    return joined.select(F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second")).orderBy("first", "second").limit(cap)
+    cuts = [all_of(n) for n in lengths]
+    if not cuts:
+        return texts.select(a).join(terms.select(b), F.lit(False))
+    found = texts.select(a).distinct().select(a, F.explode(F.array_distinct(F.flatten(F.array(*cuts)))).alias("__cut"))
+    return found.join(terms.select(b).distinct(), F.col("__cut") == F.col(b)).select(a, b)
+
+
+def contains_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs in which one text contains the other."""
+    return contained(left, right, a, b).unionByName(contained(right, left, b, a)).distinct()
+
+
+def combinations(dimensions: dict[str, DataFrame], key: str, links: str, cap: int) -> DataFrame:
+    """One row per choice from each dimension(key, links) whose members are compatible in pairs (they share a link): a
+    column for each dimension, at most cap rows, in the order of the columns."""
+    out, chosen = None, list(dimensions)
+    for n, (name, d) in enumerate(dimensions.items()):
+        one = d.select(F.col(key).alias(name), F.col(links).alias(f"__{name}"))
+        if out is None:
+            out = one
+            continue
+        right = one.withColumn("__link", F.explode(F.array_distinct(f"__{name}")))
+        out = out.withColumn("__l", F.explode(F.array_distinct(f"__{chosen[0]}"))).join(right, F.col("__l") == F.col("__link")).drop("__l", "__link")
+        out = out.where(reduce(lambda x, y: x & y, [F.arrays_overlap(f"__{c}", f"__{name}") for c in chosen[1:n]], F.lit(True))).dropDuplicates([*chosen[:n], name])
+    return out.select(*chosen).orderBy(*chosen).limit(cap)
+
+
+def score_candidates(signals: DataFrame) -> DataFrame:
+    """signals(candidate, pos, known, value, confidence, source, seq) -> one row per candidate and profile: score, band,
+    degraded, confidence, the five strongest signals, research hints and a page type. pos numbers the kinds of signals;
+    each signal is copied once for every profile, and aggregates merge on the map side."""
+    kinds = F.array(*[F.lit(n) for n in scoring.SCORING_SIGNALS])
+    profiles = F.array(*[F.struct(F.lit(p).alias("profile"), F.array(*[F.lit(w) for w in scoring.signal_weights(p).values()]).alias("w")) for p in scoring.SCORING_PROFILES])
+    c = signals.withColumn("p", F.explode(profiles)).select("*", "p.profile", F.get("p.w", F.col("pos")).alias("w"), F.get(kinds, F.col("pos")).alias("name")).drop("p")
+    is_ = lambda n: F.col("name") == n
+    strong = F.when(F.col("value") * F.col("w") > 0, F.struct((-F.col("value") * F.col("w")).alias("v"), "pos", "seq", "name"))
+    g = c.groupBy("candidate", "profile").agg(
+        scoring.clamp(scoring.js_round(F.round(F.sum(F.col("value") * F.col("w")) / F.sum(F.abs("w")), 9)), 0, 100).cast("int").alias("score"), F.bool_or(~F.col("known")).alias("degraded"),
+        F.avg(scoring.confidence_rank(F.col("confidence"))).alias("rank"), F.collect_set("name").alias("kinds"), F.count_distinct("source").alias("sources"),
+        F.bool_or(is_("unknown_metric_penalty") | is_("provider_metric") & ~F.col("known")).alias("no_metric"),
+        F.bool_or(is_("serp_weakness") & F.col("known") & (F.col("value") < 35)).alias("weak_serp"),
+        F.coalesce(F.max(F.when(is_("faq_gap"), F.col("value"))), F.lit(-1.0)).alias("faq"), F.slice(F.array_sort(F.collect_list(strong)), 1, 5).alias("top"))
+    sure = scoring.confidence_band(F.col("rank"))
+    return g.select(
+        "candidate", "profile", "score", scoring.score_band(F.col("score")).alias("band"), "degraded", F.when(F.col("degraded"), scoring.downgrade(sure)).otherwise(sure).alias("confidence"),
+        F.array_join(F.transform("top", lambda x: x["name"]), ",").alias("rationale"), scoring.research_hints(F.col("kinds"), F.col("no_metric"), F.col("sources"), F.col("weak_serp")).alias("hints"),
+        scoring.page_type(F.lit(None).cast("string"), F.col("faq"), F.lit(""), F.lit(False)).alias("page_type"))

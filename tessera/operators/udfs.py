@@ -145,3 +145,31 @@ def embedder(dimensions: int):
         return s.map(lambda x: hash_embedding(x, dimensions))
 
     return embed
+
+
+class ProviderUnavailable(Exception):
+    """The provider cannot be reached; the chunk may be tried again."""
+
+
+def embedding_outcomes(dimensions: int, refuses=lambda key: False, breaks=lambda key: False):
+    """A test provider that may refuse or break: a UDF (key, text) -> status (embedded, failed, provider_unavailable), vector.
+
+    Vectors of another length than `dimensions` count as failed.
+    """
+    def provide(key, text: str) -> list[float]:
+        if refuses(key):
+            raise ProviderUnavailable(key)
+        return hash_embedding(text, dimensions - 1 if breaks(key) else dimensions)
+
+    def outcome(key, text: str) -> tuple:
+        try:
+            vector = provide(key, text)
+        except ProviderUnavailable:
+            return "provider_unavailable", None
+        return ("embedded", vector) if len(vector) == dimensions else ("failed", None)
+
+    @F.pandas_udf("status string, vector array<float>")
+    def embed(keys: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([outcome(k, t) for k, t in zip(keys, texts, strict=True)], columns=["status", "vector"])
+
+    return embed

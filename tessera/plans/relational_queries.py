@@ -307,15 +307,18 @@ def j13_containment_join(spark, d):
 def j14_containment_semi_join(spark, d):
     types = read(spark, d, "part", "p_type").select(F.lower("p_type").alias("a")).distinct()
     names = read(spark, d, "region", "r_name").select(F.lower(F.substring("r_name", 1, 2)).alias("b"))
-    hit = types.join(names, F.contains(F.col("a"), F.col("b")), "left_semi").withColumn("geo", F.lit(True))
+    hit = r.contained(types, names, "a", "b").select("a").distinct().withColumn("geo", F.lit(True))
     return types.join(hit, "a", "left").select("a", F.coalesce("geo", F.lit(False)).alias("geo"))
 
 
-@query("SELECT first, second FROM (SELECT a.n_name AS first, b.s_name AS second FROM nation a JOIN supplier b ON a.n_nationkey = b.s_nationkey) ORDER BY 1, 2 LIMIT 25")
+def dimension(spark, d, table: str, key: str, link: str) -> DataFrame:
+    return read(spark, d, table, key, link).select(F.col(key).alias("key"), F.array(link).alias("ids"))
+
+
+@query("SELECT n_name AS first, s_name AS second, c_name AS third FROM nation JOIN supplier ON n_nationkey = s_nationkey JOIN customer ON n_nationkey = c_nationkey ORDER BY 1, 2, 3 LIMIT 25")
 def j15_dimension_combinations(spark, d):
-    a = read(spark, d, "nation", "n_name", "n_nationkey").select(F.col("n_name").alias("key"), F.array("n_nationkey").alias("ids"))
-    b = read(spark, d, "supplier", "s_name", "s_nationkey").select(F.col("s_name").alias("key"), F.array("s_nationkey").alias("ids"))
-    return r.combinations([a, b], "key", "ids", 25)
+    return r.combinations({"first": dimension(spark, d, "nation", "n_name", "n_nationkey"), "second": dimension(spark, d, "supplier", "s_name", "s_nationkey"),
+                           "third": dimension(spark, d, "customer", "c_name", "c_nationkey")}, "key", "ids", 25)
 
 
 @query("SELECT p_partkey, last_line FROM part LEFT JOIN (SELECT l_partkey, max(l_orderkey * 10 + l_linenumber) AS last_line FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
@@ -667,8 +670,9 @@ def o9_topn_per_kind(spark, d):
 @query("SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_quantity DESC, l_linenumber) AS top FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS k FROM lineitem WHERE l_quantity > 10) WHERE k <= 5 GROUP BY 1")
 def o10_top5_rationale(spark, d):
     li = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").where("l_quantity > 10")
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("l_quantity")).alias("q"), "l_linenumber"))), 1, 5)
-    return li.groupBy("l_orderkey").agg(F.array_join(F.transform(top, lambda x: x["l_linenumber"].cast("string")), ",").alias("top"))
+    by = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber")
+    top = li.withColumn("k", F.row_number().over(by)).where("k <= 5").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", "l_linenumber"))).alias("t"))
+    return top.select("l_orderkey", F.array_join(F.transform("t", lambda x: x["l_linenumber"].cast("string")), ",").alias("top"))
 
 
 @query("SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 100")

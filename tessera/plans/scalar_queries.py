@@ -15,11 +15,9 @@ from tessera.sources.tables import read
 C, L = F.col, F.lit  # called inside lambdas only: Columns need a session
 D, P, E, O, LI, LB, N = ("documents", "doc_id"), ("pages", "page_id"), ("events", "event_id"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey, l_linenumber"), ("labels", "doc_id"), ("nation", "n_nationkey")
 LOW_WORD = "(?<![A-Za-z0-9_])"
-HEAD = lambda: F.substring(C("text"), 1, 200)
-HEAD_SQL = "substr(text, 1, 200)"
 CMP = "\\b(?:vs|versus|compare|comparison|alternative)\\b"
 COLLAPSED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-GRAMS = f"string_split(lower({COLLAPSED.format('substr(text, 1, 80)')}), ' ')"
+GRAMS = f"string_split(lower({COLLAPSED.format('text')}), ' ')"
 PRIO = "greatest(-1000, least(1000, floor(least(1, greatest(0, coalesce(l_discount * 10, 0.25))) * 400 + 0.5) + floor(least(1, greatest(0, l_tax * 10)) * 250 + 0.5) + floor(least(l_quantity, 10) / 10 * 150 + 0.5) - least(l_linenumber, 5) * 40 + greatest(-100, least(100, floor(l_quantity - 25 + 0.5)))))::INT"
 R4 = "floor(({}) * 1e4 + 0.5) / 1e4"
 CL4 = "greatest(0.0, least(1.0, floor(({}) * 1e4 + 0.5) / 1e4))"
@@ -54,19 +52,19 @@ ENTRIES: list[tuple[str, tuple[str, str], Callable[[], dict[str, Column]], dict[
     ("f1_token_count", D, lambda: {"n": t.token_count(C("text"))}, {"n": f"CASE WHEN {COLLAPSED.format('text')} = '' THEN 0 ELSE len(string_split({COLLAPSED.format('text')}, ' ')) END::INT"}),
     ("f2_normalize_chunk_text", D, lambda: {"x": t.stable_hash(t.normalize_chunk(C("text")))}, {"x": f"sha256(lower({COLLAPSED.format('text')}))"}),
     ("f3_stable_hash", P, lambda: {"x": t.content_hash(C("html"), C("url"))}, {"x": "sha256(coalesce(html, url))"}),
-    ("f4_normalize_entity_text", D, lambda: {"x": t.normalize_entity(HEAD())}, {"x": f"trim(regexp_replace(regexp_replace(lower({COLLAPSED.format(HEAD_SQL)}), '[._/]+', ' ', 'g'), '\\s+', ' ', 'g'))"}),
-    ("f5_normalize_keyword", D, lambda: {"x": t.normalize_keyword(HEAD())}, {"x": f"regexp_replace(regexp_replace(lower(trim({HEAD_SQL})), '[^\\p{{L}}\\p{{N}}\\s-]', ' ', 'g'), '\\s+', ' ', 'g')"}),
-    ("f6_normalize_concept", D, lambda: {"x": t.normalize_concept(HEAD())}, {"x": f"trim(regexp_replace(regexp_replace(lower({HEAD_SQL}), '[^\\p{{L}}\\p{{N}}\\s?]', ' ', 'g'), '\\s+', ' ', 'g'))"}),
+    ("f4_normalize_entity_text", D, lambda: {"x": t.normalize_entity(C("text"))}, {"x": f"trim(regexp_replace(regexp_replace(lower({COLLAPSED.format("text")}), '[._/]+', ' ', 'g'), '\\s+', ' ', 'g'))"}),
+    ("f5_normalize_keyword", D, lambda: {"x": t.normalize_keyword(C("text"))}, {"x": f"regexp_replace(regexp_replace(lower(trim(text)), '[^\\p{{L}}\\p{{N}}\\s-]', ' ', 'g'), '\\s+', ' ', 'g')"}),
+    ("f6_normalize_concept", D, lambda: {"x": t.normalize_concept(C("text"))}, {"x": f"trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s?]', ' ', 'g'), '\\s+', ' ', 'g'))"}),
     ("f7_normalize_predicate", E, lambda: {"x": t.normalize_predicate(F.concat(C("event_type"), L("_By-User")))}, {"x": "lower(regexp_replace(trim(event_type || '_By-User'), '[_-]+', ' ', 'g'))"}),
     ("f8_stable_key", N, lambda: {"x": t.stable_key("geo", C("n_name"))}, {"x": "'geo:' || regexp_replace(trim(regexp_replace(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}\\s?]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+', '-', 'g')"}),
-    ("f9_slug", D, lambda: {"x": t.slug(HEAD())}, {"x": f"regexp_replace(regexp_replace(lower({HEAD_SQL}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"}),
-    ("f10_title_case", D, lambda: {"x": t.title_case(F.replace(HEAD(), L("ß"), L("s")))}, {"x": f"array_to_string(list_transform(string_split({COLLAPSED.format("replace(" + HEAD_SQL + ", 'ß', 's')")}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"}),
-    ("f11_query_normalize", D, lambda: {"x": t.collapse(HEAD())}, {"x": COLLAPSED.format(HEAD_SQL)}),
-    ("f12_query_terms", D, lambda: {"n": F.size(t.query_terms(HEAD())), "x": F.array_join(t.query_terms(HEAD()), "|")}, {"n": f"len(list_filter(string_split(lower({COLLAPSED.format(HEAD_SQL)}), ' '), lambda x: x <> ''))::INT", "x": f"array_to_string(list_filter(string_split(lower({COLLAPSED.format(HEAD_SQL)}), ' '), lambda x: x <> ''), '|')"}),
+    ("f9_slug", D, lambda: {"x": t.slug(C("text"))}, {"x": f"regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"}),
+    ("f10_title_case", D, lambda: {"x": t.title_case(F.replace(C("text"), L("ß"), L("s")))}, {"x": f"array_to_string(list_transform(string_split({COLLAPSED.format("replace(text, 'ß', 's')")}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"}),
+    ("f11_query_normalize", D, lambda: {"x": t.collapse(C("text"))}, {"x": COLLAPSED.format("text")}),
+    ("f12_query_terms", D, lambda: {"n": F.size(t.query_terms(C("text"))), "x": F.array_join(t.query_terms(C("text")), "|")}, {"n": f"len(list_filter(string_split(lower({COLLAPSED.format("text")}), ' '), lambda x: x <> ''))::INT", "x": f"array_to_string(list_filter(string_split(lower({COLLAPSED.format("text")}), ' '), lambda x: x <> ''), '|')"}),
     ("f13_keyword_score", D, lambda: {"x": t.match_share(C("text"), ["the", "tion", "ing"])}, {"x": "(contains(lower(text), 'the')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), 'ing')::INT) / 3.0::DOUBLE"}),
     ("f14_like_escape", P, lambda: {"x": t.escape_like(F.concat(C("url"), L("%_\\")))}, {"x": "replace(replace(replace(url || '%_\\', '\\', '\\\\'), '%', '\\%'), '_', '\\_')"}),
     ("f16_comparison_detector", D, lambda: {"x": t.is_comparison(F.lower(C("text")))}, {"x": f"regexp_matches(lower(text), '{CMP}')"}),
-    ("f17_ngrams", ("benchmark", "item_id"), lambda: {"n": F.size(t.ngrams(F.substring(C("text"), 1, 80)))},
+    ("f17_ngrams", ("benchmark", "item_id"), lambda: {"n": F.size(t.ngrams(C("text")))},
      {"n": f"len(list_distinct(flatten(list_transform(range(1, 7), lambda n: list_transform(range(1, greatest(1, len({GRAMS}) - n + 2)), lambda i: array_to_string(({GRAMS})[i:i + n - 1], ' '))))))::INT"}),
     ("f18_geo_key", N, lambda: {"x": t.geo_key(C("n_name"), C("n_regionkey").cast("string"), L(" Paris "))}, {"x": "upper(n_name) || ':' || n_regionkey || ':paris'"}),
     ("f19_normalize_url", P, lambda: {"x": w.normalize_url(F.concat(C("url"), L("#frag")))}, {"x": "regexp_extract(lower(url), '^(https?://[^/?#]+)', 1) || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"}),
@@ -77,8 +75,8 @@ ENTRIES: list[tuple[str, tuple[str, str], Callable[[], dict[str, Column]], dict[
     ("f30_geo_hints", P, lambda: {"tld": F.upper(F.regexp_extract(w.host_of(C("url")), "\\.([a-z]{2})$", 1))}, {"tld": f"upper(regexp_extract({HOST_SQL}, '\\.([a-z]{{2}})$', 1))"}),
     ("f31_word_char_count", D, lambda: {"words": F.nullif(t.token_count(C("text")), L(0)), "chars": w.utf16_length(C("text"))}, {"words": f"CASE WHEN {COLLAPSED.format('text')} <> '' THEN len(string_split({COLLAPSED.format('text')}, ' ')) END::INT", "chars": "(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::INT"}),
     ("f32_entity_decode", P, lambda: {"a": w.decode_entities(L("&amp;lt; &nbsp;&quot;")), "b": w.decode_entities(L("&amp;lt; &nbsp;&quot;"), w.ENTITIES_EXTRACT)}, {"a": "'<  \"'", "b": "'<  \"'"}),
-    ("f34_chunk_profile", D, lambda: {"x": s.chunk_profile(HEAD(), t.token_count(C("text")))},
-     {"x": f"CASE WHEN regexp_matches(lower({HEAD_SQL}), '\\b(review|rating|pros|cons)\\b') THEN 'review' WHEN regexp_matches(lower({HEAD_SQL}), '\\b(forum|thread|comments|discussion)\\b') THEN 'forum' WHEN len(string_split({COLLAPSED.format('text')}, ' ')) > 2500 THEN 'long_guide' WHEN len(string_split({COLLAPSED.format('text')}, ' ')) < 900 THEN 'short_seo_page' ELSE 'default' END"}),
+    ("f34_chunk_profile", D, lambda: {"x": s.chunk_profile(C("text"), t.token_count(C("text")))},
+     {"x": f"CASE WHEN regexp_matches(lower(text), '\\b(review|rating|pros|cons)\\b') THEN 'review' WHEN regexp_matches(lower(text), '\\b(forum|thread|comments|discussion)\\b') THEN 'forum' WHEN len(string_split({COLLAPSED.format('text')}, ' ')) > 2500 THEN 'long_guide' WHEN len(string_split({COLLAPSED.format('text')}, ' ')) < 900 THEN 'short_seo_page' ELSE 'default' END"}),
     ("f35_chunk_type", D, lambda: {"x": s.chunk_type(C("text"), F.when(C("doc_id") % 3 > 0, C("source")), C("doc_id") % 4, L(4))},
      {"x": "CASE WHEN contains(text, '?') OR regexp_matches(lower(coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, '') || ' ' || text), '\\b(faq|questions|q&a)\\b') THEN 'faq' WHEN regexp_matches(text, '(?m)^\\s*\\|.+\\|\\s*$') THEN 'table' WHEN regexp_matches(text, '(?m)^\\s*([-*]|[0-9]+\\.)\\s+') THEN 'list' "
            "WHEN regexp_matches(lower(text), '\\b(compare|comparison|versus)\\b| vs\\.? ') THEN 'comparison' WHEN regexp_matches(lower(text), '\\b(review|rating|pros|cons)\\b') THEN 'review' WHEN doc_id % 4 = 0 THEN 'intro' "
