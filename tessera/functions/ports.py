@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text
 
@@ -86,12 +87,20 @@ def collect_providers(providers: dict[str, Callable[[], DataFrame]]) -> tuple[Da
     return out, warnings
 
 
-def dispatch(commands: list[dict], execute: Callable[[dict], dict]) -> list[dict]:
-    """A receipt for each command; an exception becomes a failed receipt. Commands are a bounded plan, made on the driver."""
-    receipts = []
-    for c in commands:
+def dispatch(commands: DataFrame, execute: Callable[[dict], str]) -> DataFrame:
+    """commands with a receipt: executed and what execute returned, or failed and the reason it raised.
+
+    The commands of a lost task are executed again, so execute must be idempotent.
+    """
+    def receipt(command: dict) -> tuple[str, str]:
         try:
-            receipts.append({"command": c, "status": "executed", **execute(c)})
-        except Exception as e:
-            receipts.append({"command": c, "status": "failed", "reason": str(e)})
-    return receipts
+            return "executed", execute(command)
+        except Exception as e:  # an executor may fail in any way
+            return "failed", str(e)
+
+    def run(batches):
+        for pdf in batches:
+            got = [receipt(c) for c in pdf.to_dict("records")]
+            yield pdf.assign(status=[s for s, _ in got], detail=[x for _, x in got])
+
+    return commands.mapInPandas(run, T.StructType([*commands.schema.fields, T.StructField("status", T.StringType()), T.StructField("detail", T.StringType())]))

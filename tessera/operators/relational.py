@@ -44,6 +44,11 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> D
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
+def top_k(df: DataFrame, order: list, k: int, rank: str) -> DataFrame:
+    """The first k rows, numbered from 1; each task keeps k rows before they meet, so the numbering sees k rows only."""
+    return df.orderBy(*order).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+
+
 def first_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return latest(df, keys, [F.col(seq).asc()])
 

@@ -221,8 +221,8 @@ def d8_trust_scores(spark, d):
 
 @query(f"SELECT subject, predicate, level, coalesce(severity, 'none') AS severity, CASE WHEN severity = 'high' THEN 'compare_values' WHEN severity IS NULL THEN 'state' WHEN level = 'weak' THEN 'avoid_claim' ELSE 'phrase_cautiously' END AS handling FROM ({rq.ORACLES['a7_consensus_groups']}) LEFT JOIN ({rq.ORACLES['a9_conflict_sets']}) USING (subject, predicate)")
 def d9_consensus_and_conflict(spark, d):
-    j = rq.a7_consensus_groups(spark, d).select("subject", "predicate", "level").join(rq.a9_conflict_sets(spark, d), ["subject", "predicate"], "left")
-    handling = F.when(F.col("severity") == "high", "compare_values").when(F.col("severity").isNull(), "state").when(F.col("level") == "weak", "avoid_claim").otherwise("phrase_cautiously")
+    j = rq.consensus(spark, d)
+    handling =F.when(F.col("severity") == "high", "compare_values").when(F.col("severity").isNull(), "state").when(F.col("level") == "weak", "avoid_claim").otherwise("phrase_cautiously")
     return j.select("subject", "predicate", "level", F.coalesce("severity", F.lit("none")).alias("severity"), handling.alias("handling"))
 
 
@@ -254,10 +254,22 @@ def d17_demand_discovery(spark, d):
     return rq.a17_keyword_candidates(spark, d).select("keyword", "observations", F.when(F.col("observations") >= 3, "medium").otherwise("low").alias("confidence"))
 
 
-@query(f"SELECT text, diversity, k FROM (SELECT *, row_number() OVER (ORDER BY diversity DESC, frequency DESC, text) AS k FROM ({rq.ORACLES['a12_heading_patterns']}) WHERE diversity >= 2) WHERE k <= 10")
+@query(f"""
+    SELECT 'heading' AS kind, text, diversity AS score, k FROM (SELECT *, row_number() OVER (ORDER BY diversity DESC, frequency DESC, text) AS k FROM ({rq.ORACLES['a12_heading_patterns']}) WHERE diversity >= 2) WHERE k <= 10
+    UNION ALL SELECT 'faq', question, frequency, k FROM (SELECT *, row_number() OVER (ORDER BY frequency DESC, question) AS k FROM ({rq.ORACLES['a13_faq_patterns']})) WHERE k <= 10
+    UNION ALL SELECT 'entity', p_type || '/' || name, frequency, k FROM (SELECT *, row_number() OVER (ORDER BY frequency DESC, p_type || '/' || name) AS k FROM ({rq.ORACLES['a14_entity_patterns']})) WHERE k <= 10
+    UNION ALL SELECT 'depth', 'words', (list_sort(list(words))[(count(*) // 2) + 1])::BIGINT, 1 FROM ({ORACLES['d1_page_signals']})
+    UNION ALL SELECT 'angle', CASE WHEN count(*) > 1 THEN 'mixed' ELSE min(angle) END, max(score), 1 FROM (SELECT *, rank() OVER (ORDER BY score DESC) AS r FROM ({rq.ORACLES['a16_content_angle']})) WHERE r = 1""")
 def d18_serp_pack(spark, d):
-    top = rq.a12_heading_patterns(spark, d).where("diversity >= 2").orderBy(F.desc("diversity"), F.desc("frequency"), "text").limit(10)
-    return top.withColumn("k", F.row_number().over(Window.orderBy(F.desc("diversity"), F.desc("frequency"), "text"))).select("text", "diversity", "k")  # ten rows
+    """The ten first headings, questions and entities, the median depth of a page, and the leading angle (mixed on a tie)."""
+    top = lambda kind, df: r.top_k(df, [F.desc("score"), F.desc("then"), "text"], 10, "k").select(F.lit(kind).alias("kind"), "text", "score", "k")
+    headings = rq.a12_heading_patterns(spark, d).where("diversity >= 2").select("text", F.col("diversity").alias("score"), F.col("frequency").alias("then"))
+    questions = rq.a13_faq_patterns(spark, d).select(F.col("question").alias("text"), F.col("frequency").alias("score"), F.lit(0).alias("then"))
+    entities = rq.a14_entity_patterns(spark, d).select(F.concat_ws("/", "p_type", "name").alias("text"), F.col("frequency").alias("score"), F.lit(0).alias("then"))
+    depth = d1_page_signals(spark, d).agg(r.upper_median("words").cast("long").alias("score")).select(F.lit("depth").alias("kind"), F.lit("words").alias("text"), "score", F.lit(1).alias("k"))
+    best = rq.a16_content_angle(spark, d).groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("first")).orderBy(F.desc("score")).limit(1)  # a row per angle at most
+    angle = best.select(F.lit("angle").alias("kind"), F.when(F.col("n") > 1, "mixed").otherwise(F.col("first")).alias("text"), "score", F.lit(1).alias("k"))
+    return top("heading", headings).unionByName(top("faq", questions)).unionByName(top("entity", entities)).unionByName(depth).unionByName(angle)
 
 
 @query("SELECT key, frequency, CASE WHEN frequency >= 3 THEN 'deep' WHEN frequency >= 2 THEN 'moderate' ELSE 'shallow' END AS depth FROM (" + rq.ORACLES["a18_intent_candidates"] + ")")
@@ -433,6 +445,24 @@ def p17_configured_url_safety(spark, d):
     return read(spark, d, "pages", "page_id", "url").select("page_id", (~w.is_unsafe_host(w.host_of(F.col("url")))).alias("safe"))
 
 
+QUEUES = {"click": "crawled", "view": "processed", "purchase": "embedded", "signup": "extracted"}
+
+
+@query("SELECT event_id, event_type, CASE event_type " + " ".join(f"WHEN '{q}' THEN '{x}'" for q, x in QUEUES.items()) + " ELSE 'no_consumer' END AS outcome FROM events")
+def st1_queue_consumers(spark, d):
+    """Four queues in one inbox, delivered twice; each job is handled once."""
+    folder = sinks.shared_folder(spark)
+    jobs = read(spark, d, "events", "event_id", "event_type")
+    done = jobs.withColumn("outcome", F.coalesce(s.lookup(QUEUES, F.col("event_type")), F.lit("no_consumer")))
+    done.limit(0).write.parquet(f"{folder}/out")
+    existing = lambda: spark.read.schema(done.schema).parquet(f"{folder}/out")
+    service = lambda new: sinks.append(new.withColumn("outcome", F.coalesce(s.lookup(QUEUES, F.col("event_type")), F.lit("no_consumer"))), f"{folder}/out")
+    for _ in range(2):
+        sinks.append(jobs, f"{folder}/inbox")
+        state.consume(spark, f"{folder}/inbox", jobs.schema, f"{folder}/checkpoint", state.append_once(existing, service, ["event_id"]))
+    return existing()
+
+
 @query("SELECT event_id, lower(event_type || '-Header') AS name, substr(coalesce(props, ''), 1, 20) AS value FROM events")
 def p25_header_bounds(spark, d):
     headers = F.create_map(F.concat("event_type", F.lit("-Header")), F.coalesce("props", F.lit("")))
@@ -486,11 +516,46 @@ def ud3_fact_extraction_port(spark, d):
     return docs.lateralJoin(extract(F.col("text").outer())).select("doc_id", "predicate_text", "value")
 
 
+def broken():
+    raise ValueError("down")
+
+
+@query(f"SELECT page_id, CASE WHEN {HOST_SQL} LIKE '%.org' THEN 'browser' ELSE 'http' END AS provider_key, CASE WHEN html IS NULL OR html = '' THEN 'empty' ELSE 'fetched' END AS outcome, length(coalesce(html, ''))::INT AS size FROM pages")
+def ud4_crawler_adapters(spark, d):
+    """Each url goes to the adapter that takes its host; the recorded pages stand for the network."""
+    pages = read(spark, d, "pages", "page_id", "url", "html").withColumn("org", F.coalesce(w.host_of(F.col("url")).endswith(".org"), F.lit(False)))
+    html = F.coalesce("html", F.lit(""))
+    fetch = lambda rows: rows.select("page_id", F.when(html == "", "empty").otherwise("fetched").alias("outcome"), F.length(html).alias("size"))
+    return ports.collect_providers({"browser": lambda: fetch(pages.where("org")), "http": lambda: fetch(pages.where("not org"))})[0]
+
+
+@query("SELECT 'seed' AS provider_key, n_name AS target, NULL::BIGINT AS page_id FROM nation UNION ALL SELECT 'link', unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href=\"([^\"]*)\"[^>]*>', 1)), page_id FROM pages")
+def ud5_discovery_adapters(spark, d):
+    links = lambda: read(spark, d, "pages", "page_id", "html").select("page_id", F.explode(w.anchors(F.col("html"))).alias("a")).select(F.col("a.href").alias("target"), "page_id")
+    seeds = lambda: read(spark, d, "nation", "n_name").select(F.col("n_name").alias("target"), F.lit(None).cast("long").alias("page_id"))
+    return ports.collect_providers({"seed": seeds, "broken": broken, "link": links})[0]
+
+
+@query("SELECT p_name AS keyword, 'fallback' AS provider_key, NULL::BIGINT AS volume FROM part UNION ALL SELECT event_type, 'recorded', count(*) FROM events GROUP BY 1")
+def ud6_demand_adapters(spark, d):
+    """A provider with recorded volumes; the fallback knows keywords without metrics."""
+    recorded = lambda: read(spark, d, "events", "event_type").groupBy(F.col("event_type").alias("keyword")).agg(F.count(F.lit(1)).alias("volume"))
+    fallback = lambda: read(spark, d, "part", "p_name").select(F.col("p_name").alias("keyword"), F.lit(None).cast("long").alias("volume"))
+    return ports.collect_providers({"recorded": recorded, "broken": broken, "fallback": fallback})[0]
+
+
+@query("SELECT event_id, CASE WHEN coalesce(value, 0) < 10 THEN 'failed' ELSE 'executed' END AS status, CASE WHEN coalesce(value, 0) < 10 THEN 'below budget' ELSE event_type END AS detail FROM events")
+def ud9_dispatch(spark, d):
+    def execute(command):
+        if not command["value"] >= 10:
+            raise ValueError("below budget")
+        return command["event_type"]
+
+    return ports.dispatch(read(spark, d, "events", "event_id", "event_type", "value"), execute).select("event_id", "status", "detail")
+
+
 @query("SELECT c_name AS name, 'crm' AS provider_key FROM customer UNION ALL SELECT s_name, 'erp' FROM supplier")
 def ud7_provider_union(spark, d):
-    def broken():
-        raise ValueError("down")
-
     found, _ = ports.collect_providers({
         "crm": lambda: read(spark, d, "customer", "c_name").select(F.col("c_name").alias("name")), "broken": broken,
         "erp": lambda: read(spark, d, "supplier", "s_name").select(F.col("s_name").alias("name"))})

@@ -390,29 +390,38 @@ SUPPORT = CL4.format("least(0.35::DOUBLE, facts * 0.1::DOUBLE) + least(0.25::DOU
 
 
 def alternatives(spark, d) -> DataFrame:
-    a = facts(spark, d).groupBy("subject", "predicate", "value").agg(
-        F.count(F.lit(1)).alias("facts"), F.count_distinct("domain").alias("domains"), s.clamp4(F.avg("trust")).alias("trust"), s.clamp4(F.avg("evidence")).alias("evidence"))
+    """One row per subject, predicate and value, from one scan that is pre-aggregated by domain. first_domains counts the
+    domains that no smaller value of the group has, so that its sum over a group is the group's number of domains."""
+    each = facts(spark, d).groupBy("subject", "predicate", "domain", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("trust").alias("t"), F.count("trust").alias("t_n"), F.sum("evidence").alias("e"), F.count("evidence").alias("e_n"))
+    first = F.row_number().over(Window.partitionBy("subject", "predicate", "domain").orderBy("value")) == 1
+    a = each.withColumn("first", first & F.col("domain").isNotNull()).groupBy("subject", "predicate", "value").agg(
+        F.sum("n").alias("facts"), F.count("domain").alias("domains"), s.clamp4(F.sum("t") / F.sum("t_n")).alias("trust"), s.clamp4(F.sum("e") / F.sum("e_n")).alias("evidence"),
+        F.count_if("first").alias("first_domains"))
     return a.withColumn("support", s.support_score(F.col("facts"), F.col("domains"), F.col("trust"), F.col("evidence")))
 
 
+def consensus(spark, d) -> DataFrame:
+    """One row per subject and predicate: facts, domains, best support, level, and the severity of its conflict (null without one)."""
+    g = alternatives(spark, d).groupBy("subject", "predicate").agg(
+        F.sum("facts").alias("facts"), F.sum("first_domains").alias("domains"), F.max("support").alias("best"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("domains") > 0).alias("supported"))
+    severity = F.when((F.col("supported") >= 2) & (F.col("domains") >= 3), "high").when(F.col("supported") >= 2, "medium").otherwise("low")
+    return g.withColumn("level", s.consensus_level(F.col("facts"), F.col("domains"), F.col("best"))).withColumn("severity", F.when(F.col("n") > 1, severity))
+
+
 @query(f"SELECT subject, predicate, facts, domains, best, CASE WHEN facts >= 3 AND domains >= 2 AND best >= 0.65 THEN 'strong' WHEN facts >= 2 AND best >= 0.5 THEN 'moderate' ELSE 'weak' END AS level FROM (SELECT subject, predicate, sum(facts)::BIGINT AS facts, max(best) AS best FROM (SELECT *, {SUPPORT} AS best FROM ({ALTERNATIVES})) GROUP BY 1, 2) JOIN (SELECT subject, predicate, count(DISTINCT domain) AS domains FROM {FACTS} GROUP BY 1, 2) USING (subject, predicate)")
 def a7_consensus_groups(spark, d):
-    groups = alternatives(spark, d).groupBy("subject", "predicate").agg(F.sum("facts").alias("facts"), F.max("support").alias("best"))
-    domains = facts(spark, d).groupBy("subject", "predicate").agg(F.count_distinct("domain").alias("domains"))
-    g = groups.join(domains, ["subject", "predicate"])
-    return g.withColumn("level", s.consensus_level(F.col("facts"), F.col("domains"), F.col("best")))
+    return consensus(spark, d).select("subject", "predicate", "facts", "domains", "best", "level")
 
 
 @query(f"SELECT subject, predicate, value, facts, domains, trust, evidence, {SUPPORT} AS support FROM ({ALTERNATIVES})")
 def a8_alternatives(spark, d):
-    return alternatives(spark, d)
+    return alternatives(spark, d).drop("first_domains")
 
 
 @query(f"SELECT subject, predicate, CASE WHEN count(*) >= 2 AND any_value(gd) >= 3 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS severity FROM ({ALTERNATIVES}) JOIN (SELECT subject, predicate, count(DISTINCT domain) AS gd FROM {FACTS} GROUP BY 1, 2) USING (subject, predicate) GROUP BY 1, 2 HAVING count(*) > 1")
 def a9_conflict_sets(spark, d):
-    domains = facts(spark, d).groupBy("subject", "predicate").agg(F.count_distinct("domain").alias("gd"))
-    groups = alternatives(spark, d).groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("domains") > 0).alias("supported")).where("n > 1")
-    return groups.join(domains, ["subject", "predicate"]).select("subject", "predicate", F.when((F.col("supported") >= 2) & (F.col("gd") >= 3), "high").when(F.col("supported") >= 2, "medium").otherwise("low").alias("severity"))
+    return consensus(spark, d).where("severity is not null").select("subject", "predicate", "severity")
 
 
 @query("SELECT subject, " + CL4.format("0.28::DOUBLE + least(0.24::DOUBLE, count(DISTINCT chunk) * 0.06::DOUBLE) + least(0.24::DOUBLE, count(DISTINCT chunk) * 0.08::DOUBLE) + least(0.24::DOUBLE, count(DISTINCT domain) * 0.08::DOUBLE) + (" + CL4.format("avg(trust)") + " - 0.5) * 0.28 - CASE WHEN count(DISTINCT value) > 1 THEN 0.18 ELSE 0.0 END::DOUBLE") + f" AS strength FROM {FACTS} GROUP BY 1")
