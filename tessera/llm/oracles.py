@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from tessera.llm import license_scan, url_filter
 
 EXACT_DEDUP = r"""
@@ -13,6 +15,36 @@ EXACT_DEDUP = r"""
            doc_id = first_value(doc_id) OVER w AS kept, text_sha256
     FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)"""
 
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINE_DEDUP = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    x AS (SELECT r, i, l[i] AS line, translate(trim(l[i], {WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+    hot AS (SELECT key FROM x WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+    k AS (SELECT r, count(*) FILTER (WHERE hot.key IS NOT NULL) AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.key IS NULL), '') AS kept
+          FROM x LEFT JOIN hot ON hot.key = x.key GROUP BY r)
+    SELECT doc_id, len(l)::BIGINT AS n_lines, n::BIGINT AS n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN k ON k.r = d.r"""
+
+
+def audit_sql() -> str:
+    """Masks have a bit for each failed filter, A = 1 to E = 16; a plan row is an order, a step, its filter's bit and the bits before it."""
+    plan = ", ".join(f"('{o}', {k + 1}, {1 << 'ABCDE'.index(f)}, {sum(1 << 'ABCDE'.index(x) for x in o[:k])})"
+                     for o in map("".join, itertools.permutations("ABCDE")) for k, f in enumerate(o))
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+    l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+    m AS (SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                 + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                 + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS mask, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+    c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY 1, 2),
+    s AS (SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (pre | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & pre = 0 AND mask & bit <> 0) AS removed,
+                 sum(n) FILTER (WHERE mask & pre <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+                 sum(good) FILTER (WHERE mask & pre = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (WHERE mask & pre = 0 AND mask & bit <> 0) AS toxic_lost
+          FROM c, (VALUES {plan}) p(filter_order, step, bit, pre) GROUP BY 1, 2, 3, 4)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+           coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM s"""
+
 
 def license_sql() -> str:
     rows = []

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import ann, byte_bpe, exact_dedup, language_id, license_scan, lm_score, near_dedup, oracles, packing, toxicity, url_filter
+from tessera.llm import ann, byte_bpe, exact_dedup, filter_audit, language_id, license_scan, line_dedup, lm_score, near_dedup, oracles, packing, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -49,8 +50,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_minhash_near_dedup, op3_lm_scoring, op4_byte_bpe, op5_ann_search, op6_license_scan, op7_packing,
-    op8_language_id, op9_toxicity, op10_url_filter)}
+    op8_language_id, op9_toxicity, op10_url_filter, op11_filter_audit, op12_line_dedup)}
 
-ORACLES = {"op1_exact_dedup": oracles.EXACT_DEDUP, "op6_license_scan": oracles.license_sql(), "op10_url_filter": oracles.url_sql()}
+ORACLES = {"op1_exact_dedup": oracles.EXACT_DEDUP, "op6_license_scan": oracles.license_sql(), "op10_url_filter": oracles.url_sql(),
+           "op11_filter_audit": oracles.audit_sql(), "op12_line_dedup": oracles.LINE_DEDUP}

@@ -9,7 +9,7 @@ import __spark_entry__
 def test_registered():
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if re.match(r"op\d+_", n)} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if re.match(r"op\d+_", n)} == {str(i) for i in range(1, 13)}
 
 
 def test_stages(spark, sf):
