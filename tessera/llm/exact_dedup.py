@@ -7,8 +7,8 @@ never changes the result; beyond some four million such keys a growing share of
 
 Defined results: null text counts as empty; texts are equal when identical after deleting every character of
 [\\x20\\x09-\\x0D], however long; the row with most code points in its original text stays, then the smallest doc_id, null ids last.
-Rows that repeat an id and a text count as separate members; `decisions` marks all of them kept if their id stays, and
-`filter_documents` returns one of them. An empty table gives an empty result. Other columns are not read (`decisions`)
+Rows that repeat an id and a text count as separate members, of which one stays: of rows with one id the one with most code
+points, of rows equal in both any one. An empty table gives an empty result. Other columns are not read (`decisions`)
 or pass through unchanged (`filter_documents`).
 """
 
@@ -57,8 +57,8 @@ def _flagged(docs: DataFrame, text_col: str, prefix_chars: int, words: int | Non
     )
 
 
-def _order(n: str, key: str) -> Column:
-    return F.struct((-F.col(n)).alias("n"), F.col(key).isNull().alias("no_id"), F.col(key).alias("id"))
+def _order(n: str, key: str, *more: str) -> Column:
+    return F.struct((-F.col(n)).alias("n"), F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), *more)
 
 
 def _fresh(key: str) -> Column:
@@ -72,14 +72,14 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     slim = docs.select(F.col(id_col).alias("__xd_id"), F.col(text_col).alias("__xd_text"))
     full = F.unhex(F.sha2("__xd_norm", 256))
     rows = _flagged(slim, "__xd_text", prefix_chars, filter_words).select(
-        "__xd_id", "__xd_hit", F.coalesce(F.length("__xd_text"), F.lit(0)).alias("__xd_chars"),
+        "__xd_id", "__xd_hit", F.monotonically_increasing_id().alias("__xd_row"), F.coalesce(F.length("__xd_text"), F.lit(0)).alias("__xd_chars"),
         (full if digest else F.when(F.col("__xd_hit"), full)
          .otherwise(F.unhex(F.hex(F.coalesce(F.col("__xd_id").cast("string"), F.lit("")))))).alias("__xd_sha"),
     )
     rows = cut(rows)
     groups = (
         rows.where("__xd_hit").groupBy("__xd_sha")
-        .agg(F.count(F.lit(1)).alias("__xd_size"), F.min(_order("__xd_chars", "__xd_id")).alias("__xd_best"))
+        .agg(F.count(F.lit(1)).alias("__xd_size"), F.min(_order("__xd_chars", "__xd_id", "__xd_row")).alias("__xd_best"))
         .where("__xd_size > 1").withColumn("__xd_grouped", F.lit(True)).withColumn("__xd_key", _fresh("__xd_sha")).drop("__xd_sha")
     )
     joined = rows.join(groups, F.col("__xd_sha") == F.col("__xd_key"), "left")
@@ -87,7 +87,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     columns = [
         F.col("__xd_id").alias(id_col), keep.alias("keep_id"),
         F.coalesce("__xd_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("__xd_id").eqNullSafe(keep).alias("kept"),
+        (F.col("__xd_grouped").isNull() | (F.col("__xd_row") == F.col("__xd_best.__xd_row"))).alias("kept"),
     ]
     if digest:
         columns.append(F.lower(F.hex("__xd_sha")).alias("text_sha256"))

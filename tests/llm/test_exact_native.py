@@ -23,8 +23,8 @@ def brute(rows):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
     out = []
     for norm, members in groups.items():
-        keep = min(members)[3]
-        out += [(i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for *_, i in members]
+        first = min(range(len(members)), key=lambda k: members[k][:3])
+        out += [(m[3], members[first][3], len(members), k == first, hashlib.sha256(norm.encode()).hexdigest()) for k, m in enumerate(members)]
     return sorted(out, key=str)
 
 
@@ -47,6 +47,12 @@ def test_exact_filter(spark, words):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({r[1] for r in rows})
 
 
+def test_one_row_of_a_group_stays_where_ids_repeat(spark):
+    rows = [("a b", 3), ("ab", 3), ("ab", 4), ("c", 5), ("c", 5), ("d ", 6), (" d", 6), ("e", None), ("e", None)]
+    got = exact_dedup.decisions(docs_of(spark, [t for t, _ in rows], [i for _, i in rows]), digest=True).collect()
+    assert sorted(map(tuple, got), key=str) == brute([(i, t) for t, i in rows]) and sum(r["kept"] for r in got) == 4
+
+
 def test_exact_empty_table_and_skew(spark):
     assert exact_dedup.decisions(docs_of(spark, [])).count() == 0
     assert exact_dedup.filter_documents(docs_of(spark, [])).count() == 0
