@@ -3,7 +3,11 @@
 Lexicon: words of toxic training texts that occur in at least `least` different contexts (pairs of neighbouring words,
 counted by sketches that do not fill up, so that copies of a text count once) and at `ratio` times the rate of other training texts or more; a
 rate is a word's share of all contexts of the class, for other texts plus three standard errors, which matter only while
-a word is rare. All such words are taken. A word is looked up by
+a word is rare. Chance must not explain it either: were the texts that hold the word toxic as often as all texts are, so few
+clean ones among them would have to be so unlikely (Chernoff's bound) that over all candidate words `chance` of a word is
+expected. So a word that no clean text holds needs the more toxic texts the more of all texts are toxic, and ordinary words
+do not enter however large the vocabulary. Different texts are counted, by small sketches. All words that pass are taken; if
+they are more than `most_terms`, the labels do not mark words and training stops with an error before anything is sent. A word is looked up by
 running its Levenshtein automaton (one error, bit-parallel) along the trie of the lexicon; digits and signs that stand
 for letters are also tried as letters. All words under `ratio` that the automaton would catch form a stop list. Each hit
 is abusive, reported or quoted: quotation marks on both sides, double or single, or else words of reporting, within a
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -158,23 +162,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _surprise(bad: Column, clean: Column, share: float) -> Column:
+    """-log of a bound of the chance that so few of bad + clean texts are clean if each is with chance `share`; 0 where they are not few."""
+    n = bad + clean
+    x = clean / n
+    part = lambda at, of: F.when(at > 0, at * F.log(at / F.lit(of))).otherwise(0.0)
+    return F.when((n > 0) & (x < share), n * (part(x, share) + part(1 - x, 1 - share))).otherwise(0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, modulus: int = 5, held: int = 0,
-          least: int = 4, ratio: float = 20.0, fit_rows: int = 20000, window: int = 6) -> Model:
+          least: int = 4, ratio: float = 20.0, chance: float = 0.5, most_terms: int = 200_000, fit_rows: int = 20000, window: int = 6) -> Model:
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, modulus) != held)).groupBy(F.col(id_col).alias("__id")).agg(
         (F.max(label_col) > 0).alias("bad"))
     marks = cut(marks)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = maybe_in(rows, F.col("id"), marks, F.col("__id"), "maybe").where("maybe")  # other texts are not shuffled
     rows = rows.join(marks.hint("merge"), F.col("id") == F.col("__id")).select("id", "text", "bad")  # one plan at every size
-    cut_up = rows.select("bad", F.regexp_extract_all(F.lower("text"), F.lit(SQL_WORDS), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    placed = cut_up.select("bad", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    context = F.xxhash64(F.coalesce(F.get("w", F.col("i") - 1), F.lit("")), F.coalesce(F.get("w", F.col("i") + 1), F.lit("")))
-    count = lambda of: F.approx_count_distinct(F.when(of, F.col("context")), 0.05)
-    stats = cut(placed.select("bad", F.get("w", "i").alias("word"), context.alias("context")).groupBy("word").agg(count(F.col("bad")).alias("bad"), count(~F.col("bad")).alias("clean")))
-    all_bad, all_clean = stats.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    cut_up = rows.select("bad", F.regexp_extract_all(F.lower("text"), F.lit(SQL_WORDS), F.lit(0)).alias("w"), F.xxhash64("text").alias("doc")).where(F.size("w") > 0)
+    placed = cut_up.select("bad", "w", "doc", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("i"))  # -1 stands for the text itself: the empty word
+    word, context = F.when(F.col("i") < 0, "").otherwise(F.get("w", "i")), F.xxhash64(F.coalesce(F.get("w", F.col("i") - 1), F.lit("")), F.coalesce(F.get("w", F.col("i") + 1), F.lit("")))
+    seen = placed.select("bad", "doc", word.alias("word"), F.when(F.col("i") < 0, F.col("doc")).otherwise(context).alias("context"))
+    count = lambda of, what, error: F.approx_count_distinct(F.when(of, F.col(what)), error)
+    stats = cut(seen.groupBy("word").agg(count(F.col("bad"), "context", 0.05).alias("bad"), count(~F.col("bad"), "context", 0.05).alias("clean"),
+                                         count(F.col("bad"), "doc", 0.2).alias("bad_texts"), count(~F.col("bad"), "doc", 0.2).alias("clean_texts")))
+    texts = stats.where("word = ''").select("bad", "clean").first() or (0, 0)
+    stats = stats.where("word <> ''")
+    all_bad, all_clean, tested = stats.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0)), F.count(F.when(F.col("bad") >= least, 1))).first()
     bad_rate, clean_rate = F.col("bad") / F.lit(float(max(all_bad, 1))), F.col("clean") / F.lit(float(max(all_clean, 1)))
     most = (F.col("clean") + 3 * F.sqrt("clean")) / F.lit(float(max(all_clean, 1)))  # clean rate within three standard errors
-    chosen = stats.where((F.col("bad") >= least) & (bad_rate >= ratio * most)).orderBy("word")
+    surprise = _surprise(F.col("bad_texts"), F.col("clean_texts"), (texts[1] + 0.5) / (texts[0] + texts[1] + 1.0))
+    chosen = stats.where((F.col("bad") >= least) & (bad_rate >= ratio * most) & (surprise >= float(np.log(max(tested, 1) / chance)))).orderBy("word")
+    if (found := chosen.count()) > most_terms:
+        raise ValueError(f"{found} words tell toxic texts from others, more than most_terms = {most_terms}: these labels do not mark words")
     lexicon = [r["word"] for r in chosen.select("word").collect()]
     trie = Lexicon(lexicon, [])
 

@@ -100,3 +100,66 @@ def test_pairs_that_are_not_compared_cannot_be_linked():
                 found = max(near_dedup.similarity(*sets[i], *sets[j])) >= 0.8 - 1e-12
                 assert may[i, j] or not found
                 assert found or not sure[i, j]
+
+
+def test_words_of_one_vocabulary_do_not_become_terms(spark):
+    """Toxic and clean texts over the same words, toxic ones three times as many: one real term, and clean texts stay clean."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"word{k}x" for k in range(3000)]
+    weights = 1 / np.arange(1, 3001)
+    draw = lambda n: " ".join(rng.choice(vocabulary, n, p=weights / weights.sum()))
+    rows = [(f"{draw(20)} grumph {draw(20)}", 1) for _ in range(600)] + [(draw(40), 0) for _ in range(200)]
+    unseen = [(5 * k, f"{draw(20)} grumph {draw(20)}" if k % 5 == 0 else draw(40)) for k in range(600)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
+    model = toxicity.train(table, table.select("doc_id", "toxic"), modulus=1, held=1)
+    assert model.lexicon.trie.exact == {"grumph"}
+    flagged = {i for i, t in unseen if model.score(t) >= 0.5}
+    clean, bad = [i for i, _ in unseen if i % 25], [i for i, _ in unseen if i % 25 == 0]
+    assert len(flagged & set(clean)) < 0.01 * len(clean) and len(flagged & set(bad)) >= 0.9 * len(bad)
+
+
+def _edit1(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            before, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, before + (x != y))
+    return d[-1] <= 1
+
+
+def test_toxicity_scores_equal_brute_force(spark, sf):
+    """Every word against every term by edit distance, every hit's window by hand, and the logistic score."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "You l0ser! He said 'pathetik' and \"trash\"."), (-2, None), (-3, "scum"), (-3, "scum")], "doc_id long, text string"))
+    model = toxicity.train(docs, labels)
+    terms, stop, split = model.lexicon.trie.exact, model.lexicon.stop, toxicity.WORDS
+    assert terms
+
+    def kind(w):
+        plain = w.translate(toxicity.LETTERS)
+        near = lambda x: any(len(t) >= toxicity.SHORTEST and _edit1(x, t) for t in terms)
+        return 1 if w in terms else 0 if w in stop else 2 if plain in terms or near(w) or near(plain) else 0
+
+    def score(text):
+        low, counts = (text or "").lower(), np.zeros((2, 3))
+        found = list(split.finditer(low))
+        for i, m in enumerate(found):
+            k = kind(m[0])
+            if k:
+                near = found[max(0, i - 6):i + 7]
+                start, end = (found[i - 7].end() if i > 6 else 0), (found[i + 7].start() if i + 7 < len(found) else len(low))
+                before, after = low[start:m.start()], low[m.end():end]
+                double = toxicity.QUOTES.search(before) and toxicity.QUOTES.search(after)
+                single = any(x.start() <= m.start() and x.start() >= start for x in toxicity.OPENING.finditer(low, 0, m.start() + 1)) and any(m.end() <= x.start() < end for x in toxicity.CLOSING.finditer(low))
+                counts[k - 1, 1 if double or single else 2 if {x[0] for x in near} & toxicity.REPORTING else 0] += 1
+        x = np.zeros(toxicity.FEATURES)
+        if counts.sum():
+            density = 100 * counts.sum() / len(found)
+            x[:] = [*np.log1p(counts.ravel()), density / (1 + density), counts[:, 0].sum() > 0]
+        return 1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1])))
+
+    scored, name = toxicity.scored(docs, model)
+    rows = scored.collect()
+    assert len(rows) == docs.count()
+    hits = [r for r in rows if abs(r[name] - score(None)) > 1e-9]
+    assert len(hits) >= 8 and all(abs(r[name] - score(r["text"])) < 1e-9 for r in [*hits, *rows[:25], *rows[-4:]])
