@@ -385,15 +385,35 @@ def o2_hybrid_topk(spark, d):
     return d10_hybrid_retrieval(spark, d).orderBy(F.desc("score"), "doc_id").limit(5).select("doc_id", "score")
 
 
-@query()
+@query("""
+    WITH RECURSIVE s AS (SELECT user_id, min(ts) AS a FROM events GROUP BY 1
+                         UNION ALL SELECT s.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.a + INTERVAL 1 DAY GROUP BY s.user_id, s.a),
+    w AS (SELECT e.user_id, event_id, row_number() OVER (PARTITION BY e.user_id, a ORDER BY ts, event_id) AS nth FROM events e ASOF JOIN s ON e.user_id = s.user_id AND e.ts >= s.a)
+    SELECT user_id, event_id, nth <= 3 AS allowed, greatest(3 - nth, 0)::INT AS remaining FROM w""")
 def st7_rate_limit(spark, d):
     e = read(spark, d, "events", "event_id", "user_id", "ts").withColumn("ts", ts("ts"))
     return state.rate_limit(e, "user_id", "ts", "event_id", limit=3, window_seconds=86400.0)
 
 
-@query()
+def machine_sql(wanted: list[str], start: str, transitions: dict[str, set[str]]) -> str:
+    """One command of each key a step, from the state that the one before left."""
+    may = ", ".join(f"('{a}', '{b}')" for a, to in transitions.items() for b in sorted(to))
+    return f"""
+    WITH RECURSIVE c AS (SELECT user_id, event_id, {wanted}[event_id % {len(wanted)} + 1] AS wish, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    t(was, wish) AS (VALUES {may}),
+    r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS k, '{start}' AS state, '' AS outcome FROM c
+          UNION ALL SELECT c.user_id, c.event_id, c.k, CASE WHEN t.was IS NULL THEN r.state ELSE c.wish END, CASE WHEN t.was IS NULL THEN 'rejected' ELSE 'applied' END
+          FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1 LEFT JOIN t ON t.was = r.state AND t.wish = c.wish)
+    SELECT user_id, event_id, outcome, state FROM r WHERE k > 0"""
+
+
+RUN_WISHES = ["leased", "running", "checkpointed", "succeeded", "failed", "queued", "cancelled", "partial"]
+TOPIC_WISHES = ["active", "paused", "active", "archived"]
+
+
+@query(machine_sql(RUN_WISHES, "queued", state.RUN_TRANSITIONS))
 def st5_run_machine(spark, d):
-    to = F.element_at(F.array(*[F.lit(x) for x in ("leased", "running", "checkpointed", "succeeded", "failed", "queued", "cancelled", "partial")]), (F.col("event_id") % 8 + 1).cast("int"))
+    to = F.element_at(F.array(*[F.lit(x) for x in RUN_WISHES]), (F.col("event_id") % 8 + 1).cast("int"))
     return state.run_machine(read(spark, d, "events", "event_id", "user_id").withColumn("to", to), "user_id", "event_id", "to")
 
 
@@ -482,9 +502,9 @@ def st4_retry_to_terminal(spark, d):
     return rq.w3_retry_streaks(spark, d)
 
 
-@query()
+@query(machine_sql(TOPIC_WISHES, "draft", state.TOPIC_TRANSITIONS))
 def st6_topic_lifecycle(spark, d):
-    to = F.element_at(F.array(*[F.lit(x) for x in ("active", "paused", "active", "archived")]), (F.col("event_id") % 4 + 1).cast("int"))
+    to = F.element_at(F.array(*[F.lit(x) for x in TOPIC_WISHES]), (F.col("event_id") % 4 + 1).cast("int"))
     return state.run_machine(read(spark, d, "events", "event_id", "user_id").withColumn("to", to), "user_id", "event_id", "to", "draft", state.TOPIC_TRANSITIONS)
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.operators import scan
+from tessera.sources.sinks import staged
+
 
 def rate_limit_fold(at: list, state: tuple | None, limit: int, window_seconds: float) -> tuple[list[tuple[bool, int]], tuple | None]:
     """Fixed windows that start with a key's first event: (allowed, remaining) of each event in order, and the new state."""
@@ -22,16 +25,35 @@ def rate_limit_fold(at: list, state: tuple | None, limit: int, window_seconds: f
     return out, state
 
 
-def rate_limit(events: DataFrame, key: str, at: str, id_col: str, *, limit: int, window_seconds: float) -> DataFrame:
-    """Batch form: one ordered fold per key."""
-    kind = lambda c: events.schema[c].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, id_col])
-        got, _ = rate_limit_fold(list(pdf[at]), None, limit, window_seconds)
-        return pd.DataFrame({key: pdf[key], id_col: pdf[id_col], "allowed": [a for a, _ in got], "remaining": [n for _, n in got]})
-
-    return events.select(key, at, id_col).groupBy(key).applyInPandas(run, f"{key} {kind(key)}, {id_col} {kind(id_col)}, allowed boolean, remaining int")
+def rate_limit(events: DataFrame, key: str, at: str, id_col: str, *, limit: int, window_seconds: float, fan: int = scan.FAN) -> DataFrame:
+    """Batch form of the same: id, key, allowed, remaining. Events without a time take no part.
+
+    The windows of a key start at its first event and then at each first event that is a window's length after the last
+    start. Every time gets its successor (the first time a window later, from one ordered scan over times and probes); the
+    starts are found by doubling: in each round the known starts jump ahead, and the jumps become twice as long. So the
+    number of rounds grows with the logarithm of a key's windows, and no key's history is ever held in one task.
+    """
+    e = scan.positions(events.where(F.col(at).isNotNull()).select(key, at, id_col, F.unix_micros(F.col(at).cast("timestamp")).alias("__t")), key, ["__t", id_col])
+    times = staged(e.groupBy(key, "__t").agg(F.min("pos").alias("pos")))
+    probe = F.col("__t") + int(window_seconds * 1e6)
+    ahead = times.select(key, F.col("__t").alias("__v"), F.lit(1).alias("__node"), "__t").unionByName(times.select(key, probe.alias("__v"), F.lit(0).alias("__node"), "__t"))
+    ahead = scan.positions(ahead, key, [F.desc("__v"), F.desc("__node")]).withColumn("__seen", F.when(F.col("__node") == 1, F.col("__t")))
+    found = scan.exclusive_scan(ahead, key, "pos", "__seen", lambda a, b: b, fan=fan)
+    jumps = staged(found.where("__node = 0 and before is not null").select(F.col(key).alias("__k"), F.col("__t").alias("__from"), F.col("before").alias("__to")))
+    starts = staged(times.groupBy(key).agg(F.min("__t").alias("__t")))
+    known, before = starts.count(), -1
+    while known > before:
+        further = starts.join(jumps, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__t") == F.col("__from"))).select(key, F.col("__to").alias("__t"))
+        starts = staged(starts.unionByName(further).distinct())
+        known, before = starts.count(), known
+        a, b = jumps.alias("a"), jumps.alias("b")
+        jumps = staged(a.join(b, F.col("a.__k").eqNullSafe(F.col("b.__k")) & (F.col("a.__to") == F.col("b.__from"))).select("a.__k", "a.__from", "b.__to"))
+    opens = times.join(starts.select(F.col(key).alias("__k"), F.col("__t").alias("__s")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__t") == F.col("__s"))).select(F.col("pos").alias("__p"))
+    marked = e.join(opens, F.col("pos") == F.col("__p"), "left").withColumn("__n", F.struct(F.col("__p").isNotNull().alias("opens"), F.lit(1).cast("long").alias("n"))).drop("__p")
+    since = lambda a, b: F.when(b["opens"], b).otherwise(F.struct(a["opens"].alias("opens"), (a["n"] + b["n"]).alias("n")))
+    counted = scan.exclusive_scan(marked, key, "pos", "__n", since, fan=fan)
+    nth = F.when(F.col("__n.opens"), F.lit(1).cast("long")).otherwise(F.col("before.n") + 1)
+    return counted.select(key, id_col, (nth <= limit).alias("allowed"), F.greatest(limit - nth, F.lit(0)).cast("int").alias("remaining"))
 
 
 def rate_limit_stream(events: DataFrame, key: str, at: str, id_col: str, *, limit: int, window_seconds: float) -> DataFrame:
@@ -60,19 +82,22 @@ RUN_TRANSITIONS = {
 TOPIC_TRANSITIONS = {"draft": {"active", "archived"}, "active": {"paused", "archived"}, "paused": {"active", "archived"}, "archived": set()}
 
 
-def run_machine(commands: DataFrame, key: str, order: str, to: str, start: str = "queued", transitions: dict[str, set[str]] = RUN_TRANSITIONS) -> DataFrame:
-    """Ordered fold of transition commands per key: applied or rejected, and the state after each."""
-    kind = lambda c: commands.schema[c].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values(order), start, []
-        for wanted in pdf[to]:
-            ok = wanted in transitions[state]
-            state = wanted if ok else state
-            out.append(("applied" if ok else "rejected", state))
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "outcome": [o for o, _ in out], "state": [s for _, s in out]})
-
-    return commands.select(key, order, to).groupBy(key).applyInPandas(run, f"{key} {kind(key)}, {order} {kind(order)}, outcome string, state string")
+def run_machine(commands: DataFrame, key: str, order: str, to: str, start: str = "queued", transitions: dict[str, set[str]] = RUN_TRANSITIONS, *, fan: int = scan.FAN) -> DataFrame:
+    """Transition commands per key, in order: applied or rejected, and the state after each; a state that nobody knows is rejected.
+
+    A command maps each state to the next one. Such maps can be joined without knowing the state they start from, so the
+    state before every command comes from one ordered scan, however long a key's history is.
+    """
+    names = list(transitions)
+    whole = lambda rows: F.array(*[F.array(*[F.lit(x) for x in row]) for row in rows])
+    maps = whole([range(len(names)), *[[k if wanted in transitions[s] else i for i, s in enumerate(names)] for k, wanted in enumerate(names)]])
+    may = whole([[False] * len(names), *[[wanted in transitions[s] for s in names] for wanted in names]])
+    at = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(to)), F.lit(0)).cast("int")
+    rows = scan.positions(commands.select(key, order, at.alias("__to")), key, [order]).withColumn("__map", F.get(maps, F.col("__to")))
+    first = names.index(start)
+    known = scan.exclusive_scan(rows, key, "pos", "__map", lambda a, b: F.transform(a, lambda s: F.get(b, s)), fan=fan).withColumn("__now", F.coalesce(F.get("before", F.lit(first)), F.lit(first)))
+    outcome = F.when(F.get(F.get(may, F.col("__to")), F.col("__now")), "applied").otherwise("rejected")
+    return known.select(key, order, outcome.alias("outcome"), F.get(F.array(*[F.lit(n) for n in names]), F.get("__map", F.col("__now"))).alias("state"))
 
 
 def consume(spark: SparkSession, inbox: str, schema: StructType, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:

@@ -7,7 +7,7 @@ import pytest
 from tessera.plans import catalog
 
 PYTHON = {"f15_nfkc", "f21_resolve_links", "f26_meta_maps", "f27_json_ld", "f28_microdata", "f33_breadcrumbs", "d3_semantic_chunks", "d4_embedding_batches",
-          "st5_run_machine", "st6_topic_lifecycle", "st7_rate_limit", "ud2_embedding_port", "ud3_fact_extraction_port", "ud9_dispatch"}
+          "ud2_embedding_port", "ud3_fact_extraction_port", "ud9_dispatch"}
 
 
 LITERALS = {"p12_robots_longest_prefix"}  # a join with a fixed list of literal rules
