@@ -23,6 +23,8 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import stream
+
 LOG = logging.getLogger("jobs.activity_model")
 DEFAULTS = {"max_files_per_batch": 1000, "day_format": "yyyy-MM-dd"}
 PATHS = ["events", "output", "checkpoint"]
@@ -67,16 +69,10 @@ def overwrite(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def pattern(path: str) -> str:
-    """The same path as a glob: a file stream takes a plain path for a folder, a glob also for a single file."""
-    return path if any(c in path for c in "*?[{") else f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
-
-
 def run(spark: SparkSession, events: str, output: str, checkpoint: str, config: dict = DEFAULTS) -> DataFrame:
     """Takes in what is new since the checkpoint and returns the whole model as it then stands."""
-    schema = spark.read.parquet(events).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["max_files_per_batch"]).parquet(pattern(events))
-    query = (stream.writeStream.foreachBatch(lambda batch, batch_id: update(batch, batch_id, output, config))
+    new = stream(spark, events, maxFilesPerTrigger=config["max_files_per_batch"])
+    query = (new.writeStream.foreachBatch(lambda batch, batch_id: update(batch, batch_id, output, config))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     model = spark.read.schema(MODEL).parquet(f"{output}/model")

@@ -17,8 +17,8 @@ from tessera.operators import relational as r
 from tessera.plans import relational_queries as rq
 from tessera.plans.scalar_queries import COLLAPSED, HOST_SQL, STRIP_SQL, TITLE_SQL
 from tessera.sources import sinks
-from tessera.sources.tables import attempts, facts, frontier_entries, read, ts
-from tessera.streaming import state
+from tessera.sources.tables import attempts, facts, frontier_entries, read, stream, ts
+from tessera.streaming import leases, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -471,16 +471,12 @@ QUEUES = {"click": "crawled", "view": "processed", "purchase": "embedded", "sign
 @query("SELECT event_id, event_type, CASE event_type " + " ".join(f"WHEN '{q}' THEN '{x}'" for q, x in QUEUES.items()) + " ELSE 'no_consumer' END AS outcome FROM events")
 def st1_queue_consumers(spark, d):
     """Four queues in one inbox, delivered twice; each job is handled once."""
-    folder = sinks.shared_folder(spark)
-    jobs = read(spark, d, "events", "event_id", "event_type")
-    done = jobs.withColumn("outcome", F.coalesce(s.lookup(QUEUES, F.col("event_type")), F.lit("no_consumer")))
-    done.limit(0).write.parquet(f"{folder}/out")
-    existing = lambda: spark.read.schema(done.schema).parquet(f"{folder}/out")
-    service = lambda new: sinks.append(new.withColumn("outcome", F.coalesce(s.lookup(QUEUES, F.col("event_type")), F.lit("no_consumer"))), f"{folder}/out")
+    folder, jobs = sinks.shared_folder(spark), read(spark, d, "events", "event_id", "event_type", "ts").withColumn("ts", ts("ts"))
+    service = lambda new: new.select("event_id", "event_type", F.coalesce(s.lookup(QUEUES, F.col("event_type")), F.lit("no_consumer")).alias("outcome"))
     for _ in range(2):
         sinks.append(jobs, f"{folder}/inbox")
-        state.consume(spark, f"{folder}/inbox", jobs.schema, f"{folder}/checkpoint", state.append_once(existing, service, ["event_id"]))
-    return existing()
+        leases.drain(leases.once(stream(spark, f"{folder}/inbox"), ["event_id"], "ts", "1 hour"), f"{folder}/checkpoint", leases.append_epoch(f"{folder}/out", service))
+    return spark.read.parquet(f"{folder}/out").drop("epoch")
 
 
 @query("SELECT event_id, lower(event_type || '-Header') AS name, substr(coalesce(props, ''), 1, 20) AS value FROM events")
@@ -497,6 +493,58 @@ def st2_lease(spark, d):
     return state.lease(f, datetime(1997, 1, 1), 40).select("entry_id")
 
 
+LEASE_HOURS = 6
+
+
+@query(f"""
+    WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, event_type IN ('view', 'signup') AS asks, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS t, NULL::BIGINT AS gone, NULL::BIGINT AS gone_at, '' AS outcome, NULL::BIGINT AS about, NULL::BIGINT AS holder, NULL::BIGINT AS until FROM c
+          UNION ALL SELECT c.user_id, c.k, c.t, CASE WHEN until <= c.t THEN holder END, CASE WHEN until <= c.t THEN until END,
+              CASE WHEN asks THEN CASE WHEN until > c.t THEN 'busy' ELSE 'leased' END ELSE CASE WHEN until > c.t THEN 'completed' ELSE 'late' END END,
+              CASE WHEN NOT asks AND until > c.t THEN holder ELSE c.event_id END,
+              CASE WHEN asks THEN CASE WHEN until > c.t THEN holder ELSE c.event_id END END, CASE WHEN asks THEN CASE WHEN until > c.t THEN until ELSE c.t + {LEASE_HOURS * 3600000} END END
+          FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1)
+    SELECT user_id, about AS id, outcome, t AS at_ms FROM r WHERE k > 0
+    UNION ALL SELECT user_id, gone, 'expired', gone_at FROM r WHERE gone IS NOT NULL
+    UNION ALL SELECT user_id, holder, 'expired', until FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1) WHERE until <= (SELECT max(t) FROM c) - 3600000""")
+def st2_lease_timers(spark, d):
+    """Requests and acks of entries as a stream: leases return to the pool by timer. Events stand for both (views and signups ask)."""
+    folder, events = sinks.shared_folder(spark), stream(spark, f"{d}/events.parquet")
+    kind = F.when(F.col("event_type").isin("view", "signup"), "request").otherwise("ack")
+    calls = events.select("user_id", F.col("event_id").alias("id"), kind.alias("kind"), ts("ts").alias("at"))
+    for _ in range(2):  # the second run starts from the checkpoint and finds nothing new
+        leases.drain(leases.lease_stream(calls, "user_id", lease_seconds=LEASE_HOURS * 3600, delay="1 hour"), f"{folder}/checkpoint", leases.append_epoch(f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out").drop("epoch")
+
+
+@query("SELECT event_id AS lease_id, CASE WHEN value IS NULL OR floor(value * 60) > 1800 THEN 'missing' WHEN floor(value * 60) <= 600 THEN 'on_time' ELSE 'late' END AS outcome FROM events")
+def st3_completion_stream(spark, d):
+    """A lease of ten minutes at each event and an ack after as many minutes as its value says; both are streams. The last rows are
+    heartbeats, which carry the watermarks past all leases."""
+    folder, e = sinks.shared_folder(spark), read(spark, d, "events", "event_id", "ts", "value").withColumn("ts", ts("ts"))
+    beat = e.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 2 days")).alias("ts"), F.lit(0.0).alias("value"))
+    rows = e.unionByName(beat)
+    acked = F.timestamp_seconds(F.unix_micros("ts") / 1e6 + F.floor(F.col("value") * 60))
+    rows.select(F.col("event_id").alias("lease_id"), F.col("ts").alias("leased_at"), (F.col("ts") + F.expr("interval 10 minutes")).alias("expires_at")).write.parquet(f"{folder}/leases")
+    rows.where("value is not null").select(F.col("event_id").alias("lease_id"), acked.alias("acked_at")).write.parquet(f"{folder}/acks")
+    joined = leases.completion_stream(stream(spark, f"{folder}/leases"), stream(spark, f"{folder}/acks"), grace="30 minutes", delay="1 hour")
+    leases.drain(joined, f"{folder}/checkpoint", leases.append_epoch(f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out").where("lease_id >= 0").drop("epoch")
+
+
+@query("SELECT event_id, event_type FROM events")
+def st10_exactly_once(spark, d):
+    """Work delivered twice, the first half of it three times, in runs that start again from the checkpoint; then the first epoch is replayed."""
+    folder, e = sinks.shared_folder(spark), read(spark, d, "events", "event_id", "event_type", "ts").withColumn("ts", ts("ts"))
+    handle = leases.append_epoch(f"{folder}/out")
+    first = e.where("event_id % 2 = 0")
+    for delivered in (first, e, e):
+        sinks.append(delivered, f"{folder}/inbox")
+        leases.drain(leases.once(stream(spark, f"{folder}/inbox"), ["event_id"], "ts", "60 days"), f"{folder}/checkpoint", handle)
+    handle(first, 0)
+    return spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
+
+
 @query(rq.ORACLES["w3_retry_streaks"])
 def st4_retry_to_terminal(spark, d):
     return rq.w3_retry_streaks(spark, d)

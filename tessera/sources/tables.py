@@ -12,6 +12,13 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A file stream over a Parquet folder or a single file (which a file stream takes as a glob only)."""
+    path = path.rstrip("/")
+    found = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(found)
+
+
 def ts(name: str):
     """Parquet holds timestamps without zone; the engine works in UTC."""
     return F.col(name).cast("timestamp")

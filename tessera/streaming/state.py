@@ -106,16 +106,6 @@ def consume(spark: SparkSession, inbox: str, schema: StructType, checkpoint: str
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def append_once(existing: Callable[[], DataFrame | None], sink: Callable[[DataFrame], None], keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch handler that appends rows with new natural keys only, so that repeated batches change nothing."""
-    def handle(batch: DataFrame, epoch: int) -> None:
-        old = existing()
-        fresh = batch.dropDuplicates(keys)
-        sink(fresh if old is None else fresh.join(old.select(*keys), keys, "left_anti"))
-
-    return handle
-
-
 def late_completions(frontier: DataFrame, completions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Completions of the active attempt within its lease, and the late rest, which is recorded without touching the frontier."""
     j = completions.join(frontier, "entry_id", "left")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import scan
-from tessera.streaming import state
+from tessera.streaming import leases, state
 
 
 @pytest.mark.parametrize("fan", [4, 256])
@@ -56,3 +56,68 @@ def test_rate_limit_equals_a_loop(spark, fan):
     df = spark.createDataFrame([*rows, (1, None, -1)], "k long, at timestamp, id long")
     assert sorted(map(tuple, state.rate_limit(df, "k", "at", "id", limit=3, window_seconds=100.0, fan=fan).collect())) == sorted(want)
     assert state.rate_limit(df.limit(0), "k", "at", "id", limit=3, window_seconds=100.0).count() == 0
+
+
+START = dt.datetime(2024, 1, 1)
+
+
+def leases_by_hand(events, lease, watermark):
+    """events(entry, id, kind, second) -> (entry, id, outcome, second)."""
+    out, held = [], {}
+    for entry, id_, kind, t in sorted(events, key=lambda e: (e[3], e[1])):
+        if entry in held and held[entry][1] <= t:
+            out.append((entry, held[entry][0], "expired", held.pop(entry)[1]))
+        if kind == "ack":
+            out.append((entry, held.pop(entry)[0], "completed", t) if entry in held else (entry, id_, "late", t))
+        elif entry in held:
+            out.append((entry, id_, "busy", t))
+        else:
+            held[entry] = (id_, t + lease)
+            out.append((entry, id_, "leased", t))
+    return sorted(out + [(e, i, "expired", end) for e, (i, end) in held.items() if end <= watermark])
+
+
+def test_leases_return_by_timer_and_survive_a_restart(spark, tmp_path):
+    rng, schema = random.Random(4), "entry long, id long, kind string, at timestamp"
+    events = [(rng.randint(0, 9), i, rng.choice(["request", "request", "ack"]), 20 * i) for i in range(300)] + [(77, 900, "request", 5000)]
+    batches = [[e for e in events if lo <= e[3] < lo + 2000] for lo in (0, 2000, 4000)]
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for batch in batches:  # the stream stops after each batch and starts again from its checkpoint
+        spark.createDataFrame([(e, i, k, START + dt.timedelta(seconds=t)) for e, i, k, t in batch], schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = leases.lease_stream(spark.readStream.schema(schema).parquet(inbox), "entry", lease_seconds=150, delay="60 seconds")
+        leases.drain(stream, checkpoint, leases.append_epoch(out))
+    zero = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    got = sorted((r["entry"], r["id"], r["outcome"], (r["at_ms"] - zero) // 1000) for r in spark.read.parquet(out).collect())
+    assert got == leases_by_hand(events, 150, max(e[3] for e in events) - 60)
+    assert (77, 900, "expired", 5150) in got  # no event of this entry followed
+    assert {r[2] for r in got} == {"leased", "busy", "completed", "late", "expired"}
+    assert "RocksDB" not in spark.conf.get(leases.STORE, "")
+
+
+def test_completions_on_time_late_and_missing(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    a, b = str(tmp_path / "leases"), str(tmp_path / "acks")
+    rows = [(i, at(60 * i), at(60 * i + 100)) for i in range(30)] + [(-1, at(99_999), at(99_999))]
+    acks = [(i, at(60 * i + {0: 50, 1: 130, 2: 400}[i % 4])) for i in range(30) if i % 4 < 3] + [(-1, at(99_998)), (500, at(10))]
+    left, right = "lease_id long, leased_at timestamp, expires_at timestamp", "lease_id long, acked_at timestamp"
+    spark.createDataFrame(rows, left).coalesce(1).write.parquet(a)
+    spark.createDataFrame(acks, right).coalesce(1).write.parquet(b)
+    for _ in range(2):
+        s = leases.completion_stream(spark.readStream.schema(left).parquet(a), spark.readStream.schema(right).parquet(b), grace="300 seconds", delay="10 seconds")
+        leases.drain(s, str(tmp_path / "c"), leases.append_epoch(str(tmp_path / "out")))
+    got = {r["lease_id"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: ["on_time", "late", "missing", "missing"][i % 4] for i in range(30)}
+
+
+def test_deliveries_and_epochs_again_change_nothing(spark, tmp_path):
+    schema = "id long, at timestamp"
+    rows = [(i, START + dt.timedelta(seconds=i)) for i in range(50)]
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    handle = leases.append_epoch(out)
+    for part in (rows[:30] + rows[:5], rows[20:], rows[45:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        leases.drain(leases.once(spark.readStream.schema(schema).parquet(inbox), ["id"], "at", "1 hour"), str(tmp_path / "c"), handle)
+    read = lambda: sorted(r["id"] for r in spark.read.parquet(out).collect())
+    assert read() == list(range(50))
+    handle(spark.createDataFrame(rows[:30], schema), 0)  # a replayed epoch
+    assert read() == list(range(50))
