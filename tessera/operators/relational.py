@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
+from tessera.sources.shared import staged
 
 
 def where_given(df: DataFrame, **equal) -> DataFrame:
@@ -148,22 +149,36 @@ def sessions(df: DataFrame, key: str, at: Column, gap_seconds: int) -> DataFrame
     return df.withColumn("__at", at).withColumn("__new", fresh).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__at")
 
 
+GRAM = 3
+
+
 def contained(texts: DataFrame, terms: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct pairs of texts(a) and terms(b) in which the term occurs in the text, as an equi-join.
+    """Distinct pairs of texts(a) and terms(b) in which the term occurs in the text, as equi-joins.
 
-    Every substring of a text that is as long as some term is looked up; only the terms' distinct lengths reach the driver.
+    Texts are filed by their distinct character grams, of three characters or of as many as shorter terms have. A term is
+    looked up by one gram only, the one that the fewest texts hold, and not at all if some gram of it occurs nowhere; what
+    is found is then compared. Texts travel as hashes until that comparison. Work grows with the length of the texts.
     """
-    lengths = [r["n"] for r in terms.where(F.length(b) > 0).select(F.length(b).alias("n")).distinct().orderBy("n").collect()]
+    chars = lambda df, c: df.withColumn("__c", F.split(c, ""))
+    t = chars(terms.select(b).where(F.length(b) > 0).distinct(), b)
+    sizes = [r["n"] for r in t.select(F.least(F.size("__c"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # three at most
+    if not sizes:
+        return texts.select(a).join(terms.select(b), F.lit(False))
 
-    def all_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(a) - (n - 1), F.lit(1)))
-        return F.when(F.length(a) >= n, F.transform(starts, lambda i: F.substring(F.col(a), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def of(n: int) -> Column:
+        gram = lambda i: F.concat(*[F.get("__c", i + k) for k in range(n)])
+        return F.when(F.size("__c") >= n, F.transform(F.sequence(F.lit(0), F.size("__c") - n), gram)).otherwise(F.array().cast("array<string>"))
 
-    cuts = [all_of(n) for n in lengths]
-    if not cuts:
-        return texts.select(a).join(terms.select(b), F.lit(False))
-    found = texts.select(a).distinct().select(a, F.explode(F.array_distinct(F.flatten(F.array(*cuts)))).alias("__cut"))
-    return found.join(terms.select(b).distinct(), F.col("__cut") == F.col(b)).select(a, b)
+    docs = texts.select(a).where(F.col(a).isNotNull()).distinct()
+    named = docs.select(a, F.xxhash64(a).alias("__h"), F.xxhash64(F.lit(1), a).alias("__g"))
+    filed = chars(named, a).select("__h", "__g", F.explode(F.array_distinct(F.concat(*[of(n) for n in sizes]))).alias("__gram"))
+    own = [F.when(F.least(F.size("__c"), F.lit(GRAM)) == n, of(n)) for n in sizes]
+    grams = staged(t.select(b, F.explode(F.array_distinct(F.coalesce(*own))).alias("__gram")))
+    often = filed.join(grams.select(F.col("__gram").alias("__t")).distinct(), F.col("__gram") == F.col("__t"), "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    probes = grams.join(often, "__gram", "left").groupBy(b).agg(F.min(F.struct("__n", "__gram")).alias("__rarest"), F.count_if(F.col("__n").isNull()).alias("__unseen"))
+    probes = staged(probes.where("__unseen = 0").select(b, F.col("__rarest.__gram").alias("__gram")))
+    found = filed.join(probes, "__gram").select("__h", "__g", b)
+    return found.join(named, ["__h", "__g"]).where(F.contains(F.col(a), F.col(b))).select(a, b)
 
 
 def contains_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
@@ -173,7 +188,30 @@ def contains_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
 
 def combinations(dimensions: dict[str, DataFrame], key: str, links: str, cap: int) -> DataFrame:
     """One row per choice from each dimension(key, links) whose members are compatible in pairs (they share a link): a
-    column for each dimension, at most cap rows, in the order of the columns."""
+    column for each dimension, at most cap rows, in the order of the columns.
+
+    Members of one link each are cut before they are joined: of a dimension a link keeps its first members only, as many as
+    the first `cap` rows of the link can need, given how many the later dimensions contribute. So a link passes on about
+    `cap` rows however large its dimensions are. With three dimensions or more and members of several links, choices may
+    hold together by different links, and all of them are compared.
+    """
+    names = list(dimensions)
+    if len(names) > 2 and any((d.agg(F.max(F.size(F.array_distinct(links)))).first()[0] or 0) > 1 for d in dimensions.values()):
+        return _overlapping(dimensions, key, links).orderBy(*names).limit(cap)
+    kept = {}
+    for name, d in dimensions.items():
+        one = d.select(F.col(key).alias(name), F.explode(links).alias("__link")).where(F.col("__link").isNotNull()).distinct()
+        nth = F.row_number().over(Window.partitionBy("__link").orderBy(name))
+        kept[name] = one.withColumn(f"__n_{name}", nth).where(F.col(f"__n_{name}") <= cap)  # cut before the shuffle, too
+    sizes = reduce(lambda x, y: x.join(y, "__link"), [kept[n].groupBy("__link").agg(F.count(F.lit(1)).alias(f"__size_{n}")) for n in names])
+    out = sizes
+    for k, name in enumerate(names):
+        later = reduce(lambda x, n: F.least(F.lit(cap), x * F.col(f"__size_{n}")), names[k + 1:], F.lit(1).cast("long"))
+        out = out.join(kept[name], "__link").where((F.col(f"__n_{name}") - 1) * later < cap)
+    return out.select(*names).distinct().orderBy(*names).limit(cap)
+
+
+def _overlapping(dimensions: dict[str, DataFrame], key: str, links: str) -> DataFrame:
     out, chosen = None, list(dimensions)
     for n, (name, d) in enumerate(dimensions.items()):
         one = d.select(F.col(key).alias(name), F.col(links).alias(f"__{name}"))
@@ -182,8 +220,8 @@ def combinations(dimensions: dict[str, DataFrame], key: str, links: str, cap: in
             continue
         right = one.withColumn("__link", F.explode(F.array_distinct(f"__{name}")))
         out = out.withColumn("__l", F.explode(F.array_distinct(f"__{chosen[0]}"))).join(right, F.col("__l") == F.col("__link")).drop("__l", "__link")
-        out = out.where(reduce(lambda x, y: x & y, [F.arrays_overlap(f"__{c}", f"__{name}") for c in chosen[1:n]], F.lit(True))).dropDuplicates([*chosen[:n], name])
-    return out.select(*chosen).orderBy(*chosen).limit(cap)
+        out = out.where(reduce(lambda x, y: x & y, [F.arrays_overlap(f"__{c}", f"__{name}") for c in chosen[1:n]], F.lit(True))).distinct()
+    return out.select(*chosen).distinct()
 
 
 def score_candidates(signals: DataFrame) -> DataFrame:
