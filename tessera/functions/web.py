@@ -16,6 +16,12 @@ def host_of(url: Column) -> Column:
     return F.when(h != "", h)
 
 
+def origin_of(url: Column) -> Column:
+    """Lower-cased scheme, host and port as written; null if there is none."""
+    o = F.lower(F.regexp_extract(F.regexp_replace(url, "://[^/?#@]*@", "://"), "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1))
+    return F.when(o != "", o)
+
+
 def domain_of(url: Column) -> Column:
     return F.regexp_replace(host_of(url), "^www\\.", "")
 

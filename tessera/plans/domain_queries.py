@@ -12,10 +12,10 @@ from tessera.functions import ports
 from tessera.functions import scoring as s
 from tessera.functions import text as t
 from tessera.functions import web as w
-from tessera.operators import chunker, retrieval, udfs
+from tessera.operators import chunker, retrieval, robots, udfs
 from tessera.operators import relational as r
 from tessera.plans import relational_queries as rq
-from tessera.plans.scalar_queries import COLLAPSED, HOST_SQL, STRIP_SQL, TITLE_SQL
+from tessera.plans.scalar_queries import COLLAPSED, HOST_SQL, PATH_SQL, STRIP_SQL, TITLE_SQL
 from tessera.sources import sinks
 from tessera.sources.tables import attempts, facts, frontier_entries, read, stream, ts
 from tessera.streaming import leases, state
@@ -438,6 +438,32 @@ def s12_seed_registry(spark, d):
     return ports.seed_registry(spark).select("alias", "key")
 
 
+# Bodies of robots.txt by the length of the origin; the last one answers 404. What they say to the agent below is written out for the SQL.
+ROBOTS = ["User-agent: *\nDisallow: /de/\nCrawl-delay: 2\n\n# own group\r\nUser-Agent: TesseraBot\nUser-agent: other\nDisallow: /fr/ # no French\nAllow: /fr/2\nno colon\nCrawl-delay: 5\nCrawl-delay: x",
+          "User-agent: *\nDisallow: /\nAllow: /en/\nAllow: /e\nDisallow: /es/1\nUser-agent: *\nDisallow: /en/1\nCrawl-delay:", "Disallow: /lost\nUser-agent: nobody\nDisallow: /", "User-agent: *\nDisallow: /"]
+ROBOTS_SQL = "(VALUES (0, 1, '/fr/', false, 5.0), (0, 2, '/fr/2', true, 5.0), (1, 1, '/', false, 0.0), (1, 2, '/en/', true, 0.0), (1, 3, '/e', true, 0.0), (1, 4, '/es/1', false, 0.0), (1, 5, '/en/1', false, 0.0))"
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]+') AS origin, {PATH_SQL} || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1) AS path, page_id % 40 AS hour FROM pages),
+    k AS (SELECT *, length(origin) % 4 AS body, hour >= 24 AND NOT (length(origin) % 4 = 1 AND hour >= 30) AS gone, length(origin) % 4 = 1 AND hour >= 30 AS again FROM p),
+    r AS (SELECT page_id, arg_max(allow, (length(rule), -seq)) AS allow, arg_max(rule, (length(rule), -seq)) AS rule FROM k JOIN {ROBOTS_SQL} v(b, seq, rule, allow, delay) ON b = body AND starts_with(path, rule) GROUP BY 1)
+    SELECT k.page_id AS id, CASE WHEN gone THEN false WHEN again OR body > 1 THEN true ELSE coalesce(allow, true) END AS allowed,
+           CASE WHEN gone THEN 'robots unavailable' WHEN again THEN 'no matching robots path rule' WHEN body > 1 THEN 'no matching robots group' WHEN rule IS NULL THEN 'no matching robots path rule'
+                ELSE CASE WHEN allow THEN 'allow: ' ELSE 'disallow: ' END || rule END AS evidence,
+           CASE WHEN gone OR again OR body > 1 THEN NULL WHEN body = 0 THEN 5.0 ELSE 0.0 END::DOUBLE AS delay
+    FROM k LEFT JOIN r ON r.page_id = k.page_id""")
+def p12_robots_decisions(spark, d):
+    """Every page at some hour: bodies were fetched at midnight and live a day; every second origin's was fetched again at six the next day."""
+    hour = lambda n: F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), n)
+    pages = read(spark, d, "pages", "page_id", "url").select(F.col("page_id").alias("id"), "url", hour((F.col("page_id") % 40).cast("int")).alias("at"))
+    kind = F.length("origin") % 4
+    first = pages.select(w.origin_of(F.col("url")).alias("origin")).where("origin is not null").distinct().select(
+        "origin", hour(F.lit(0)).alias("fetched_at"), F.when(kind == 3, 404).otherwise(200).alias("status"), F.get(F.array(*[F.lit(b) for b in ROBOTS]), kind.cast("int")).alias("body"))
+    again = first.where(kind == 1).select("origin", hour(F.lit(30)).alias("fetched_at"), "status", F.lit("User-agent: *\nDisallow:").alias("body"))
+    return robots.decide(pages, first.unionByName(again), "TesseraBot/1.0", ttl_seconds=86400, fail_closed=True)
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 1")
 def s13_append_sink(spark, d):
     path, docs = sinks.shared_folder(spark), read(spark, d, "documents", "doc_id", "lang")
