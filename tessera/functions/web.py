@@ -84,9 +84,9 @@ def is_unsafe_host(host: Column) -> Column:
     return F.coalesce((v4 & private) | named | v6, F.lit(True))
 
 
-# Fixed order: the crawler's variant decodes &amp; second, the extractor's third.
+# Fixed values, in fixed order: the crawler's variant knows six entities, the extractor's five; both decode &amp; before &lt;.
 ENTITIES_PLAIN = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
-ENTITIES_EXTRACT = [("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
+ENTITIES_EXTRACT = [("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 
 
 def decode_entities(c: Column, table: list[tuple[str, str]] = ENTITIES_PLAIN) -> Column:

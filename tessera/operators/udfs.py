@@ -1,11 +1,9 @@
-"""The few functions that need Python, as Arrow-batched pandas UDFs: NFKC, URL resolution, embedded metadata, embeddings."""
+"""The few functions that need Python, as Arrow-batched pandas UDFs: NFKC, URL resolution, embeddings."""
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import json
-import re
 import unicodedata
 from urllib.parse import urljoin, urlsplit
 
@@ -40,94 +38,6 @@ def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or h is None else _resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
 
 
-META = re.compile(r"<meta\b[^>]*>", re.I | re.S)
-ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.S)
-
-
-def attributes(tag: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(tag)}
-
-
-@arrow_function("map<string,string>")
-def meta_map(html: pd.Series) -> pd.Series:
-    """og: and twitter: properties; the last of a repeated name wins."""
-    def one(h):
-        out = {}
-        for tag in META.findall(h or ""):
-            a = attributes(tag)
-            name = a.get("property") or a.get("name") or ""
-            if name.startswith(("og:", "twitter:")):
-                out[name] = a.get("content", "")
-        return out
-
-    return html.map(one)
-
-
-@arrow_function("map<string,string>")
-def hreflang_map(html: pd.Series) -> pd.Series:
-    def one(h):
-        links = (attributes(t) for t in re.findall(r"<link\b[^>]*>", h or "", re.I | re.S))
-        return {a["hreflang"]: a.get("href", "") for a in links if a.get("hreflang")}
-
-    return html.map(one)
-
-
-def json_ld(html: str | None) -> list[tuple[int, object]]:
-    """(position, data) of each JSON-LD block that parses; positions count all blocks."""
-    blocks = re.findall(r"<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>", html or "", re.I | re.S)
-    out = []
-    for i, b in enumerate(blocks):
-        try:
-            out.append((i, json.loads(b)))
-        except ValueError:
-            pass
-    return out
-
-
-@arrow_function("array<struct<position:int,data:string>>")
-def json_ld_blocks(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: [{"position": i, "data": json.dumps(d, sort_keys=True, separators=(",", ":"))} for i, d in json_ld(h)])
-
-
-def breadcrumb_names(data: object) -> list[str]:
-    """Names of the first breadcrumb list anywhere in the data, in the order of their positions."""
-    todo = [data]
-    while todo:
-        x = todo.pop(0)
-        if isinstance(x, list):
-            todo = x + todo
-        elif isinstance(x, dict):
-            kind = x.get("@type")
-            if kind == "BreadcrumbList" or isinstance(kind, list) and "BreadcrumbList" in kind:
-                items = [i for i in x.get("itemListElement", []) if isinstance(i, dict)]
-                items.sort(key=lambda i: i.get("position", 0))
-                names = [i.get("name") or (i["item"].get("name") if isinstance(i.get("item"), dict) else None) for i in items]
-                return [n for n in names if n]
-            todo = list(x.values()) + todo
-    return []
-
-
-@arrow_function("array<string>")
-def breadcrumbs(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: breadcrumb_names([d for _, d in json_ld(h)]))
-
-
-@arrow_function("array<struct<type:string,properties:map<string,string>>>")
-def microdata(html: pd.Series) -> pd.Series:
-    """Items with itemscope and their properties, each up to the next item."""
-    def one(h):
-        starts = [m for m in re.finditer(r"<[a-z][^>]*\bitemscope\b[^>]*>", h or "", re.I | re.S)]
-        out, ends = [], [x.start() for x in starts[1:]] + [len(h or "")]
-        for m, end in zip(starts, ends, strict=False):
-            props = {}
-            for p in re.finditer(r"<[a-z][^>]*\bitemprop\s*=\s*[\"']?([\w-]+)[\"']?[^>]*>([^<]*)", h[m.end():end], re.I | re.S):
-                props[p[1]] = attributes(p[0]).get("content") or p[2].strip()
-            out.append({"type": attributes(m[0]).get("itemtype", ""), "properties": props})
-        return out
-
-    return html.map(one)
-
-
 def hash_embedding(text: str | None, dimensions: int) -> list[float]:
     """A deterministic unit vector of the hashed words; zeros for no words."""
     v = np.zeros(dimensions)

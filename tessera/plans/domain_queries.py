@@ -8,14 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import ports
+from tessera.functions import markup, ports
 from tessera.functions import scoring as s
 from tessera.functions import text as t
 from tessera.functions import web as w
 from tessera.operators import chunker, retrieval, robots, udfs
 from tessera.operators import relational as r
 from tessera.plans import relational_queries as rq
-from tessera.plans.scalar_queries import COLLAPSED, HOST_SQL, PATH_SQL, STRIP_SQL, TITLE_SQL
+from tessera.plans.scalar_queries import COLLAPSED, HOST_SQL, PATH_SQL, STRIP_SQL, TITLE_SQL, decode_sql
 from tessera.sources import sinks
 from tessera.sources.tables import attempts, facts, frontier_entries, read, stream, ts
 from tessera.streaming import leases, state
@@ -102,9 +102,18 @@ def f24_outgoing_links(spark, d):
     return read(spark, d, "pages", "page_id", "html").select("page_id", F.posexplode(w.anchors(F.col("html"))).alias("position", "a")).select("page_id", F.col("a.href").alias("href"), "position")
 
 
-@query(f"SELECT page_id, 1 AS level, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '\\s+', ' ', 'g')) AS text FROM {rq.HEADINGS}")
+def _clean_sql(x: str) -> str:
+    return f"trim(regexp_replace({decode_sql(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')", w.ENTITIES_EXTRACT)}, '\\s+', ' ', 'g'))"
+
+
+MARKED_SQL = "(SELECT page_id, url, html || '<h2 id=x>Page &quot;' || page_id || '&quot;</h2><H3><b>' || url || '</b></h3>' AS html FROM pages)"
+
+
+@query(" UNION ALL ".join(f"SELECT page_id, {k} AS level, {_clean_sql('raw')} AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<h{k}\\b[^>]*>([\\s\\S]*?)</h{k}>', 1)) AS raw FROM {MARKED_SQL})" for k in range(1, 7)))
 def f25_headings(spark, d):
-    return read(spark, d, "pages", "page_id", "html").select("page_id", F.explode(w.headings(F.col("html"))).alias("h")).select("page_id", "h.level", "h.text").where("level = 1")
+    """All levels; two headings are added to each page, since the test pages have one."""
+    more = F.concat("html", F.lit("<h2 id=x>Page &quot;"), "page_id", F.lit("&quot;</h2><H3><b>"), "url", F.lit("</b></h3>"))
+    return read(spark, d, "pages", "page_id", "url", "html").select("page_id", F.explode(markup.headings(more)).alias("h")).select("page_id", "h.level", "h.text")
 
 
 @query()
@@ -118,24 +127,44 @@ def f21_resolve_links(spark, d):
     return p.select("page_id", udfs.resolve_url("url", F.col("a.href")).alias("link"))
 
 
-@query()
+# The test pages carry no embedded metadata: each query adds some, made of the page's own id and url.
+
+
+@query("SELECT page_id, unnest(['og:url', 'OG:title', 'twitter:card', 'fr-CA', 'etag']) AS key, unnest([url, 'second', page_id || ' & more', '/fr/' || page_id, 'W/' || page_id]) AS value FROM pages")
 def f26_meta_maps(spark, d):
-    return read(spark, d, "pages", "page_id", "html").select("page_id", F.size(udfs.meta_map("html")).alias("n"), F.size(udfs.hreflang_map("html")).alias("langs"))
+    head = F.concat("html", F.lit('<meta property="og:url" content="'), "url", F.lit('"><meta property="OG:title" content="first"><meta content="second" property="OG:title"><meta name="og:x" content="no"><meta name="twitter:card" content="'),
+                    "page_id", F.lit(' &amp; more"><meta property="og:none" content=""><link rel="Alternate" hreflang="fr-CA" href="/fr/'), "page_id", F.lit('"><link rel="next" hreflang="de" href="/de">'))
+    headers = F.create_map(F.lit("ETag"), F.concat(F.lit("W/"), "page_id"), F.lit("Server"), F.lit("x"), F.lit("Expires"), F.lit(""))
+    maps = F.map_concat(markup.meta_map(head, "property", "og:"), markup.meta_map(head, "name", "twitter:"), markup.hreflang_map(head), markup.cache_headers(headers))
+    return read(spark, d, "pages", "page_id", "url", "html").select("page_id", F.explode(maps).alias("key", "value"))
 
 
-@query()
+@query("SELECT page_id, 1 AS position, 'WebPage' AS type, page_id * 2.5::DOUBLE AS size, url FROM pages UNION ALL SELECT page_id, 2, NULL, NULL, url FROM pages")
 def f27_json_ld(spark, d):
-    return read(spark, d, "pages", "page_id", "html").select("page_id", F.size(udfs.json_ld_blocks("html")).alias("n"))
+    """Typed values of the blocks that parse; the first of three does not."""
+    block = lambda *parts: F.concat(F.lit("<script type='application/ld+json'>"), *parts, F.lit("</script>"))
+    html = F.concat("html", block(F.lit("{bad")), block(F.lit(' {"@type": "WebPage", "size": '), (F.col("page_id") * 2.5).cast("string"), F.lit(', "about": [{"url": &quot;'), "url", F.lit('&quot;}]} ')),
+                    block(F.lit('{"about":[{"url":"'), "url", F.lit('"}]}')))
+    rows = read(spark, d, "pages", "page_id", "url", "html").select("page_id", F.explode(markup.json_ld(html)).alias("x"))
+    get = lambda path, kind: F.try_variant_get("x.data", path, kind)
+    return rows.select("page_id", "x.position", get("$['@type']", "string").alias("type"), get("$.size", "double").alias("size"), get("$.about[0].url", "string").alias("url"))
 
 
-@query()
+@query("SELECT page_id, unnest([0, 0, 1]) AS position, unnest(['https://schema.org/Article', 'https://schema.org/Article', NULL]) AS item_type, unnest(['name', 'url', 'name']) AS property, unnest(['N ' || page_id, url, 'own']) AS value FROM pages")
 def f28_microdata(spark, d):
-    return read(spark, d, "pages", "page_id", "html").select("page_id", F.size(udfs.microdata("html")).alias("n"))
+    html = F.concat("html", F.lit('<div itemscope itemtype="https://schema.org/Article"><b itemprop="name">N\n <i>'), "page_id", F.lit('</i></b><a itemprop="url">text</a><meta itemprop="url" content="'), "url",
+                    F.lit('"></div><section itemscope><p itemprop="name">first</p><p itemprop="name">own</p></section>'))
+    items = read(spark, d, "pages", "page_id", "url", "html").select("page_id", F.explode(markup.microdata(html)).alias("i"))
+    return items.select("page_id", "i.position", "i.item_type", F.explode("i.properties").alias("property", "value"))
 
 
-@query()
+@query("SELECT page_id, 'Home > ' || url || ' > last > again' AS x FROM pages")
 def f33_breadcrumbs(spark, d):
-    return read(spark, d, "pages", "page_id", "html").select("page_id", F.array_join(udfs.breadcrumbs("html"), " > ").alias("x"))
+    block = F.concat(F.lit('{"@graph":[{"x":1},{"@type":["Thing","BreadcrumbList"],"itemListElement":["Home",{"position":9,"item":{"name":"'), "url",
+                     F.lit('"}},{"name":""},{"name":7},{"name":"last","item":{"name":"no"}}]}],"z":{"@type":"BreadcrumbList","itemListElement":[{"name":"again"}],"deep":{"@type":"BreadcrumbList","itemListElement":["never"]}}}'))
+    html = F.concat("html", F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))
+    blocks = read(spark, d, "pages", "page_id", "url", "html").select("page_id", F.explode(markup.json_ld(html)).alias("b")).select("page_id", "b.position", F.col("b.data").alias("data"))
+    return markup.breadcrumbs(blocks, ["page_id", "position"], "data", sinks.staged).select("page_id", F.array_join("names", " > ").alias("x"))
 
 
 @query("SELECT doc_id, floor((0.35 * nc + 0.25 * k + 0.03 * ct) * 1e4 + 0.5) / 1e4 AS x FROM (SELECT doc_id, n_chars / 100000.0::DOUBLE AS nc, " + KEYWORD_SQL + " AS k, (lang = 'en')::INT AS ct FROM documents)")

@@ -47,6 +47,12 @@ def freshness() -> Column:
 FRESH_SQL = (f"list_filter([CASE WHEN {AGE_SQL} / 3.6e9 >= 480 THEN 'ttl_expired' END, CASE WHEN event_id % 5 = 0 THEN 'serp_changed' END, CASE WHEN event_type = 'purchase' THEN 'content_changed' END, "
              "CASE WHEN event_id % 11 = 0 THEN 'entity_missing' END, CASE WHEN user_id % 13 = 0 THEN 'policy_changed' END], lambda x: x IS NOT NULL)")
 
+def decode_sql(x: str, table: list[tuple[str, str]]) -> str:
+    for a, b in table:
+        x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
 # name, (table, id columns), {column: Column}, {column: SQL}
 ENTRIES: list[tuple[str, tuple[str, str], Callable[[], dict[str, Column]], dict[str, str]]] = [
     ("f1_token_count", D, lambda: {"n": t.token_count(C("text"))}, {"n": f"CASE WHEN {COLLAPSED.format('text')} = '' THEN 0 ELSE len(string_split({COLLAPSED.format('text')}, ' ')) END::INT"}),
@@ -74,7 +80,8 @@ ENTRIES: list[tuple[str, tuple[str, str], Callable[[], dict[str, Column]], dict[
     ("f29_language_hints", P, lambda: {"tag": w.html_lang(C("html")), "confidence": F.when(w.html_lang(C("html")).isNotNull(), 0.9)}, {"tag": "nullif(regexp_extract(html, '(?is)<html[^>]*\\slang=\"([^\"]*)\"', 1), '')", "confidence": "CASE WHEN regexp_matches(html, '(?is)<html[^>]*\\slang=\"[^\"]+\"') THEN 0.9::DOUBLE END"}),
     ("f30_geo_hints", P, lambda: {"tld": F.upper(F.regexp_extract(w.host_of(C("url")), "\\.([a-z]{2})$", 1))}, {"tld": f"upper(regexp_extract({HOST_SQL}, '\\.([a-z]{{2}})$', 1))"}),
     ("f31_word_char_count", D, lambda: {"words": F.nullif(t.token_count(C("text")), L(0)), "chars": w.utf16_length(C("text"))}, {"words": f"CASE WHEN {COLLAPSED.format('text')} <> '' THEN len(string_split({COLLAPSED.format('text')}, ' ')) END::INT", "chars": "(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::INT"}),
-    ("f32_entity_decode", P, lambda: {"a": w.decode_entities(L("&amp;lt; &nbsp;&quot;")), "b": w.decode_entities(L("&amp;lt; &nbsp;&quot;"), w.ENTITIES_EXTRACT)}, {"a": "'<  \"'", "b": "'<  \"'"}),
+    ("f32_entity_decode", P, lambda: {"a": F.sha2(w.decode_entities(F.concat("html", L("&amp;lt; &nbsp;&#39;"))), 256), "b": F.sha2(w.decode_entities(F.concat("html", L("&amp;lt; &nbsp;&#39;")), w.ENTITIES_EXTRACT), 256)},
+     {"a": "sha256(" + decode_sql("html || '&amp;lt; &nbsp;&#39;'", w.ENTITIES_PLAIN) + ")", "b": "sha256(" + decode_sql("html || '&amp;lt; &nbsp;&#39;'", w.ENTITIES_EXTRACT) + ")"}),
     ("f34_chunk_profile", D, lambda: {"x": s.chunk_profile(C("text"), t.token_count(C("text")))},
      {"x": f"CASE WHEN regexp_matches(lower(text), '\\b(review|rating|pros|cons)\\b') THEN 'review' WHEN regexp_matches(lower(text), '\\b(forum|thread|comments|discussion)\\b') THEN 'forum' WHEN len(string_split({COLLAPSED.format('text')}, ' ')) > 2500 THEN 'long_guide' WHEN len(string_split({COLLAPSED.format('text')}, ' ')) < 900 THEN 'short_seo_page' ELSE 'default' END"}),
     ("f35_chunk_type", D, lambda: {"x": s.chunk_type(C("text"), F.when(C("doc_id") % 3 > 0, C("source")), C("doc_id") % 4, L(4))},

@@ -6,7 +6,7 @@ import pytest
 
 from tessera.plans import catalog
 
-PYTHON = {"f15_nfkc", "f21_resolve_links", "f26_meta_maps", "f27_json_ld", "f28_microdata", "f33_breadcrumbs", "d3_semantic_chunks", "d4_embedding_batches",
+PYTHON = {"f15_nfkc", "f21_resolve_links", "d3_semantic_chunks", "d4_embedding_batches",
           "ud2_embedding_port", "ud3_fact_extraction_port", "ud9_dispatch"}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scoring as s
 from tessera.functions import text as t
 from tessera.functions import web as w
-from tessera.operators import chunker, relational, udfs
+from tessera.operators import chunker, relational
 from tessera.plans import catalog
 from tessera.streaming import leases, state
 
@@ -86,16 +86,6 @@ def test_web_edges(spark):
     assert [policy(u) for u in ("http://x.com/", "http://a.x.com/", "http://bad.x.com/", "?")] == ["host_not_allowed", "allowed", "host_denied", "invalid_url"]
 
 
-def test_embedded_metadata(spark):
-    html = ('<meta property="og:title" content="a"><meta property="og:title" content="b"><link rel="alternate" hreflang="fr-CA" href="/fr">'
-            '<script type="application/ld+json">{bad</script><script type="application/ld+json">{"@graph":[{"@type":"BreadcrumbList","itemListElement":'
-            '[{"position":2,"name":"B"},{"position":1,"item":{"name":"A"}}]}]}</script><div itemscope itemtype="T"><b itemprop="name">N</b></div>')
-    df = spark.createDataFrame([(html,), (None,), ("",)], "h string")
-    r = df.select(udfs.meta_map("h").alias("m"), udfs.hreflang_map("h").alias("l"), udfs.json_ld_blocks("h").alias("j"), udfs.breadcrumbs("h").alias("b"), udfs.microdata("h").alias("i")).collect()
-    assert r[0]["m"] == {"og:title": "b"} and r[0]["l"] == {"fr-CA": "/fr"} and [x["position"] for x in r[0]["j"]] == [1]
-    assert r[0]["b"] == ["A", "B"] and r[0]["i"][0]["properties"] == {"name": "N"} and r[1]["b"] == [] == r[2]["i"]
-
-
 MARKDOWN = "# Guide\n\nIntro words here.\n\n## Costs\n\nOne two three.\n\nFour five.\n\n### Is it safe?\n\nYes it is.\n\n## End\n\n" + " ".join(f"w{i}" for i in range(25))
 
 
