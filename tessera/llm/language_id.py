@@ -34,18 +34,23 @@ MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667
 def presence(texts: list[str], buckets: int, max_n: int) -> np.ndarray:
     """uint8 matrix: which hashed n-grams each text holds."""
     out = np.zeros((len(texts), buckets), np.uint8)
-    shift = np.uint32(32 - (buckets - 1).bit_length())
     for row, t in zip(out, texts, strict=True):
-        c = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = np.zeros(len(c), np.uint32)
-        for n in range(1, max_n + 1):
-            if len(c) < n:
-                break
-            h = (h[:len(c) - n + 1] ^ c[n - 1:]) * MULTIPLIERS[0] + np.uint32(n)
-            row[(h * MULTIPLIERS[n]) >> shift] = 1
+        _mark(t, row, max_n)
     return out
 
 
+def _mark(text: str, row: np.ndarray, max_n: int) -> None:
+    """Sets the places of the text's n-grams to 1."""
+    shift = np.uint32(32 - (len(row) - 1).bit_length())
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.zeros(len(c), np.uint32)
+    for n in range(1, max_n + 1):
+        if len(c) < n:
+            break
+        h = (h[:len(c) - n + 1] ^ c[n - 1:]) * MULTIPLIERS[0] + np.uint32(n)
+        row[(h * MULTIPLIERS[n]) >> shift] = 1
+
+
 def chunks(text: str, max_n: int) -> list[str]:
     """Consecutive parts of even length; each also holds the start of the next, so that no n-gram is lost."""
     parts = max(-(-len(text) // CHUNK), 1)
@@ -69,11 +74,29 @@ def vectors(texts: list[str], buckets: int, max_n: int, block: int = 256) -> np.
 class Model:
     def __init__(self, landmarks: np.ndarray, weights: np.ndarray, labels: list[str]):
         self.landmarks, self.weights, self.labels = landmarks, weights, labels
+        self.by_gram = landmarks.T @ weights  # what each n-gram adds to the margins: the kernel is linear in the presence vectors
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """x: vectors() of the texts."""
         return x @ self.landmarks.T @ self.weights
 
+    def score(self, texts: list[str], max_n: int, block: int = 256) -> np.ndarray:
+        """The margins of texts: sparse presence vectors, a block of chunks at a time, times the n-grams' margins."""
+        out = np.zeros((len(texts), len(self.labels)))
+        cut_up = [(i, c) for i, t in enumerate(texts) for c in chunks(t, max_n)]
+        share = 1 / np.maximum(np.bincount([i for i, _ in cut_up], minlength=len(texts)), 1)
+        row = np.zeros(len(self.by_gram), np.uint8)
+        for k in range(0, len(cut_up), block):
+            found = []
+            for _, c in cut_up[k:k + block]:
+                _mark(c, row, max_n)
+                found.append(np.flatnonzero(row))
+                row[found[-1]] = 0
+            sizes = np.array([len(f) for f in found])
+            sums = np.add.reduceat(self.by_gram[np.concatenate(found)], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
+            np.add.at(out, [i for i, _ in cut_up[k:k + block]], sums)
+        return out * share[:, None]
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float32)
@@ -159,7 +182,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 real = [i for i, t in enumerate(texts) if t is not None]
                 if m is not None and real:
-                    margins = m.margins(vectors([texts[i] for i in real], buckets, max_n)).astype(np.float64)
+                    margins = m.score([texts[i] for i in real], max_n)
                     soft = np.exp(4 * (margins - margins.max(1, keepdims=True)))
                     soft /= soft.sum(1, keepdims=True)
                     for i, best, p in zip(real, margins.argmax(1), soft.max(1), strict=True):

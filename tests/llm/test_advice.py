@@ -163,3 +163,36 @@ def test_toxicity_scores_equal_brute_force(spark, sf):
     assert len(rows) == docs.count()
     hits = [r for r in rows if abs(r[name] - score(None)) > 1e-9]
     assert len(hits) >= 8 and all(abs(r[name] - score(r["text"])) < 1e-9 for r in [*hits, *rows[:25], *rows[-4:]])
+
+
+def test_language_scores_equal_brute_force_kernel_regression():
+    """Set intersections, the whole kernel matrix, and ridge regression in its kernel form; long texts as the mean of their chunks."""
+    rng = np.random.default_rng(13)
+    alphabet = {"aa": "abcde ", "bb": "cdefg ", "cc": "efghi "}
+    texts = [("".join(rng.choice(list(alphabet[k]), rng.integers(5, 80))), k) for k in alphabet for _ in range(12)]
+    asked = ["".join(rng.choice(list(alphabet[k]), n)) for k in alphabet for n in (1, 7, 60, 2500)]
+    buckets, max_n = 1 << 10, 3
+
+    def sets(text):
+        out = []
+        for c in language_id.chunks(text, max_n):
+            held = set()
+            for n in range(1, max_n + 1):
+                for i in range(len(c) - n + 1):
+                    h = 0
+                    for step, ch in enumerate(c[i:i + n].lower(), 1):
+                        h = ((h ^ ord(ch)) * int(language_id.MULTIPLIERS[0]) + step) % 2**32
+                    held.add((h * int(language_id.MULTIPLIERS[n]) % 2**32) >> (32 - (buckets - 1).bit_length()))
+            out.append(held)
+        return out
+
+    one = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    kernel = lambda a, b: np.mean([[one(x, y) for y in sets(b)] for x in sets(a)])
+    names, labels = sorted(alphabet), [k for _, k in texts]
+    gram = np.array([[kernel(a, b) for b, _ in texts] for a, _ in texts])
+    y = np.array([[1.0 if n == k else -1.0 for n in names] for k in labels])
+    alpha = np.linalg.pinv(gram @ gram + 1e-3 * len(texts) * gram, rcond=1e-12) @ gram @ y  # languages of equal size: all weights are 1
+    want = np.array([[kernel(a, b) for b, _ in texts] for a in asked]) @ alpha
+    model = language_id.fit(language_id.vectors([t for t, _ in texts], buckets, max_n), labels, landmarks=len(texts))
+    assert np.abs(model.score(asked, max_n) - want).max() < 1e-3
+    assert np.abs(model.margins(language_id.vectors(asked, buckets, max_n)) - want).max() < 1e-3
