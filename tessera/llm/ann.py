@@ -79,7 +79,7 @@ class Block:
 
 
 def search(vectors: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 20, pivots: int = 512, prefix: int = 64,
-           share: float = 0.08, least: int = 2048, index_block: int = 16384, query_block: int = 16384) -> DataFrame:
+           share: float = 0.16, least: int = 256, index_block: int = 16384, query_block: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id satisfies `queries` (id column -> boolean)."""
     valid = cut(_valid(vectors, id_col, vec_col))
     lengths = [r["d"] for r in valid.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect()]
