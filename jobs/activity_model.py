@@ -56,13 +56,14 @@ def update(batch: DataFrame, batch_id: int, output: str, config: dict) -> None:
     """Takes one batch into the partials and the model; the same batch again changes nothing."""
     spark = batch.sparkSession
     rows = partials(batch, config["day_format"]).withColumn("batch", F.lit(batch_id).cast("long"))
+    days = sorted(r["day"] for r in rows.select("day").distinct().collect())  # a row per day
+    if not days:
+        return
     overwrite(rows, f"{output}/partials", "day", "batch")
-    parts = spark.read.schema(PARTIAL).parquet(f"{output}/partials")
-    mine = parts.where(F.col("batch") == batch_id)
-    taken = mine.agg(F.sum("attempts"), F.count_distinct("day")).first()
-    touched = mine.select("day").distinct()  # a row per day: the join prunes the folders of all other days
-    overwrite(merge(parts.join(touched, "day", "left_semi")), f"{output}/model", "day")
-    LOG.info("batch %d: read %d attempts, wrote %d days", batch_id, taken[0] or 0, taken[1])
+    parts = spark.read.schema(PARTIAL).option("basePath", f"{output}/partials").parquet(*[f"{output}/partials/day={day}" for day in days])  # other days' folders are not even listed
+    overwrite(merge(parts), f"{output}/model", "day")
+    taken = parts.where(F.col("batch") == batch_id).agg(F.sum("attempts")).first()[0]
+    LOG.info("batch %d: read %d attempts, wrote %d days", batch_id, taken, len(days))
 
 
 def overwrite(df: DataFrame, path: str, *by: str) -> None:
