@@ -123,6 +123,14 @@ def natural_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def bounded_headers(headers: Column, entries: int = 100, characters: int = 2000) -> Column:
+    """A map of headers with lower-case names and cut values, the first entries only; of names that differ in case the first stays."""
+    cut = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.substring(e["value"], 1, characters).alias("value")))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    once = F.aggregate(cut, none, lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
+    return F.map_from_entries(F.slice(F.map_entries(once), 1, entries))
+
+
 def word_windows(c: Column, longest: int, overlap: int) -> Column:
     """Word windows of `longest`, stepping by max(1, longest - overlap), ending with the first that reaches the end."""
     words = F.filter(F.split(collapse(c), " "), lambda w: w != "")

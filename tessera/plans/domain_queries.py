@@ -174,9 +174,12 @@ def f39_weighted_score(spark, d):
     return read(spark, d, "documents", "doc_id", "n_chars", "text", "lang").select("doc_id", s.round4(x).alias("x"))
 
 
-@query()
+@query("SELECT event_id, canonical, sha256(canonical) AS fingerprint FROM (SELECT event_id, '{\"a\":[1,{\"y\":null,\"z\":\"' || event_type || '\"}],\"b\":' || json(props)::VARCHAR || '}' AS canonical FROM events)")
 def f55_canonical_json(spark, d):
-    return read(spark, d, "events", "event_id", "props").select("event_id", F.sha2(F.try_parse_json("props").cast("string"), 256).alias("fingerprint"))
+    """Keys sorted at every level, no white space; the object around the test column has them in another order."""
+    raw = F.concat(F.lit('{ "b": '), "props", F.lit(', "a": [1, {"z": "'), "event_type", F.lit('", "y": null}] }'))
+    canonical = F.try_parse_json(raw).cast("string")
+    return read(spark, d, "events", "event_id", "event_type", "props").select("event_id", canonical.alias("canonical"), F.sha2(canonical, 256).alias("fingerprint"))
 
 
 @query("SELECT event_id, CASE WHEN value IS NULL THEN 'deferred' WHEN value = trunc(value) THEN 'value:number:' || value::BIGINT ELSE 'value:number:x' END AS x FROM events")
@@ -534,12 +537,14 @@ def st1_queue_consumers(spark, d):
     return spark.read.parquet(f"{folder}/out").drop("epoch")
 
 
-@query("SELECT event_id, lower(event_type || '-Header') AS name, substr(coalesce(props, ''), 1, 20) AS value FROM events")
+@query("""SELECT event_id, 100 AS entries, 'x-props' AS first_name, 2000 AS first_length, 'h-99=' || event_type AS last, sha256(substr(repeat(coalesce(props, 'none') || '|', 1000), 1, 2000)) AS first_hash FROM events""")
 def p25_header_bounds(spark, d):
-    headers = F.create_map(F.concat("event_type", F.lit("-Header")), F.coalesce("props", F.lit("")))
-    bounded = F.transform_values(F.transform_keys(headers, lambda k, v: F.lower(k)), lambda k, v: F.substring(v, 1, 20))
-    first = F.slice(F.map_entries(bounded), 1, 100)[0]
-    return read(spark, d, "events", "event_id", "event_type", "props").select("event_id", first["key"].alias("name"), first["value"].alias("value"))
+    """121 headers, the first with a long value: names in lower case, values cut to 2,000 characters, the first 100 kept."""
+    many = F.transform(F.sequence(F.lit(1), F.lit(120)), lambda i: F.struct(F.concat(F.lit("H-"), i.cast("string")).alias("key"), F.col("event_type").alias("value")))
+    first = F.array(F.struct(F.lit("X-Props").alias("key"), F.repeat(F.concat(F.coalesce("props", F.lit("none")), F.lit("|")), F.lit(1000)).alias("value")))
+    bounded = read(spark, d, "events", "event_id", "event_type", "props").select("event_id", t.bounded_headers(F.map_from_entries(F.concat(first, many))).alias("h"))
+    entry = F.map_entries("h")
+    return bounded.select("event_id", F.size("h").alias("entries"), entry[0]["key"].alias("first_name"), F.length(entry[0]["value"]).alias("first_length"), F.concat_ws("=", entry[99]["key"], entry[99]["value"]).alias("last"), F.sha2(entry[0]["value"], 256).alias("first_hash"))
 
 
 @query("SELECT entry_id FROM " + rq.FRONTIER + " WHERE crawl_status IN ('scheduled', 'succeeded') AND next_crawl_at <= TIMESTAMP '1997-01-01' ORDER BY next_crawl_at, priority DESC, entry_id LIMIT 40")
@@ -632,11 +637,12 @@ def ud2_embedding_port(spark, d):
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", udfs.embedder(16)(F.col("text")).alias("embedding"))
 
 
-@query()
+@query("SELECT event_id, unnest(CASE WHEN event_type = 'view' THEN [] ELSE ['cost', 'requires'] END) AS predicate_text, unnest(CASE WHEN event_type = 'view' THEN [] ELSE [(event_id % 97)::VARCHAR || '.5', user_id::VARCHAR] END) AS value FROM events")
 def ud3_fact_extraction_port(spark, d):
-    extract = ports.fact_extractor(lambda text: [(w_, str(len(w_))) for w_ in text.split()])
-    docs = read(spark, d, "documents", "doc_id", "text")
-    return docs.lateralJoin(extract(F.col("text").outer())).select("doc_id", "predicate_text", "value")
+    """The default extractor over sentences made of events: amounts near words of price and need; views say nothing."""
+    said = F.when(F.col("event_type") == "view", "A pretty price. Nothing costs.").otherwise(F.concat(F.lit("The cost of item no "), F.col("event_id") % 97, F.lit(".5 is fair.\nIt Requires about "), "user_id", F.lit(" days")))
+    events = read(spark, d, "events", "event_id", "event_type", "user_id").withColumn("said", said)
+    return events.lateralJoin(ports.fact_extractor()(F.col("said").outer())).select("event_id", "predicate_text", "value")
 
 
 def broken():

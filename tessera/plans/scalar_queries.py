@@ -64,7 +64,7 @@ ENTRIES: list[tuple[str, tuple[str, str], Callable[[], dict[str, Column]], dict[
     ("f7_normalize_predicate", E, lambda: {"x": t.normalize_predicate(F.concat(C("event_type"), L("_By-User")))}, {"x": "lower(regexp_replace(trim(event_type || '_By-User'), '[_-]+', ' ', 'g'))"}),
     ("f8_stable_key", N, lambda: {"x": t.stable_key("geo", C("n_name"))}, {"x": "'geo:' || regexp_replace(trim(regexp_replace(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}\\s?]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+', '-', 'g')"}),
     ("f9_slug", D, lambda: {"x": t.slug(C("text"))}, {"x": f"regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"}),
-    ("f10_title_case", D, lambda: {"x": t.title_case(F.replace(C("text"), L("ß"), L("s")))}, {"x": f"array_to_string(list_transform(string_split({COLLAPSED.format("replace(text, 'ß', 's')")}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"}),
+    ("f10_title_case", D, lambda: {"x": t.title_case(C("text"))}, {"x": f"array_to_string(list_transform(string_split({COLLAPSED.format('text')}, ' '), lambda w: CASE WHEN w[1] = 'ß' THEN 'SS' ELSE upper(w[1]) END || w[2:]), ' ')"}),
     ("f11_query_normalize", D, lambda: {"x": t.collapse(C("text"))}, {"x": COLLAPSED.format("text")}),
     ("f12_query_terms", D, lambda: {"n": F.size(t.query_terms(C("text"))), "x": F.array_join(t.query_terms(C("text")), "|")}, {"n": f"len(list_filter(string_split(lower({COLLAPSED.format("text")}), ' '), lambda x: x <> ''))::INT", "x": f"array_to_string(list_filter(string_split(lower({COLLAPSED.format("text")}), ' '), lambda x: x <> ''), '|')"}),
     ("f13_keyword_score", D, lambda: {"x": t.match_share(C("text"), ["the", "tion", "ing"])}, {"x": "(contains(lower(text), 'the')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), 'ing')::INT) / 3.0::DOUBLE"}),
