@@ -125,10 +125,12 @@ def natural_id(*parts: Column) -> Column:
 
 def bounded_headers(headers: Column, entries: int = 100, characters: int = 2000) -> Column:
     """A map of headers with lower-case names and cut values, the first entries only; of names that differ in case the first stays."""
-    cut = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.substring(e["value"], 1, characters).alias("value")))
+    names, values = F.transform(F.map_keys(headers), F.lower), F.transform(F.map_values(headers), lambda v: F.substring(v, 1, characters))
+    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    once = F.aggregate(cut, none, lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
-    return F.map_from_entries(F.slice(F.map_entries(once), 1, entries))
+    once = F.aggregate(pairs, none, lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
+    alike = F.size(F.array_distinct(names)) < F.size(names)
+    return F.when(alike, F.map_from_entries(F.slice(F.map_entries(once), 1, entries))).otherwise(F.map_from_arrays(F.slice(names, 1, entries), F.slice(values, 1, entries)))
 
 
 def word_windows(c: Column, longest: int, overlap: int) -> Column:

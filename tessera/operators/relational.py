@@ -227,20 +227,23 @@ def _overlapping(dimensions: dict[str, DataFrame], key: str, links: str) -> Data
 def score_candidates(signals: DataFrame) -> DataFrame:
     """signals(candidate, pos, known, value, confidence, source, seq) -> one row per candidate and profile: score, band,
     degraded, confidence, the five strongest signals, research hints and a page type. pos numbers the kinds of signals;
-    each signal is copied once for every profile, and aggregates merge on the map side."""
+    each signal is copied once for every profile, and aggregates merge on the map side; signals are ranked first, and only the five
+    strongest of a candidate are gathered."""
     kinds = F.array(*[F.lit(n) for n in scoring.SCORING_SIGNALS])
     profiles = F.array(*[F.struct(F.lit(p).alias("profile"), F.array(*[F.lit(w) for w in scoring.signal_weights(p).values()]).alias("w")) for p in scoring.SCORING_PROFILES])
     c = signals.withColumn("p", F.explode(profiles)).select("*", "p.profile", F.get("p.w", F.col("pos")).alias("w"), F.get(kinds, F.col("pos")).alias("name")).drop("p")
     is_ = lambda n: F.col("name") == n
-    strong = F.when(F.col("value") * F.col("w") > 0, F.struct((-F.col("value") * F.col("w")).alias("v"), "pos", "seq", "name"))
+    best = Window.partitionBy("candidate", "profile").orderBy(F.desc(F.col("value") * F.col("w")), "pos", "seq")
+    top = c.where(F.col("value") * F.col("w") > 0).withColumn("k", F.row_number().over(best)).where(F.col("k") <= 5)  # cut before the shuffle, too
+    top = top.groupBy("candidate", "profile").agg(F.array_sort(F.collect_list(F.struct("k", "name"))).alias("top"))
     g = c.groupBy("candidate", "profile").agg(
         scoring.clamp(scoring.js_round(F.round(F.sum(F.col("value") * F.col("w")) / F.sum(F.abs("w")), 9)), 0, 100).cast("int").alias("score"), F.bool_or(~F.col("known")).alias("degraded"),
         F.avg(scoring.confidence_rank(F.col("confidence"))).alias("rank"), F.collect_set("name").alias("kinds"), F.count_distinct("source").alias("sources"),
         F.bool_or(is_("unknown_metric_penalty") | is_("provider_metric") & ~F.col("known")).alias("no_metric"),
-        F.bool_or(is_("serp_weakness") & F.col("known") & (F.col("value") < 35)).alias("weak_serp"),
-        F.coalesce(F.max(F.when(is_("faq_gap"), F.col("value"))), F.lit(-1.0)).alias("faq"), F.slice(F.array_sort(F.collect_list(strong)), 1, 5).alias("top"))
+        F.bool_or(is_("serp_weakness") & F.col("known") & (F.col("value") < 35)).alias("weak_serp"), F.coalesce(F.max(F.when(is_("faq_gap"), F.col("value"))), F.lit(-1.0)).alias("faq"))
+    g = g.join(top, ["candidate", "profile"], "left")
     sure = scoring.confidence_band(F.col("rank"))
     return g.select(
         "candidate", "profile", "score", scoring.score_band(F.col("score")).alias("band"), "degraded", F.when(F.col("degraded"), scoring.downgrade(sure)).otherwise(sure).alias("confidence"),
-        F.array_join(F.transform("top", lambda x: x["name"]), ",").alias("rationale"), scoring.research_hints(F.col("kinds"), F.col("no_metric"), F.col("sources"), F.col("weak_serp")).alias("hints"),
+        F.coalesce(F.array_join(F.transform("top", lambda x: x["name"]), ","), F.lit("")).alias("rationale"), scoring.research_hints(F.col("kinds"), F.col("no_metric"), F.col("sources"), F.col("weak_serp")).alias("hints"),
         scoring.page_type(F.lit(None).cast("string"), F.col("faq"), F.lit(""), F.lit(False)).alias("page_type"))

@@ -434,9 +434,9 @@ def a9_conflict_sets(spark, d):
     return consensus(spark, d).where("severity is not null").select("subject", "predicate", "severity")
 
 
-@query("SELECT subject, " + CL4.format("0.28::DOUBLE + least(0.24::DOUBLE, count(DISTINCT chunk) * 0.06::DOUBLE) + least(0.24::DOUBLE, count(DISTINCT chunk) * 0.08::DOUBLE) + least(0.24::DOUBLE, count(DISTINCT domain) * 0.08::DOUBLE) + (" + CL4.format("avg(trust)") + " - 0.5) * 0.28 - CASE WHEN count(DISTINCT value) > 1 THEN 0.18 ELSE 0.0 END::DOUBLE") + f" AS strength FROM {FACTS} GROUP BY 1")
+@query("SELECT subject, " + CL4.format("0.28::DOUBLE + least(0.24::DOUBLE, count(DISTINCT chunk) * 0.06::DOUBLE) + least(0.24::DOUBLE, count(DISTINCT chunk) * 0.08::DOUBLE) + least(0.24::DOUBLE, count(DISTINCT domain) * 0.08::DOUBLE) + (" + CL4.format("round(avg(trust), 9)") + " - 0.5) * 0.28 - CASE WHEN count(DISTINCT value) > 1 THEN 0.18 ELSE 0.0 END::DOUBLE") + f" AS strength FROM {FACTS} GROUP BY 1")
 def a10_evidence_strength(spark, d):
-    g = facts(spark, d).groupBy("subject").agg(F.count_distinct("chunk").alias("c"), F.count_distinct("domain").alias("n"), F.avg("trust").alias("t"), (F.count_distinct("value") > 1).alias("conflict"))
+    g = facts(spark, d).groupBy("subject").agg(F.count_distinct("chunk").alias("c"), F.count_distinct("domain").alias("n"), F.round(F.avg("trust"), 9).alias("t"), (F.count_distinct("value") > 1).alias("conflict"))
     return g.select("subject", s.evidence_strength(F.col("c"), F.col("c"), F.col("n"), s.clamp4(F.col("t")), F.col("conflict")).alias("strength"))
 
 

@@ -86,7 +86,7 @@ CL4 = rq.CL4
     e AS (SELECT l_partkey, {CL4.format("0.28::DOUBLE + least(0.24::DOUBLE, count(DISTINCT l_orderkey) * 0.06::DOUBLE) + least(0.24::DOUBLE, count(DISTINCT l_orderkey) * 0.08::DOUBLE) + least(0.24::DOUBLE, count(DISTINCT l_suppkey) * 0.08::DOUBLE) + (round(avg(trust), 9) - 0.5) * 0.28 - CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 0.18 ELSE 0.0 END::DOUBLE")} AS evidence FROM l GROUP BY 1),
     f AS (SELECT l.l_partkey, l_suppkey, l_orderkey, evidence, {CL4.format("round(l_discount * 10 * 0.3 + l_discount * 10 * 0.25 + evidence * 0.3 + trust * 0.15, 9)")} AS confidence, trust FROM l JOIN e ON e.l_partkey = l.l_partkey),
     g AS (SELECT l_partkey, any_value(evidence) AS evidence, round(avg(confidence), 9) AS c, count(*) AS n, count(DISTINCT l_orderkey) AS o, count(DISTINCT l_suppkey) AS s, round(avg(trust), 9) AS trust FROM f GROUP BY 1)
-    SELECT l_partkey AS entity, evidence, round(c, 6) AS fact_confidence, round({CL4.format(f"round(c * 0.35 + c * 0.2 + {CL4.format('least(1.0::DOUBLE, n * 0.05::DOUBLE)')} * 0.15 + {CL4.format('least(1.0::DOUBLE, o * 0.12::DOUBLE) + least(1.0::DOUBLE, s * 0.18::DOUBLE)')} * 0.15 + trust * 0.15, 9)")}, 3) AS entity_score FROM g""")
+    SELECT l_partkey AS entity, evidence, round(c, 6) AS fact_confidence, {CL4.format(f"c * 0.35 + c * 0.2 + {CL4.format('least(1.0::DOUBLE, n * 0.05::DOUBLE)')} * 0.15 + {CL4.format('least(1.0::DOUBLE, o * 0.12::DOUBLE) + least(1.0::DOUBLE, s * 0.18::DOUBLE)')} * 0.15 + trust * 0.15")} AS entity_score FROM g""")
 def d8_trust_chain(spark, d):
     """Source trust by kind, evidence strength by subject, confidence of each fact from both, and the score of the entity."""
     li = read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linestatus", "l_discount")
@@ -99,7 +99,7 @@ def d8_trust_chain(spark, d):
     g = scored.groupBy("l_partkey").agg(F.first("evidence").alias("evidence"), F.round(F.avg("confidence"), 9).alias("c"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("o"), F.count_distinct("l_suppkey").alias("s"),
                                         F.round(F.avg("trust"), 9).alias("trust"))
     score = s.entity_score(F.col("c"), F.lit(None).cast("double"), F.col("n"), F.col("o"), F.col("s"), F.col("trust"))
-    return g.select(F.col("l_partkey").alias("entity"), "evidence", F.round("c", 6).alias("fact_confidence"), F.round(score, 3).alias("entity_score"))
+    return g.select(F.col("l_partkey").alias("entity"), "evidence", F.round("c", 6).alias("fact_confidence"), score.alias("entity_score"))
 
 
 @query("""SELECT v.alias, v.key, count(d.doc_id) AS documents FROM (VALUES ('price', 'has_price'), ('cost', 'has_price'), ('available in', 'available_in_location'), ('applies to', 'available_in_location'), ('requires', 'has_requirement'), ('eligible for', 'has_requirement'),

@@ -63,3 +63,11 @@ def test_python_functions_equal_brute_force(spark, sf):
 
     want = sorted((i, urljoin(p["url"], h)) for i, p in pages.items() for h in re.findall(r'<a\s[^>]*href="([^"]*)"', p["html"]))
     assert sorted((r["page_id"], r["link"]) for r in catalog.QUERIES["f21_resolve_links"](spark, sf).collect()) == want
+
+
+def test_header_bounds(spark):
+    from tessera.functions.text import bounded_headers
+
+    h = F.create_map(F.lit("A"), F.col("h"), F.lit("a"), F.lit("later"), F.lit("B"), F.lit("x" * 10), F.lit("C"), F.lit(""))
+    assert of(spark, bounded_headers(h, 2, 4), "value") == {"a": "valu", "b": "xxxx"}
+    assert of(spark, bounded_headers(F.create_map(F.lit("A"), F.col("h"), F.lit("B"), F.lit("b")), 1, 4), "v") == {"a": "v"}
