@@ -148,3 +148,31 @@ def reviewed(reviews: DataFrame, candidates: DataFrame) -> DataFrame:
     j = r.join(found, "id", "left").join(known, F.col("attempt") == F.col("__ka"), "left")
     outcome = F.when(F.col("__problem").isNotNull(), F.col("__problem")).when(F.col("__known").isNull(), "attempt not found").when(F.col("evidence_seq").isNull(), "evidence not found").otherwise(F.col("decision"))
     return j.select("id", outcome.alias("outcome"), "evidence_seq")
+
+
+def discovery_plans(topics: DataFrame, queries: DataFrame, sitemaps: DataFrame, seeds: DataFrame, search_provider: str = "default-search") -> DataFrame:
+    """topics(topic, version, search, sitemap, seed: which sources are on; max_results), queries(topic, text, language, geo),
+    sitemaps(topic, url), seeds(topic, rank, url) -> topic, version, source_type, provider, source_key, planning_key, urls: one run
+    for each query and each sitemap, and one for all seeds of a topic. Keys follow from what is planned, so that planning
+    again plans the same runs."""
+    none = F.array().cast("array<string>")
+
+    def runs(df, kind: str, provider: str, identity: list, urls: Column):
+        on = topics.where(F.col(kind)).select(F.col("topic").alias("__t"), "version", "max_results")
+        key = lambda *parts: t.natural_id(F.lit(kind), F.lit(provider), *parts)
+        return df.join(on, F.col("topic") == F.col("__t")).select("topic", "version", F.lit(kind).alias("source_type"), F.lit(provider).alias("provider"), key(*identity).alias("source_key"), urls.alias("urls"))
+
+    listed = seeds.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("urls"))  # a topic's configured list
+    every = runs(queries, "search", search_provider, [F.col("text"), F.col("language"), F.col("geo"), F.col("max_results")], none).unionByName(
+        runs(sitemaps, "sitemap", "sitemap", [F.col("url")], F.array("url"))).unionByName(runs(listed, "seed", "seed", [F.array_join("urls", "\x00")], F.col("urls")))
+    return every.withColumn("planning_key", t.natural_id(F.col("topic"), F.col("version"), F.col("source_type"), F.col("source_key"), F.lit(1)))
+
+
+def metric_observations(measured: DataFrame, keywords: DataFrame) -> DataFrame:
+    """measured(keyword, provider, clicks, impressions) of a search-analytics source and keywords(keyword) -> keyword, provider,
+    metric, value: clicks are traffic potential, impressions search volume, their ratio the trend; a keyword that nobody
+    measured gets the fallback's rows without values."""
+    m = measured.select("keyword", "provider", F.col("clicks").cast("double").alias("traffic_potential"), F.col("impressions").cast("double").alias("search_volume"), F.try_divide("clicks", "impressions").alias("trend"))
+    rest = keywords.select("keyword").distinct().join(measured.select("keyword").distinct(), "keyword", "left_anti")
+    rest = rest.select("keyword", F.lit("fallback").alias("provider"), *[F.lit(None).cast("double").alias(c) for c in ("traffic_potential", "search_volume", "trend")])
+    return m.unionByName(rest).unpivot(["keyword", "provider"], ["traffic_potential", "search_volume", "trend"], "metric", "value")

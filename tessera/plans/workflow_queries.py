@@ -153,3 +153,33 @@ def d26_reviews(spark, d):
                                          F.when(k % 77 == 0, " ").otherwise(F.col("event_type")).alias("provider"), F.concat(F.lit("n"), k % 23).alias("name"), F.when(k % 5 > 0, x_of(28)).alias("external_id"), F.lit("wiki").alias("external_id_type"),
                                          F.lit("approved").alias("decision"), F.lit("someone").alias("reviewer"))
     return x.reviewed(reviews, candidates)
+
+
+# Topics are suppliers' nations: each has the names of its customers as queries, its suppliers as sitemaps, its nearest numbers as seeds.
+@query("""
+    WITH t AS (SELECT n_nationkey AS topic, n_regionkey AS version, n_nationkey % 2 = 0 AS search, n_nationkey % 3 > 0 AS sitemap, n_nationkey % 5 > 0 AS seed, 10 + n_nationkey AS max_results FROM nation),
+    u AS (SELECT n_nationkey AS topic, ['https://seed.example/' || n_name, 'https://seed.example/' || n_regionkey] AS urls FROM nation),
+    r AS (SELECT c_nationkey AS topic, 'search' AS source_type, 'default-search' AS provider, sha256('search' || chr(0) || 'default-search' || chr(0) || c_mktsegment || ' ' || c_custkey % 7 || chr(0) || 'en' || chr(0) || '' || chr(0) || (10 + c_nationkey)) AS source_key, '' AS urls
+          FROM (SELECT DISTINCT c_nationkey, c_mktsegment, c_custkey % 7 AS c_custkey FROM customer)
+          UNION ALL SELECT s_nationkey, 'sitemap', 'sitemap', sha256('sitemap' || chr(0) || 'sitemap' || chr(0) || 'https://x.example/' || s_suppkey), 'https://x.example/' || s_suppkey FROM supplier
+          UNION ALL SELECT topic, 'seed', 'seed', sha256('seed' || chr(0) || 'seed' || chr(0) || array_to_string(urls, chr(0))), array_to_string(urls, ' ') FROM u)
+    SELECT r.topic, t.version, source_type, provider, source_key, sha256(r.topic || chr(0) || t.version || chr(0) || source_type || chr(0) || source_key || chr(0) || '1') AS planning_key, urls FROM r JOIN t ON t.topic = r.topic
+    WHERE CASE source_type WHEN 'search' THEN search WHEN 'sitemap' THEN sitemap ELSE seed END""")
+def d16_discovery_runs(spark, d):
+    n, k = read(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), F.col("n_nationkey")
+    topics = n.select(k.alias("topic"), F.col("n_regionkey").alias("version"), (k % 2 == 0).alias("search"), (k % 3 > 0).alias("sitemap"), (k % 5 > 0).alias("seed"), (k + 10).alias("max_results"))
+    queries = read(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment").select(F.col("c_nationkey").alias("topic"), F.concat("c_mktsegment", F.lit(" "), F.col("c_custkey") % 7).alias("text"), F.lit("en").alias("language"), F.lit("").alias("geo")).distinct()
+    sitemaps = read(spark, d, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_nationkey").alias("topic"), F.concat(F.lit("https://x.example/"), "s_suppkey").alias("url"))
+    seeds = n.select(k.alias("topic"), F.posexplode(F.array(F.concat(F.lit("https://seed.example/"), "n_name"), F.concat(F.lit("https://seed.example/"), "n_regionkey"))).alias("rank", "url"))
+    return x.discovery_plans(topics, queries, sitemaps, seeds).withColumn("urls", F.array_join("urls", " "))
+
+
+@query("""
+    WITH m AS (SELECT 'user ' || user_id AS keyword, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS impressions FROM events GROUP BY user_id),
+    w AS (SELECT keyword, 'analytics' AS provider, clicks::DOUBLE AS traffic_potential, impressions::DOUBLE AS search_volume, CASE WHEN impressions > 0 THEN clicks / impressions::DOUBLE END AS trend FROM m
+          UNION ALL SELECT DISTINCT p_name, 'fallback', NULL, NULL, NULL FROM part)
+    SELECT keyword, provider, unnest(['traffic_potential', 'search_volume', 'trend']) AS metric, unnest([traffic_potential, search_volume, trend]) AS value FROM w""")
+def s9_metric_observations(spark, d):
+    e = read(spark, d, "events", "user_id", "event_type").groupBy(F.concat(F.lit("user "), "user_id").alias("keyword")).agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("impressions"))
+    wanted = e.select("keyword").unionByName(read(spark, d, "part", "p_name").select(F.col("p_name").alias("keyword")))
+    return x.metric_observations(e.withColumn("provider", F.lit("analytics")), wanted)
