@@ -263,9 +263,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, ha, ca, hb, cb = (batch.column(n).to_pylist() for n in ("u", "v", "ha", "ca", "hb", "cb"))
-            good = [i for i in range(len(u)) if linked(*_arrays(ha[i], ca[i]), *_arrays(hb[i], cb[i]), threshold)]
-            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in good], pa.int64()), pa.array([v[i] for i in good], pa.int64())], ["u", "v"])
+            for k in range(0, batch.num_rows, 512):  # both sets of a pair become objects, so few pairs at a time
+                part = batch.slice(k, 512)
+                u, v, ha, ca, hb, cb = (part.column(n).to_pylist() for n in ("u", "v", "ha", "ca", "hb", "cb"))
+                good = [i for i in range(len(u)) if linked(*_arrays(ha[i], ca[i]), *_arrays(hb[i], cb[i]), threshold)]
+                yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in good], pa.int64()), pa.array([v[i] for i in good], pa.int64())], ["u", "v"])
         release()
 
     return pairs.join(a, "u").join(b, "v").mapInArrow(run, "u long, v long")
