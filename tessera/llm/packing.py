@@ -8,8 +8,8 @@ are full. Only the last few of a partition differ: the tokens left are cut into
 than the smallest tier, if any, make one window that is padded. Tiers must be powers of two. Windows are numbered by
 partition, and `step` groups a partition's windows so that all groups but the last hold about `step_tokens` tokens.
 
-Defined results: null text counts as empty, its document is the end token alone; very long documents are cut; repeated
-rows are packed each; null ids are kept; other columns are not read; an empty table gives an empty result.
+Defined results: null text counts as empty, its document is the end token alone; very long documents are cut; rests of one
+length are taken in the order in which they came; repeated rows are packed each; null ids are kept; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ window of `window` words. Counts of exact and misspelled hits of the three kinds
 on at most `fit_rows` training rows (those with the smallest hash of their id); lexicon counts use all training rows.
 
 Defined results: null text counts as empty; empty texts get the score of a text without hits; without training labels
-every score is 0; label rows with a null id or label are not used; a repeated label row counts once, and if an id has
+of both kinds, or where no word tells them apart, every score is 0; a score of exactly 0.5 counts as toxic; label rows with a null id or label are not used; a repeated label row counts once, and if an id has
 different labels the largest counts. Repeated documents each get a row; other columns pass through or are not read; very
 long texts are read whole; an empty table gives an empty result.
 """
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("__id"))
     got = sample.select("text", "bad").mapInArrow(measure, "x array<double>, bad boolean").collect()
     y = np.array([float(r["bad"]) for r in got])
-    weights = logistic(np.array([r["x"] for r in got]), y) if len(got) and 0 < y.sum() < len(y) else None
+    weights = logistic(np.array([r["x"] for r in got]), y) if lexicon and 0 < y.sum() < len(y) else None  # without terms nothing tells texts apart, whatever their share
     return Model(known, weights, window)
 
 

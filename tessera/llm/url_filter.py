@@ -6,7 +6,8 @@ hosts whose rule-matched pages are mostly blocked. A host is blocked when its di
 `threshold` times the mean distrust of a uniform distribution. Mass of hosts without links is not redistributed.
 
 Defined results: null urls and urls without "://" have empty host and path, no rule, and are allowed; null html has no
-links; repeated rows each get a row; an empty table gives an empty result; other columns are not read.
+links; very long urls are read whole; of rules that fit the longest counts by host and path together, and no two of one
+length fit one url; a host whose distrust equals its trust is allowed; repeated rows each get a row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -196,3 +196,39 @@ def test_language_scores_equal_brute_force_kernel_regression():
     model = language_id.fit(language_id.vectors([t for t, _ in texts], buckets, max_n), labels, landmarks=len(texts))
     assert np.abs(model.score(asked, max_n) - want).max() < 1e-3
     assert np.abs(model.margins(language_id.vectors(asked, buckets, max_n)) - want).max() < 1e-3
+
+
+def test_repeated_rows_and_clashing_columns_each_get_their_result(spark):
+    from tessera.llm import url_filter
+
+    rows = [(1, "you idiot"), (1, "you idiot"), (2, "calm words"), (None, "you idiot"), (3, None)]
+    docs = spark.createDataFrame([(*r, "clash", "clash", 1.0) for r in rows], "doc_id long, text string, predicted string, bad string, score double")
+    labels = spark.createDataFrame([(2, 0, "clash"), (1, 1, "clash")], "doc_id long, toxic int, score string")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "3", "None"] and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    kept = toxicity.filter_documents(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 5 and {r["score"] for r in got} == {0.0}  # no word tells the two labelled rows apart
+    pages = spark.createDataFrame([(7, "http://a.com/fr/x", None, "clash"), (7, "http://a.com/fr/x", None, "clash"), (8, "http://b.com/" + "y" * 50_000, "", "clash")], "page_id long, url string, html string, host string")
+    judged = url_filter.judge(pages).collect()
+    assert sorted((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in judged if r["page_id"] == 7) == [(7, "a.com", "com/fr/", "allow")] * 2
+    assert [len(r["path"]) for r in judged if r["page_id"] == 8] == [50_001]
+
+
+def test_hot_copies_of_vectors_and_license_texts(spark):
+    from tessera.llm import ann, license_scan
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(120, 8))
+    rows = [(i, [float(v) for v in (x[0] if i % 3 == 0 else x[i % 120])]) for i in range(600)]  # a third of all rows share one vector
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    v = np.array([e for _, e in rows])
+    for q, found in got.items():
+        score = (v * v[q]).sum(1)
+        want = [i for i in np.lexsort((np.arange(600), -np.round(score, 12))) if i != q][:5]
+        assert [i for _, i in sorted(found)] == want
+    assert len(got) == 30
+    hot = [(i, "this text stands under the MIT license") for i in range(400)] + [(1000 + i, f"own {i}") for i in range(100)]
+    labels = license_scan.scan(spark.createDataFrame(hot, "doc_id long, text string")).groupBy("labels").count().collect()
+    assert {r["labels"]: r["count"] for r in labels} == {"mit": 400, "": 100}
