@@ -605,6 +605,15 @@ def st10_exactly_once(spark, d):
     return spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
 
 
+@query(f"""
+    WITH r AS (SELECT *, sum((status = 'succeeded')::INT) OVER (PARTITION BY entry_id ORDER BY recorded_at, attempt_id) AS run FROM {rq.ATTEMPTS}),
+    f AS (SELECT *, CASE WHEN status = 'succeeded' THEN 0 ELSE sum((status = 'failed_retryable')::INT) OVER (PARTITION BY entry_id, run ORDER BY recorded_at, attempt_id) END::BIGINT AS failures FROM r),
+    n AS (SELECT *, CASE WHEN status = 'succeeded' THEN 'succeeded' WHEN status <> 'failed_retryable' OR failures >= 5 THEN 'failed_terminal' ELSE 'failed_retryable' END AS next_status FROM f)
+    SELECT attempt_id, entry_id, failures, next_status, CASE WHEN next_status = 'failed_retryable' THEN epoch_us(recorded_at) // 1000 + least(21600000.0, floor(300000.0 * pow(2.0, failures) + 0.5))::BIGINT END AS next_at_ms FROM n""")
+def st4_retry_schedule(spark, d):
+    return state.retry_schedule(attempts(spark, d), "entry_id", "recorded_at", "attempt_id", "status")
+
+
 @query(rq.ORACLES["w3_retry_streaks"])
 def st4_retry_to_terminal(spark, d):
     return rq.w3_retry_streaks(spark, d)

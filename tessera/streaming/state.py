@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.functions import scoring
 from tessera.operators import scan
 from tessera.sources.sinks import staged
 
@@ -100,6 +101,22 @@ def run_machine(commands: DataFrame, key: str, order: str, to: str, start: str =
     return known.select(key, order, outcome.alias("outcome"), F.get(F.array(*[F.lit(n) for n in names]), F.get("__map", F.col("__now"))).alias("state"))
 
 
+def retry_schedule(attempts: DataFrame, entry: str, at: str, id_col: str, status: str, *, most: int = 5, fan: int = scan.FAN) -> DataFrame:
+    """attempts in the order of time and id -> id, entry, failures (retryable ones since the entry's last success), next_status, and
+    next_at_ms, when a retry is due; the most-th failure in a row, or one that cannot be retried, is terminal. An ordered scan
+    carries the counts, so that an entry with very many attempts is spread over tasks."""
+    rows = scan.positions(attempts.select(entry, id_col, at, status), entry, [at, id_col])
+    ok, failed = F.col(status) == "succeeded", F.col(status) == "failed_retryable"
+    rows = rows.withColumn("__s", F.struct(ok.alias("ok"), F.when(failed, 1).otherwise(0).cast("long").alias("n")))
+    since = lambda a, b: F.when(b["ok"], b).otherwise(F.struct(a["ok"].alias("ok"), (a["n"] + b["n"]).alias("n")))
+    seen = scan.exclusive_scan(rows, entry, "pos", "__s", since, fan=fan)
+    failures = F.when(ok, F.lit(0).cast("long")).otherwise(F.coalesce("before.n", F.lit(0)) + F.col("__s.n"))
+    seen = seen.withColumn("failures", failures)
+    following = F.when(ok, "succeeded").when(~failed | (F.col("failures") >= most), "failed_terminal").otherwise("failed_retryable")
+    due = F.unix_millis(F.col(at).cast("timestamp")) + scoring.retry_delay_ms(F.col("failures"), F.lit("0"), jitter=0.0).cast("long")
+    return seen.withColumn("next_status", following).select(id_col, entry, "failures", "next_status", F.when(F.col("next_status") == "failed_retryable", due).alias("next_at_ms"))
+
+
 def consume(spark: SparkSession, inbox: str, schema: StructType, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     """A queue consumer: reads what is new in an append-only Parquet inbox, hands it over in micro-batches, then stops."""
     stream = spark.readStream.schema(schema).parquet(inbox)

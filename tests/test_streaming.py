@@ -58,6 +58,19 @@ def test_rate_limit_equals_a_loop(spark, fan):
     assert state.rate_limit(df.limit(0), "k", "at", "id", limit=3, window_seconds=100.0).count() == 0
 
 
+@pytest.mark.parametrize("fan", [4, 256])
+def test_retry_schedule_equals_a_loop(spark, fan):
+    rng = random.Random(6)
+    rows = [(1, i, rng.choice(["failed_retryable"] * 6 + ["succeeded", "cancelled"])) for i in range(200)] + [(k, 1000 + 10 * k + i, "failed_retryable") for k in (2, 3) for i in range(7)]
+    want, streak = [], {}
+    for entry, i, status in sorted(rows):
+        streak[entry] = 0 if status == "succeeded" else streak.get(entry, 0) + (status == "failed_retryable")
+        over = "succeeded" if status == "succeeded" else "failed_terminal" if status != "failed_retryable" or streak[entry] >= 5 else "failed_retryable"
+        want.append((i, entry, streak[entry], over, 1000 * i + min(21_600_000, 300_000 * 2 ** streak[entry]) if over == "failed_retryable" else None))
+    df = spark.createDataFrame(rows, "entry long, id long, status string").withColumn("at", F.timestamp_seconds("id"))
+    assert sorted(map(tuple, state.retry_schedule(df, "entry", "at", "id", "status", fan=fan).collect())) == sorted(want)
+
+
 START = dt.datetime(2024, 1, 1)
 
 
