@@ -176,3 +176,26 @@ def metric_observations(measured: DataFrame, keywords: DataFrame) -> DataFrame:
     rest = keywords.select("keyword").distinct().join(measured.select("keyword").distinct(), "keyword", "left_anti")
     rest = rest.select("keyword", F.lit("fallback").alias("provider"), *[F.lit(None).cast("double").alias(c) for c in ("traffic_potential", "search_volume", "trend")])
     return m.unionByName(rest).unpivot(["keyword", "provider"], ["traffic_potential", "search_volume", "trend"], "metric", "value")
+
+
+def consolidate(commands: DataFrame, entries: DataFrame, policies: DataFrame) -> DataFrame:
+    """commands(id, source, target_url): what a fetched page of entry `source` calls its canonical url; entries(entry, topic, url
+    normalised), policies(topic, allowed, denied arrays of hosts, cross_host; same-host forbids another host, no list of allowed hosts allows all) -> id, status, reason,
+    target_entry, relation (one is recorded), suppressed (the source entry that gives way to its target).
+
+    Checks in order: the source exists, the target is a url, it is not the source itself, its host is neither denied nor outside
+    the allowed ones, another host is allowed; then the target entry of the same topic, if there is one, takes over.
+    """
+    source = entries.select(F.col("entry").alias("source"), F.col("topic").alias("__topic"), F.col("url").alias("__from"))
+    target = entries.groupBy(F.col("topic").alias("__tt"), F.col("url").alias("__tu")).agg(F.min("entry").alias("target_entry"))
+    j = commands.join(source, "source", "left").withColumn("__to", w.normalize_url(F.col("target_url"))).join(policies.withColumnRenamed("topic", "__pt"), F.col("__topic") == F.col("__pt"), "left")
+    j = j.join(target, (F.col("__topic") == F.col("__tt")) & (F.col("__to") == F.col("__tu")), "left")
+    host, own = w.host_of(F.col("__to")), w.host_of(F.col("__from"))
+    reason = (F.when(F.col("__from").isNull(), "source_entry_missing").when(F.col("__to").isNull(), "malformed_target_url").when(F.col("__to") == F.col("__from"), "self")
+              .when(F.array_contains("denied", host), "target_denied_host").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", host), "target_host_not_allowed")
+              .when((host != own) & (F.col("cross_host") == "same-host"), "cross_host_canonical_not_allowed").when(F.col("target_entry").isNull(), "target_entry_missing"))
+    j = j.withColumn("__reason", reason)
+    status = F.when(F.col("__reason").isNull(), "consolidated").when(F.col("__reason") == "self", "self_canonical").when(F.col("__reason") == "target_entry_missing", "recorded_unresolved").otherwise("rejected")
+    done = status == "consolidated"
+    return j.select("id", status.alias("status"), F.when(status != "self_canonical", F.col("__reason")).alias("reason"), F.when(status == "self_canonical", F.col("source")).when(done, F.col("target_entry")).alias("target_entry"),
+                    (~status.isin("self_canonical") & (F.coalesce("__reason", F.lit("")) != "source_entry_missing")).alias("relation"), F.when(done, F.col("source")).alias("suppressed"))

@@ -183,3 +183,31 @@ def s9_metric_observations(spark, d):
     e = read(spark, d, "events", "user_id", "event_type").groupBy(F.concat(F.lit("user "), "user_id").alias("keyword")).agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("impressions"))
     wanted = e.select("keyword").unionByName(read(spark, d, "part", "p_name").select(F.col("p_name").alias("keyword")))
     return x.metric_observations(e.withColumn("provider", F.lit("analytics")), wanted)
+
+
+def _normal_sql(url: str) -> str:
+    return (f"(regexp_extract(lower({url}), '^(https?://[^/?#]+)', 1) || coalesce(nullif(regexp_extract({url}, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract({url}, '^[^?#]*(\\?[^#]*)', 1))")
+
+
+# Every page names a canonical url: its own, no url, that of the page before the last of its topic, a denied one, one of a host that is not allowed, a missing one, that of a page of the other topic.
+@query(f"""
+    WITH e AS (SELECT page_id AS entry, page_id % 2 AS topic, {_normal_sql('url')} AS url, {HOST_SQL} AS host FROM pages), h AS (SELECT DISTINCT topic, host FROM e WHERE host IS NOT NULL UNION SELECT 0, 'spam.example'),
+    t AS (SELECT topic, url, min(entry) AS target FROM e GROUP BY 1, 2),
+    c AS (SELECT p.page_id AS id, CASE WHEN p.page_id % 50 = 49 THEN -1 ELSE p.page_id END AS source, CASE p.page_id % 7 WHEN 0 THEN p.url WHEN 1 THEN NULL WHEN 2 THEN b.url WHEN 3 THEN 'https://spam.example/' WHEN 4 THEN 'https://other.example/'
+                 WHEN 5 THEN 'https://' || {HOST_SQL.replace('url', 'p.url')} || '/no/such/page' ELSE a.url END AS raw FROM pages p LEFT JOIN pages a ON a.page_id = p.page_id - 1 LEFT JOIN pages b ON b.page_id = p.page_id - 2),
+    n AS (SELECT *, CASE WHEN raw IS NOT NULL THEN {_normal_sql('raw')} END AS url, {HOST_SQL.replace('url', 'raw')} AS host FROM c),
+    r AS (SELECT n.id, n.source, target, CASE WHEN e.entry IS NULL THEN 'source_entry_missing' WHEN n.url IS NULL THEN 'malformed_target_url' WHEN n.url = e.url THEN 'self' WHEN n.host = 'spam.example' THEN 'target_denied_host' WHEN h.host IS NULL THEN 'target_host_not_allowed'
+                 WHEN n.host <> e.host AND e.topic = 1 THEN 'cross_host_canonical_not_allowed' WHEN target IS NULL THEN 'target_entry_missing' END AS reason
+          FROM n LEFT JOIN e ON e.entry = n.source LEFT JOIN h ON h.topic = e.topic AND h.host = n.host LEFT JOIN t ON t.topic = e.topic AND t.url = n.url),
+    s AS (SELECT *, CASE WHEN reason IS NULL THEN 'consolidated' WHEN reason = 'self' THEN 'self_canonical' WHEN reason = 'target_entry_missing' THEN 'recorded_unresolved' ELSE 'rejected' END AS status FROM r)
+    SELECT id, status, CASE WHEN reason <> 'self' THEN reason END AS reason, CASE status WHEN 'self_canonical' THEN source WHEN 'consolidated' THEN target END AS target_entry, status <> 'self_canonical' AND coalesce(reason, '') <> 'source_entry_missing' AS relation,
+           CASE WHEN status = 'consolidated' THEN source END AS suppressed FROM s""")
+def d15_consolidation(spark, d):
+    pages, k = read(spark, d, "pages", "page_id", "url"), F.col("page_id")
+    entries = pages.select(k.alias("entry"), (k % 2).alias("topic"), w.normalize_url(F.col("url")).alias("url"))
+    policies = entries.groupBy("topic").agg(F.collect_set(w.host_of(F.col("url"))).alias("allowed")).withColumn("denied", F.array(F.lit("spam.example"))).withColumn("cross_host", F.when(F.col("topic") == 1, "same-host").otherwise("observe"))
+    earlier = lambda n: pages.select((k + n).alias("page_id"), F.col("url").alias(f"url_{n}"))
+    j = pages.join(earlier(1), "page_id", "left").join(earlier(2), "page_id", "left")
+    named = (F.when(k % 7 == 0, F.col("url")).when(k % 7 == 1, None).when(k % 7 == 2, F.col("url_2")).when(k % 7 == 3, "https://spam.example/").when(k % 7 == 4, "https://other.example/")
+             .when(k % 7 == 5, F.concat(F.lit("https://"), w.host_of(F.col("url")), F.lit("/no/such/page"))).otherwise(F.col("url_1")))
+    return x.consolidate(j.select(k.alias("id"), F.when(k % 50 == 49, F.lit(-1).cast("long")).otherwise(k).alias("source"), named.alias("target_url")), entries, policies)
