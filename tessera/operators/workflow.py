@@ -199,3 +199,36 @@ def consolidate(commands: DataFrame, entries: DataFrame, policies: DataFrame) ->
     done = status == "consolidated"
     return j.select("id", status.alias("status"), F.when(status != "self_canonical", F.col("__reason")).alias("reason"), F.when(status == "self_canonical", F.col("source")).when(done, F.col("target_entry")).alias("target_entry"),
                     (~status.isin("self_canonical") & (F.coalesce("__reason", F.lit("")) != "source_entry_missing")).alias("relation"), F.when(done, F.col("source")).alias("suppressed"))
+
+
+REDIRECTS = [301, 302, 303, 307, 308]
+
+
+def fetch_outcomes(requests: DataFrame, responses: DataFrame, staged, *, max_redirects: int, max_bytes: int) -> DataFrame:
+    """requests(id, url) answered by responses(url, status, content_type, location, bytes), one for each url -> id, status, category,
+    final_url, http_status, chain (the urls that redirected, in order).
+
+    Redirects are followed by hand, all requests one hop at a time and each hop a join: every target must be a public http(s)
+    host, a redirect beyond `max_redirects` or without a location is blocked, and whoever needs no further hop leaves. Then
+    size and type are checked, and the status code is mapped.
+    """
+    answers = responses.select(F.col("url").alias("__u"), F.col("status").alias("http_status"), "content_type", "location", "bytes")
+    going, out = requests.select("id", F.col("url").alias("final_url"), F.array().cast("array<string>").alias("chain")), None
+    for hop in range(max_redirects + 1):
+        j = going.join(answers, F.col("final_url") == F.col("__u"), "left")
+        code, moved = F.col("http_status"), F.col("http_status").isin(REDIRECTS)
+        kind = F.lower(F.coalesce("content_type", F.lit("")))
+        page = (kind == "") | kind.contains("text/html") | kind.contains("application/xhtml+xml")
+        unsafe = ~F.coalesce(F.lower("final_url").rlike("^https?://"), F.lit(False)) | w.is_unsafe_host(w.host_of(F.col("final_url")))
+        lost = F.coalesce("location", F.lit("")) == ""
+        category = (F.when(unsafe, "unsafe_target").when(code.isNull(), "connection_failure").when(moved & (F.lit(hop == max_redirects) | lost), "policy_redirect_blocked").when(moved, "next")
+                    .when(F.col("bytes") > max_bytes, "content_too_large").when(~page, "unsupported_content_type").when(code == 429, "http_429").when(code >= 500, "http_5xx").when(code >= 400, "adapter_error"))
+        j = staged(j.withColumn("category", category))
+        done = j.where("category is null or category <> 'next'")
+        out = done if out is None else out.unionByName(done)
+        follow = F.when(F.col("location").startswith("/"), F.concat(w.origin_of(F.col("final_url")), "location")).otherwise(F.col("location"))
+        going = j.where("category = 'next'").select("id", follow.alias("final_url"), F.array_append("chain", F.col("final_url")).alias("chain"))
+        if not going.limit(1).count():
+            break
+    status = (F.when(F.col("category") == "unsafe_target", "blocked_by_policy").when(F.col("category").isin("connection_failure", "http_429", "http_5xx"), "failed_retryable").when(F.col("category").isNotNull(), "failed_terminal").otherwise("succeeded"))
+    return out.select("id", status.alias("status"), "category", "final_url", "http_status", "chain")

@@ -11,6 +11,7 @@ from tessera.functions import ports
 from tessera.functions import web as w
 from tessera.operators import workflow as x
 from tessera.plans.scalar_queries import HOST_SQL, PATH_SQL, TITLE_SQL
+from tessera.sources.shared import staged
 from tessera.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +212,28 @@ def d15_consolidation(spark, d):
     named = (F.when(k % 7 == 0, F.col("url")).when(k % 7 == 1, None).when(k % 7 == 2, F.col("url_2")).when(k % 7 == 3, "https://spam.example/").when(k % 7 == 4, "https://other.example/")
              .when(k % 7 == 5, F.concat(F.lit("https://"), w.host_of(F.col("url")), F.lit("/no/such/page"))).otherwise(F.col("url_1")))
     return x.consolidate(j.select(k.alias("id"), F.when(k % 50 == 49, F.lit(-1).cast("long")).otherwise(k).alias("source"), named.alias("target_url")), entries, policies)
+
+
+# Recorded responses of the pages: redirects to the next or the last page or to themselves, errors, a text, a page that is too large.
+@query(f"""
+    WITH RECURSIVE u AS (SELECT page_id, url, lead(url) OVER (ORDER BY page_id) AS following, lag(url) OVER (ORDER BY page_id) AS before, length(html) AS bytes FROM pages),
+    a AS (SELECT url, [301, 200, 404, 302, 200, 503, 307, 429, 200][page_id % 9 + 1] AS code, CASE page_id % 9 WHEN 0 THEN following WHEN 3 THEN before WHEN 6 THEN '/loop' END AS location, CASE WHEN page_id % 9 = 4 THEN 'text/plain' ELSE 'text/HTML; charset=utf-8' END AS kind,
+                 CASE WHEN page_id % 9 = 8 THEN 9000000 ELSE bytes END AS bytes FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+    q AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT -page_id - 1, 'http://10.0.0.' || page_id % 250 || '/' FROM pages WHERE page_id % 10 = 0),
+    g AS (SELECT id, url, 0 AS hop, [] ::VARCHAR[] AS chain FROM q
+          UNION ALL SELECT id, CASE WHEN location LIKE '/%' THEN regexp_extract(lower(g.url), '^[a-z]+://[^/?#]+') || location ELSE location END, hop + 1, list_append(chain, g.url) FROM g JOIN a ON a.url = g.url WHERE code IN (301, 302, 307) AND location IS NOT NULL AND hop < 2),
+    l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY hop DESC) = 1),
+    c AS (SELECT id, l.url AS final_url, code AS http_status, chain, CASE WHEN l.url LIKE 'http://10.%' THEN 'unsafe_target' WHEN code IS NULL THEN 'connection_failure' WHEN code IN (301, 302, 307) THEN 'policy_redirect_blocked' WHEN a.bytes > 5000000 THEN 'content_too_large'
+                 WHEN kind = 'text/plain' THEN 'unsupported_content_type' WHEN code = 429 THEN 'http_429' WHEN code >= 500 THEN 'http_5xx' WHEN code >= 400 THEN 'adapter_error' END AS category FROM l LEFT JOIN a ON a.url = l.url)
+    SELECT id, CASE WHEN category = 'unsafe_target' THEN 'blocked_by_policy' WHEN category IN ('connection_failure', 'http_429', 'http_5xx') THEN 'failed_retryable' WHEN category IS NOT NULL THEN 'failed_terminal' ELSE 'succeeded' END AS status, category, final_url, http_status,
+           array_to_string(chain, ' ') AS chain FROM c""")
+def s4_fetch_outcomes(spark, d):
+    pages, k = read(spark, d, "pages", "page_id", "url", "html"), F.col("page_id")
+    near = lambda n, name: pages.select((k + n).alias("page_id"), F.col("url").alias(name))
+    j = pages.select("page_id", "url", F.length("html").alias("size")).join(near(-1, "following"), "page_id", "left").join(near(1, "before"), "page_id", "left")
+    codes = F.array(*[F.lit(c) for c in (301, 200, 404, 302, 200, 503, 307, 429, 200)])
+    rows = j.select("page_id", "url", F.get(codes, (k % 9).cast("int")).alias("status"), F.when(k % 9 == 4, "text/plain").otherwise("text/HTML; charset=utf-8").alias("content_type"),
+                    F.when(k % 9 == 0, F.col("following")).when(k % 9 == 3, F.col("before")).when(k % 9 == 6, "/loop").alias("location"), F.when(k % 9 == 8, 9_000_000).otherwise(F.col("size")).alias("bytes"))
+    first = rows.groupBy("url").agg(F.min(F.struct("page_id", "status", "content_type", "location", "bytes")).alias("r")).select("url", "r.*")
+    asked = pages.select(k.alias("id"), "url").unionByName(pages.where(k % 10 == 0).select((-k - 1).alias("id"), F.concat(F.lit("http://10.0.0."), k % 250, F.lit("/")).alias("url")))
+    return x.fetch_outcomes(asked, first, staged, max_redirects=2, max_bytes=5_000_000).withColumn("chain", F.array_join("chain", " "))
