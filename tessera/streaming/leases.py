@@ -24,50 +24,52 @@ def keyed_state(spark: SparkSession):
         spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
-class LeasePool(StatefulProcessor):
-    """One entry: who holds it and until when. A timer frees it when the watermark passes that time, without a further event."""
+def lease_pool(key_name: str, lease_ms: int) -> StatefulProcessor:
+    """The processor of lease_stream. Its class is local, so that it travels by value: a stream's Python processes may not find this package."""
 
-    def __init__(self, key: str, lease_ms: int):
-        self.key, self.lease_ms = key, lease_ms
+    class LeasePool(StatefulProcessor):
+        """One entry: who holds it and until when. A timer frees it when the watermark passes that time, without a further event."""
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "id long, until long")
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.held = handle.getValueState("held", "id long, until long")
 
-    def _row(self, key, id_: int, outcome: str, at_ms: int) -> Row:
-        return Row(**{self.key: key[0], "id": id_, "outcome": outcome, "at_ms": at_ms})
+        def _row(self, key, id_: int, outcome: str, at_ms: int) -> Row:
+            return Row(**{key_name: key[0], "id": id_, "outcome": outcome, "at_ms": at_ms})
 
-    def _free(self) -> None:
-        self.held.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        def _free(self) -> None:
+            self.held.clear()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        for r in sorted(rows, key=lambda x: (x["at_ms"], x["id"])):
-            now, holder = r["at_ms"], self.held.get() if self.held.exists() else None
-            if holder and holder[1] <= now:
-                self._free()
-                yield self._row(key, holder[0], "expired", holder[1])
-                holder = None
-            if r["kind"] == "ack":
-                if holder:
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+            for r in sorted(rows, key=lambda x: (x["at_ms"], x["id"])):
+                now, holder = r["at_ms"], self.held.get() if self.held.exists() else None
+                if holder and holder[1] <= now:
                     self._free()
-                yield self._row(key, holder[0] if holder else r["id"], "completed" if holder else "late", now)
-            elif holder:
-                yield self._row(key, r["id"], "busy", now)
-            else:
-                self.held.update((r["id"], now + self.lease_ms))
-                self.handle.registerTimer(now + self.lease_ms)
-                yield self._row(key, r["id"], "leased", now)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.held.exists() and self.held.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
-            holder = self.held.get()
-            self.held.clear()
-            yield self._row(key, holder[0], "expired", holder[1])
+                    yield self._row(key, holder[0], "expired", holder[1])
+                    holder = None
+                if r["kind"] == "ack":
+                    if holder:
+                        self._free()
+                    yield self._row(key, holder[0] if holder else r["id"], "completed" if holder else "late", now)
+                elif holder:
+                    yield self._row(key, r["id"], "busy", now)
+                else:
+                    self.held.update((r["id"], now + lease_ms))
+                    self.handle.registerTimer(now + lease_ms)
+                    yield self._row(key, r["id"], "leased", now)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+            if self.held.exists() and self.held.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+                holder = self.held.get()
+                self.held.clear()
+                yield self._row(key, holder[0], "expired", holder[1])
+
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return LeasePool()
 
 
 def lease_stream(events: DataFrame, key: str, *, lease_seconds: int, delay: str) -> DataFrame:
@@ -76,7 +78,7 @@ def lease_stream(events: DataFrame, key: str, *, lease_seconds: int, delay: str)
     the size of a batch bounds what a task holds; entries without a lease keep no state."""
     kind = events.schema[key].dataType.simpleString()
     slim = events.withWatermark("at", delay).select(key, "id", "kind", "at", F.unix_millis("at").alias("at_ms"))
-    return slim.groupBy(key).transformWithState(LeasePool(key, lease_seconds * 1000), f"{key} {kind}, id long, outcome string, at_ms long", "append", "eventTime")
+    return slim.groupBy(key).transformWithState(lease_pool(key, lease_seconds * 1000), f"{key} {kind}, id long, outcome string, at_ms long", "append", "eventTime")
 
 
 def completion_stream(leases: DataFrame, acks: DataFrame, *, grace: str, delay: str) -> DataFrame:
