@@ -527,11 +527,14 @@ WEIGHTS = {"1": 1.2, "2": 1.1, "3": 1.0, "4": 0.8, "5": -0.6}
 
 @query("SELECT l_orderkey, greatest(0, least(100, floor(sum(coalesce(CASE WHEN l_quantity > 5 THEN l_quantity * 2 END, -8) * w) / sum(abs(w)) + 0.5)))::INT AS score, bool_or(l_quantity <= 5) AS degraded FROM lineitem JOIN (VALUES (1, 1.2::DOUBLE), (2, 1.1), (3, 1.0), (4, 0.8), (5, -0.6)) v(k, w) ON k = l_linenumber GROUP BY 1")
 def a22_opportunity_score(spark, d):
+    """Weighted signals of an order, added in the order of the table's rows: a sum of doubles that falls on a half depends on it."""
     weight = s.lookup({int(k): v for k, v in WEIGHTS.items()}, F.col("l_linenumber"))
-    li = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").withColumn("w", weight).where("w is not null")
     value = F.coalesce(F.when(F.col("l_quantity") > 5, F.col("l_quantity") * 2), F.lit(-8.0))
-    score = s.clamp(s.js_round(F.sum(value * F.col("w")) / F.sum(F.abs("w"))), 0, 100)
-    return li.groupBy("l_orderkey").agg(score.cast("int").alias("score"), F.bool_or(F.col("l_quantity") <= 5).alias("degraded"))
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", value.alias("value"), weight.alias("w"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).where("w is not null")
+    lines = F.array_sort(F.collect_list(F.struct("file", "row", (F.col("value") * F.col("w")).alias("x"), F.abs("w").alias("w"))))  # the few lines of an order
+    g = li.groupBy("l_orderkey").agg(lines.alias("lines"), F.bool_or(F.col("l_quantity") <= 5).alias("degraded"))
+    total = lambda name: F.aggregate("lines", F.lit(0.0), lambda a, x: a + x[name])
+    return g.select("l_orderkey", s.clamp(s.js_round(total("x") / total("w")), 0, 100).cast("int").alias("score"), "degraded")
 
 
 @query("SELECT l_suppkey, CASE WHEN avg(k) >= 2.5 THEN 'high' WHEN avg(k) >= 1.5 THEN 'medium' WHEN avg(k) > 0 THEN 'low' ELSE 'unknown' END AS band FROM (SELECT l_suppkey, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 1 ELSE 0 END AS k FROM lineitem) GROUP BY 1")
