@@ -90,7 +90,8 @@ def confidence_level(average: Column, facts: Column, found: Column) -> Column:
 def knowledge_summary(packs: DataFrame, results: DataFrame, rows: DataFrame, aliases: DataFrame, ontology: DataFrame) -> DataFrame:
     """packs(pack, degraded) with the pack's confidence, counts and evidence gaps; rows are its knowledge_facts; aliases(subject,
     language) approved ones, of which the pack's language or none count (packs.language null: all); ontology(predicate)."""
-    f = rows.groupBy("pack").agg(F.count(F.lit(1)).alias("fact_count"), F.avg("confidence").alias("average"), F.bool_or(F.size("chunk_ids") < 2).alias("weak"),
+    sure = F.round("confidence", 9).cast("decimal(18,9)")  # added exactly: the mean does not depend on the order of rows
+    f = rows.groupBy("pack").agg(F.count(F.lit(1)).alias("fact_count"), F.avg(sure).cast("double").alias("average"), F.bool_or(F.size("chunk_ids") < 2).alias("weak"),
                                  F.bool_or(F.array_contains("flags", "possible_conflict_unresolved")).alias("open_conflict"))
     s = sources(results).groupBy("pack").agg(F.count(F.lit(1)).alias("source_count"), F.size(F.collect_set(F.coalesce("domain", F.lit("")))).alias("domains"))
     asked = packs.select("pack", F.col("language").alias("__l"))

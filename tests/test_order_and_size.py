@@ -2,6 +2,7 @@
 
 import duckdb
 
+from tessera.operators import packs
 from tessera.plans import catalog
 
 
@@ -20,3 +21,13 @@ def test_opportunity_score_adds_in_the_order_of_the_table(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == want
+
+
+def test_mean_confidence_does_not_depend_on_the_order_of_facts(spark):
+    sure = [46, 75, 91, 61, 59, 60, 43, 78, 79, 97, 67, 56, 49, 94, 46, 86, 98, 68, 44, 83, 62, 80, 75, 98, 53, 95, 75, 70, 73, 70, 97, 91]  # as doubles in this order their mean is below 0.7246875
+    facts = spark.createDataFrame([("p", f"f{k}", 1, "R", [k], x / 100, []) for k, x in enumerate(sure)], "pack string, fact_id string, subject int, predicate string, chunk_ids array<int>, confidence double, flags array<string>")
+    asked = spark.createDataFrame([("p", False, None)], "pack string, degraded boolean, language string")
+    found = spark.createDataFrame([("p", 1, "u", None, "d", "en", [])], "pack string, seq int, source_url string, canonical_url string, domain string, language string, geo array<string>")
+    aliases, ontology = spark.createDataFrame([(1, None)], "subject int, language string"), spark.createDataFrame([("R",)], "predicate string")
+    row = packs.knowledge_summary(asked, found, facts.coalesce(1), aliases, ontology).selectExpr("round(average, 6) AS a", "fact_count").first()
+    assert tuple(row) == (0.724688, 32)
