@@ -26,6 +26,7 @@ def keyed_state(spark: SparkSession):
 
 def lease_pool(key_name: str, lease_ms: int) -> StatefulProcessor:
     """The processor of lease_stream. Its class is local, so that it travels by value: a stream's Python processes may not find this package."""
+    made = Row(key_name, "id", "outcome", "at_ms")
 
     class LeasePool(StatefulProcessor):
         """One entry: who holds it and until when. A timer frees it when the watermark passes that time, without a further event."""
@@ -34,37 +35,35 @@ def lease_pool(key_name: str, lease_ms: int) -> StatefulProcessor:
             self.handle = handle
             self.held = handle.getValueState("held", "id long, until long")
 
-        def _row(self, key, id_: int, outcome: str, at_ms: int) -> Row:
-            return Row(**{key_name: key[0], "id": id_, "outcome": outcome, "at_ms": at_ms})
-
-        def _free(self) -> None:
-            self.held.clear()
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-
         def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-            for r in sorted(rows, key=lambda x: (x["at_ms"], x["id"])):
-                now, holder = r["at_ms"], self.held.get() if self.held.exists() else None
+            # each call of the state or of a timer crosses to the JVM and back: the lease is read once and written once, whatever the number of rows
+            before = holder = self.held.get() if self.held.exists() else None
+            for now, id_, kind in sorted((r["at_ms"], r["id"], r["kind"]) for r in rows):
                 if holder and holder[1] <= now:
-                    self._free()
-                    yield self._row(key, holder[0], "expired", holder[1])
+                    yield made(key[0], holder[0], "expired", holder[1])
+                    holder = None
+                if kind == "ack":
+                    yield made(key[0], holder[0] if holder else id_, "completed" if holder else "late", now)
                     holder = None
-                if r["kind"] == "ack":
-                    if holder:
-                        self._free()
-                    yield self._row(key, holder[0] if holder else r["id"], "completed" if holder else "late", now)
                 elif holder:
-                    yield self._row(key, r["id"], "busy", now)
+                    yield made(key[0], id_, "busy", now)
+                else:
+                    holder = (id_, now + lease_ms)
+                    yield made(key[0], id_, "leased", now)
+            if holder != before:
+                if before:
+                    self.handle.deleteTimer(before[1])
+                if holder:
+                    self.held.update(holder)
+                    self.handle.registerTimer(holder[1])
                 else:
-                    self.held.update((r["id"], now + lease_ms))
-                    self.handle.registerTimer(now + lease_ms)
-                    yield self._row(key, r["id"], "leased", now)
+                    self.held.clear()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
             if self.held.exists() and self.held.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
                 holder = self.held.get()
                 self.held.clear()
-                yield self._row(key, holder[0], "expired", holder[1])
+                yield made(key[0], holder[0], "expired", holder[1])
 
         def close(self) -> None:
             pass
