@@ -226,24 +226,28 @@ def _overlapping(dimensions: dict[str, DataFrame], key: str, links: str) -> Data
 
 def score_candidates(signals: DataFrame) -> DataFrame:
     """signals(candidate, pos, known, value, confidence, source, seq) -> one row per candidate and profile: score, band,
-    degraded, confidence, the five strongest signals, research hints and a page type. pos numbers the kinds of signals;
-    each signal is copied once for every profile, and aggregates merge on the map side; signals are ranked first, and only the five
-    strongest of a candidate are gathered."""
+    degraded, confidence, the five strongest signals, research hints and a page type. pos numbers the kinds of signals.
+    Signals are dealt once, by candidate, and copied for no profile: a candidate's row holds the sums of every profile, and of
+    each kind the five strongest signals on either side of zero, since no profile can name more of one kind."""
     kinds = F.array(*[F.lit(n) for n in scoring.SCORING_SIGNALS])
-    profiles = F.array(*[F.struct(F.lit(p).alias("profile"), F.array(*[F.lit(w) for w in scoring.signal_weights(p).values()]).alias("w")) for p in scoring.SCORING_PROFILES])
-    c = signals.withColumn("p", F.explode(profiles)).select("*", "p.profile", F.get("p.w", F.col("pos")).alias("w"), F.get(kinds, F.col("pos")).alias("name")).drop("p")
+    weights = {p: F.array(*[F.lit(w) for w in scoring.signal_weights(p).values()]) for p in scoring.SCORING_PROFILES}
+    near = Window.partitionBy("candidate", "pos", F.col("value") > 0).orderBy(F.desc(F.abs("value")), "seq")
+    c = signals.select("candidate", "pos", "known", "value", scoring.confidence_rank(F.col("confidence")).alias("rank"), "source", "seq").repartition("candidate")
+    c = c.withColumn("k", F.row_number().over(near)).withColumn("name", F.get(kinds, F.col("pos")))
     is_ = lambda n: F.col("name") == n
-    best = Window.partitionBy("candidate", "profile").orderBy(F.desc(F.col("value") * F.col("w")), "pos", "seq")
-    top = c.where(F.col("value") * F.col("w") > 0).withColumn("k", F.row_number().over(best)).where(F.col("k") <= 5)  # cut before the shuffle, too
-    top = top.groupBy("candidate", "profile").agg(F.array_sort(F.collect_list(F.struct("k", "name"))).alias("top"))
-    g = c.groupBy("candidate", "profile").agg(
-        scoring.clamp(scoring.js_round(F.round(F.sum(F.col("value") * F.col("w")) / F.sum(F.abs("w")), 9)), 0, 100).cast("int").alias("score"), F.bool_or(~F.col("known")).alias("degraded"),
-        F.avg(scoring.confidence_rank(F.col("confidence"))).alias("rank"), F.collect_set("name").alias("kinds"), F.count_distinct("source").alias("sources"),
+    sums = [x for p, w in weights.items() for x in (F.sum(F.col("value") * F.get(w, F.col("pos"))).alias(f"x_{p}"), F.sum(F.abs(F.get(w, F.col("pos")))).alias(f"y_{p}"))]
+    g = c.groupBy("candidate").agg(
+        *sums, F.bool_or(~F.col("known")).alias("degraded"), F.avg("rank").alias("rank"), F.collect_set("name").alias("kinds"), F.min("source").alias("one_source"), F.max("source").alias("other_source"),
         F.bool_or(is_("unknown_metric_penalty") | is_("provider_metric") & ~F.col("known")).alias("no_metric"),
-        F.bool_or(is_("serp_weakness") & F.col("known") & (F.col("value") < 35)).alias("weak_serp"), F.coalesce(F.max(F.when(is_("faq_gap"), F.col("value"))), F.lit(-1.0)).alias("faq"))
-    g = g.join(top, ["candidate", "profile"], "left")
-    sure = scoring.confidence_band(F.col("rank"))
+        F.bool_or(is_("serp_weakness") & F.col("known") & (F.col("value") < 35)).alias("weak_serp"), F.coalesce(F.max(F.when(is_("faq_gap"), F.col("value"))), F.lit(-1.0)).alias("faq"),
+        F.collect_list(F.when((F.col("k") <= 5) & (F.col("value") != 0), F.struct("value", "pos", "seq"))).alias("near"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.col(f"x_{p}").alias("x"), F.col(f"y_{p}").alias("y"), w.alias("w")) for p, w in weights.items()]))
+    g = g.withColumn("p", each).select("*", "p.profile", "p.x", "p.y", "p.w").drop("p", *[f"{v}_{p}" for p in weights for v in "xy"])
+    helps = F.filter("near", lambda t: t["value"] * F.get("w", t["pos"]) > 0)
+    top = F.slice(F.array_sort(F.transform(helps, lambda t: F.struct((-(t["value"] * F.get("w", t["pos"]))).alias("minus"), t["pos"].alias("pos"), t["seq"].alias("seq")))), 1, 5)
+    sure, sources = scoring.confidence_band(F.col("rank")), F.when(F.col("one_source") < F.col("other_source"), 2).otherwise(1)
+    g = g.withColumn("score", scoring.clamp(scoring.js_round(F.round(F.col("x") / F.col("y"), 9)), 0, 100).cast("int"))
     return g.select(
         "candidate", "profile", "score", scoring.score_band(F.col("score")).alias("band"), "degraded", F.when(F.col("degraded"), scoring.downgrade(sure)).otherwise(sure).alias("confidence"),
-        F.coalesce(F.array_join(F.transform("top", lambda x: x["name"]), ","), F.lit("")).alias("rationale"), scoring.research_hints(F.col("kinds"), F.col("no_metric"), F.col("sources"), F.col("weak_serp")).alias("hints"),
+        F.array_join(F.transform(top, lambda t: F.get(kinds, t["pos"])), ",").alias("rationale"), scoring.research_hints(F.col("kinds"), F.col("no_metric"), sources, F.col("weak_serp")).alias("hints"),
         scoring.page_type(F.lit(None).cast("string"), F.col("faq"), F.lit(""), F.lit(False)).alias("page_type"))
