@@ -125,12 +125,17 @@ def natural_id(*parts: Column) -> Column:
 
 def bounded_headers(headers: Column, entries: int = 100, characters: int = 2000) -> Column:
     """A map of headers with lower-case names and cut values, the first entries only; of names that differ in case the first stays."""
-    names, values = F.transform(F.map_keys(headers), F.lower), F.transform(F.map_values(headers), lambda v: F.substring(v, 1, characters))
-    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  (f of a value that is computed once)
+    cut = lambda v: F.substring(v, 1, characters)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    once = F.aggregate(pairs, none, lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
-    alike = F.size(F.array_distinct(names)) < F.size(names)
-    return F.when(alike, F.map_from_entries(F.slice(F.map_entries(once), 1, entries))).otherwise(F.map_from_arrays(F.slice(names, 1, entries), F.slice(values, 1, entries)))
+
+    def bounded(h: Column) -> Column:
+        first = F.aggregate(F.arrays_zip(h["names"], h["values"]), none, lambda m, e: F.when(F.map_contains_key(m, e["names"]), m).otherwise(F.map_concat(m, F.create_map(e["names"], e["values"]))))
+        alike = F.size(F.array_distinct(h["names"])) < F.size(h["names"])
+        apart = F.map_from_arrays(F.slice(h["names"], 1, entries), F.transform(F.slice(h["values"], 1, entries), cut))
+        return F.when(alike, F.transform_values(F.map_from_entries(F.slice(F.map_entries(first), 1, entries)), lambda _, v: cut(v))).otherwise(apart)
+
+    return once(headers, lambda m: once(F.struct(F.transform(F.map_keys(m), F.lower).alias("names"), F.map_values(m).alias("values")), bounded))
 
 
 def word_windows(c: Column, longest: int, overlap: int) -> Column:

@@ -540,11 +540,12 @@ def st1_queue_consumers(spark, d):
 @query("""SELECT event_id, 100 AS entries, 'x-props' AS first_name, 2000 AS first_length, 'h-99=' || event_type AS last, sha256(substr(repeat(coalesce(props, 'none') || '|', 1000), 1, 2000)) AS first_hash FROM events""")
 def p25_header_bounds(spark, d):
     """121 headers, the first with a long value: names in lower case, values cut to 2,000 characters, the first 100 kept."""
-    many = F.transform(F.sequence(F.lit(1), F.lit(120)), lambda i: F.struct(F.concat(F.lit("H-"), i.cast("string")).alias("key"), F.col("event_type").alias("value")))
-    first = F.array(F.struct(F.lit("X-Props").alias("key"), F.repeat(F.concat(F.coalesce("props", F.lit("none")), F.lit("|")), F.lit(1000)).alias("value")))
-    bounded = read(spark, d, "events", "event_id", "event_type", "props").select("event_id", t.bounded_headers(F.map_from_entries(F.concat(first, many))).alias("h"))
-    entry = F.map_entries("h")
-    return bounded.select("event_id", F.size("h").alias("entries"), entry[0]["key"].alias("first_name"), F.length(entry[0]["value"]).alias("first_length"), F.concat_ws("=", entry[99]["key"], entry[99]["value"]).alias("last"), F.sha2(entry[0]["value"], 256).alias("first_hash"))
+    names = F.array(F.lit("X-Props"), *[F.lit(f"H-{i}") for i in range(1, 121)])
+    first = F.repeat(F.concat(F.coalesce("props", F.lit("none")), F.lit("|")), F.lit(1000))
+    headers = F.map_from_arrays(names, F.concat(F.array(first), F.array_repeat("event_type", 120)))
+    bounded = read(spark, d, "events", "event_id", "event_type", "props").select("event_id", t.bounded_headers(headers).alias("h"))
+    bounded, entry = bounded.select("event_id", F.map_entries("h").alias("e")), F.col("e")
+    return bounded.select("event_id", F.size("e").alias("entries"), entry[0]["key"].alias("first_name"), F.length(entry[0]["value"]).alias("first_length"), F.concat_ws("=", entry[99]["key"], entry[99]["value"]).alias("last"), F.sha2(entry[0]["value"], 256).alias("first_hash"))
 
 
 @query("SELECT entry_id FROM " + rq.FRONTIER + " WHERE crawl_status IN ('scheduled', 'succeeded') AND next_crawl_at <= TIMESTAMP '1997-01-01' ORDER BY next_crawl_at, priority DESC, entry_id LIMIT 40")
