@@ -91,15 +91,16 @@ def d8_trust_chain(spark, d):
     """Source trust by kind, evidence strength by subject, confidence of each fact from both, and the score of the entity."""
     li = read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linestatus", "l_discount")
     kind = s.lookup(KIND_OF, (F.col("l_suppkey") % 5).cast("int"))
-    f = li.withColumn("trust", s.source_trust(kind, F.lit(False), F.lit(0)))
-    e = f.groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("c"), F.count_distinct("l_suppkey").alias("n"), F.round(F.avg("trust"), 9).alias("t"), (F.count_distinct("l_linestatus") > 1).alias("conflict"))
-    e = e.select("l_partkey", s.evidence_strength(F.col("c"), F.col("c"), F.col("n"), F.col("t"), F.col("conflict")).alias("evidence"))
+    by = Window.partitionBy("l_partkey")  # the one shuffle: all that follows is by entity
+    nth = lambda c: F.when(F.col(c).isNotNull(), F.dense_rank().over(by.orderBy(F.asc_nulls_last(c))))  # noqa: E731  (the last one is the number of distinct values)
+    f = li.where("l_partkey is not null").withColumn("trust", s.source_trust(kind, F.lit(False), F.lit(0))).withColumn("o", nth("l_orderkey")).withColumn("s", nth("l_suppkey"))
+    f = f.select("l_partkey", "l_discount", "trust", F.coalesce(F.max("o").over(by), F.lit(0)).alias("o"), F.coalesce(F.max("s").over(by), F.lit(0)).alias("s"), F.count(F.lit(1)).over(by).alias("n"),
+                 F.round(F.avg("trust").over(by), 9).alias("t"), F.coalesce(F.min("l_linestatus").over(by) < F.max("l_linestatus").over(by), F.lit(False)).alias("conflict"))
+    f = f.withColumn("evidence", s.evidence_strength(F.col("o"), F.col("o"), F.col("s"), F.col("t"), F.col("conflict")))
     sure = F.round(F.col("l_discount") * 10 * 0.3 + F.col("l_discount") * 10 * 0.25 + F.col("evidence") * 0.3 + F.col("trust") * 0.15, 9)
-    scored = f.join(e, "l_partkey").withColumn("confidence", s.clamp4(sure))
-    g = scored.groupBy("l_partkey").agg(F.first("evidence").alias("evidence"), F.round(F.avg("confidence"), 9).alias("c"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("o"), F.count_distinct("l_suppkey").alias("s"),
-                                        F.round(F.avg("trust"), 9).alias("trust"))
-    score = s.entity_score(F.col("c"), F.lit(None).cast("double"), F.col("n"), F.col("o"), F.col("s"), F.col("trust"))
-    return g.select(F.col("l_partkey").alias("entity"), "evidence", F.round("c", 6).alias("fact_confidence"), score.alias("entity_score"))
+    g = f.withColumn("confidence", s.clamp4(sure)).groupBy("l_partkey").agg(F.round(F.avg("confidence"), 9).alias("c"), *[F.first(x).alias(x) for x in ("evidence", "n", "o", "s", "t")])
+    score = s.entity_score(F.col("c"), F.lit(None).cast("double"), F.col("n"), F.col("o"), F.col("s"), F.col("t"))
+    return g.select(F.col("l_partkey").alias("entity"), "evidence", (F.floor(F.col("c") * 1e6 + 0.5) / 1e6).alias("fact_confidence"), score.alias("entity_score"))
 
 
 @query("""SELECT v.alias, v.key, count(d.doc_id) AS documents FROM (VALUES ('price', 'has_price'), ('cost', 'has_price'), ('available in', 'available_in_location'), ('applies to', 'available_in_location'), ('requires', 'has_requirement'), ('eligible for', 'has_requirement'),

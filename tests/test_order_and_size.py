@@ -1,9 +1,16 @@
 """Results that must not depend on how a table lies in files and tasks, and steps that must stay small on large tables."""
 
+import re
+from collections import Counter
+
 import duckdb
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from tessera.operators import packs
+from tessera.functions import scoring, text
+from tessera.operators import packs, relational
 from tessera.plans import catalog
+from tessera.streaming import leases
 
 
 def test_opportunity_score_adds_in_the_order_of_the_table(spark, tmp_path):
@@ -31,3 +38,66 @@ def test_mean_confidence_does_not_depend_on_the_order_of_facts(spark):
     aliases, ontology = spark.createDataFrame([(1, None)], "subject int, language string"), spark.createDataFrame([("R",)], "predicate string")
     row = packs.knowledge_summary(asked, found, facts.coalesce(1), aliases, ontology).selectExpr("round(average, 6) AS a", "fact_count").first()
     assert tuple(row) == (0.724688, 32)
+
+
+def test_leases_call_the_state_once_for_a_key_and_batch(spark):
+    calls, kept = Counter(), {}
+
+    class Held:
+        exists = staticmethod(lambda: "v" in kept)
+        get = staticmethod(lambda: calls.update(["get"]) or kept["v"])
+        update = staticmethod(lambda v: calls.update(["update"]) or kept.update(v=v))
+        clear = staticmethod(lambda: calls.update(["clear"]) or kept.pop("v", None))
+
+    class Handle:
+        getValueState = staticmethod(lambda *_: Held)  # noqa: N815
+        registerTimer = staticmethod(lambda t: calls.update([("timer", t)]))  # noqa: N815
+        deleteTimer = staticmethod(lambda t: calls.update([("gone", t)]))  # noqa: N815
+        listTimers = staticmethod(lambda: calls.update(["list"]) or iter([]))  # noqa: N815
+
+    pool = leases.lease_pool("entry", 100)
+    pool.init(Handle)
+    rows = [Row(at_ms=10 * i, id=i, kind="ack" if i % 3 == 2 else "request") for i in range(101)]
+    got = list(pool.handleInputRows((1,), iter(rows), None))
+    assert len(got) == 101 and Counter(r["outcome"] for r in got) == {"leased": 34, "busy": 34, "completed": 33} and kept == {"v": (99, 1090)}
+    assert calls == {"update": 1, ("timer", 1090): 1}
+    calls.clear()
+    assert [tuple(r) for r in pool.handleInputRows((1,), iter([Row(at_ms=2000, id=200, kind="request")]), None)] == [(1, 99, "expired", 1090), (1, 200, "leased", 2000)]
+    assert calls == {"get": 1, ("gone", 1090): 1, "update": 1, ("timer", 2100): 1}
+    assert [r["outcome"] for r in pool.handleInputRows((1,), iter([Row(at_ms=2050, id=201, kind="ack")]), None)] == ["completed"] and not kept
+
+
+def exchanges(df) -> int:
+    return len(re.findall(r"[+:]- Exchange |^Exchange ", df._jdf.queryExecution().executedPlan().toString(), re.M))
+
+
+def test_candidates_are_dealt_once_and_not_copied_before(spark):
+    rows = [(k % 3, k % 13, k % 5 > 0, float(k * 7 % 41 - 9), ["high", "medium", "low"][k % 3], k % 4, k) for k in range(400)]
+    signals = spark.createDataFrame(rows, "candidate long, pos int, known boolean, value double, confidence string, source long, seq int")
+    df = relational.score_candidates(signals)
+    assert exchanges(df) == 1
+    got = {(r["candidate"], r["profile"]): r["rationale"] for r in df.collect()}
+    for (candidate, profile), names in got.items():
+        w = list(scoring.signal_weights(profile).values())
+        mine = sorted((-v * w[pos], pos, seq) for c, pos, _, v, _, _, seq in rows if c == candidate and v * w[pos] > 0)
+        assert names == ",".join(list(scoring.SCORING_SIGNALS)[pos] for _, pos, _ in mine[:5])
+    assert len(got) == 3 * len(scoring.SCORING_PROFILES)
+
+
+def test_trust_chain_is_dealt_once(spark, sf):
+    assert exchanges(catalog.QUERIES["d8_trust_chain"](spark, sf)) == 1
+
+
+def test_headers_are_computed_once(spark):
+    h = text.bounded_headers(F.map_from_entries(F.array(F.struct(F.lit("A").alias("key"), F.col("v").alias("value")))))
+    df = spark.createDataFrame([("x" * 3000,)], "v string").select(h.alias("h"))
+    assert df._jdf.queryExecution().analyzed().toString().count("map_from_entries(array(struct(key, A") == 1
+    assert {k: len(v) for k, v in df.first()["h"].items()} == {"a": 2000}
+
+
+def test_halves_of_the_sixth_digit_are_rounded_as_in_sql(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW lineitem AS SELECT * FROM '/root/testdata/sf0.1/lineitem.parquet' WHERE l_partkey = 17456")
+    duck.sql(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    row = catalog.QUERIES["d8_trust_chain"](spark, str(tmp_path)).select("entity", "evidence", "fact_confidence", "entity_score").first()
+    assert [tuple(row)] == duck.sql(catalog.ORACLES["d8_trust_chain"]).fetchall()
