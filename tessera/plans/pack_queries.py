@@ -134,4 +134,4 @@ def d12_knowledge_summary(spark, d):
     suppliers = read(spark, d, "supplier", "s_suppkey").select((F.col("s_suppkey") % 10).alias("subject")).distinct().where("subject < 3").withColumn("language", F.lit(None).cast("string"))
     ontology = read(spark, d, "lineitem", "l_returnflag").select(F.col("l_returnflag").alias("predicate")).where("predicate = 'R'").distinct()
     return packs.knowledge_summary(requests(spark, d), found, rows, suppliers, ontology).select(
-        "pack", "level", "fact_count", "source_count", F.round("average", 6).alias("average"), "alias_count", F.array_join("gaps", ",").alias("gaps"))
+        "pack", "level", "fact_count", "source_count", (F.floor(F.col("average") * 1e6 + 0.5) / 1e6).alias("average"), "alias_count", F.array_join("gaps", ",").alias("gaps"))
