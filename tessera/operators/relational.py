@@ -152,33 +152,33 @@ def sessions(df: DataFrame, key: str, at: Column, gap_seconds: int) -> DataFrame
 GRAM = 3
 
 
-def contained(texts: DataFrame, terms: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct pairs of texts(a) and terms(b) in which the term occurs in the text, as equi-joins.
+def contained(texts: DataFrame, terms: DataFrame, a: str, b: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct pairs of texts(a) and terms(b) in which the term occurs in the text, as equi-joins; with `carry`, a pair for every
+    row of texts, which keeps these columns.
 
     Texts are filed by their distinct character grams, of three characters or of as many as shorter terms have. A term is
     looked up by one gram only, the one that the fewest texts hold, and not at all if some gram of it occurs nowhere; what
     is found is then compared. Texts travel as hashes until that comparison. Work grows with the length of the texts.
     """
-    chars = lambda df, c: df.withColumn("__c", F.split(c, ""))
-    t = chars(terms.select(b).where(F.length(b) > 0).distinct(), b)
-    sizes = [r["n"] for r in t.select(F.least(F.size("__c"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # three at most
+    t = terms.select(b).where(F.length(b) > 0).distinct()
+    size = F.least(F.length(b), F.lit(GRAM))
+    sizes = [r["n"] for r in t.select(size.alias("n")).distinct().orderBy("n").collect()]  # three at most
     if not sizes:
-        return texts.select(a).join(terms.select(b), F.lit(False))
-
-    def of(n: int) -> Column:
-        gram = lambda i: F.concat(*[F.get("__c", i + k) for k in range(n)])
-        return F.when(F.size("__c") >= n, F.transform(F.sequence(F.lit(0), F.size("__c") - n), gram)).otherwise(F.array().cast("array<string>"))
-
-    docs = texts.select(a).where(F.col(a).isNotNull()).distinct()
-    named = docs.select(a, F.xxhash64(a).alias("__h"), F.xxhash64(F.lit(1), a).alias("__g"))
-    filed = chars(named, a).select("__h", "__g", F.explode(F.array_distinct(F.concat(*[of(n) for n in sizes]))).alias("__gram"))
-    own = [F.when(F.least(F.size("__c"), F.lit(GRAM)) == n, of(n)) for n in sizes]
-    grams = staged(t.select(b, F.explode(F.array_distinct(F.coalesce(*own))).alias("__gram")))
+        return texts.select(a, *carry).join(terms.select(b), F.lit(False))
+    # all grams by one look ahead of each position; one that begins within a pair of surrogates is found alike in texts and terms
+    of = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+    rows = texts.select(a, *carry).where(F.col(a).isNotNull())
+    named = (rows if carry else rows.distinct()).select("*", F.xxhash64(a).alias("__h"), F.xxhash64(F.lit(1), a).alias("__g"))
+    filed = named.select("__h", "__g", F.explode(F.array_distinct(F.concat(*[of(F.col(a), n) for n in sizes]))).alias("__gram"))
+    own = F.coalesce(*[F.when(size == n, of(F.col(b), n)) for n in sizes])
+    grams = staged(t.select(b, F.explode(F.array_distinct(own)).alias("__gram")))
     often = filed.join(grams.select(F.col("__gram").alias("__t")).distinct(), F.col("__gram") == F.col("__t"), "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
     probes = grams.join(often, "__gram", "left").groupBy(b).agg(F.min(F.struct("__n", "__gram")).alias("__rarest"), F.count_if(F.col("__n").isNull()).alias("__unseen"))
     probes = staged(probes.where("__unseen = 0").select(b, F.col("__rarest.__gram").alias("__gram")))
     found = filed.join(probes, "__gram").select("__h", "__g", b)
-    return found.join(named, ["__h", "__g"]).where(F.contains(F.col(a), F.col(b))).select(a, b)
+    found = found.distinct() if carry else found  # copies of a text name it again
+    return found.join(named, ["__h", "__g"]).where(F.contains(F.col(a), F.col(b))).select(a, b, *carry)
 
 
 def contains_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

@@ -306,11 +306,9 @@ def j13_containment_join(spark, d):
 @query("SELECT doc_id, item_id FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN (SELECT item_id, lower(text) AS p FROM benchmark WHERE text <> '') ON contains(t, p)")
 def j13_phrases_in_documents(spark, d):
     """Whole benchmark texts within whole documents."""
-    docs = read(spark, d, "documents", "doc_id", "text").withColumn("a", F.lower("text"))
-    items = read(spark, d, "benchmark", "item_id", "text").withColumn("b", F.lower("text"))
-    pairs = r.contained(docs, items, "a", "b").select(F.xxhash64("a").alias("h"), F.col("a").alias("ta"), F.col("b").alias("tb"))
-    texts = docs.select("doc_id", "a", F.xxhash64("a").alias("ha"))  # texts are met by hash, then compared
-    return pairs.join(texts, (F.col("h") == F.col("ha")) & (F.col("ta") == F.col("a"))).join(items, F.col("tb") == F.col("b")).select("doc_id", "item_id")
+    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("a"))
+    items = read(spark, d, "benchmark", "item_id", "text").select("item_id", F.lower("text").alias("b"))
+    return r.contained(docs, items, "a", "b", ("doc_id",)).join(items, "b").select("doc_id", "item_id")
 
 
 @query("SELECT DISTINCT lower(p_type) AS a, EXISTS (SELECT 1 FROM region WHERE contains(lower(p.p_type), lower(substr(r_name, 1, 2)))) AS geo FROM part p")

@@ -108,9 +108,8 @@ def d8_trust_chain(spark, d):
 def s12_registry_use(spark, d):
     """The seeded predicates, and in how many documents each alias occurs; two words of the corpus join them here."""
     registry = ports.seed_registry(spark).select("alias", "key").unionByName(spark.createDataFrame([("the", "none"), ("tion", "none")], "alias string, key string"))
-    docs = read(spark, d, "documents", "doc_id", "text").select(F.lower("text").alias("a"))
-    times = docs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    hits = r.contained(docs, registry, "a", "alias").join(times, "a").groupBy("alias").agg(F.sum("n").alias("documents"))
+    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("a"))
+    hits = r.contained(docs, registry, "a", "alias", ("doc_id",)).groupBy("alias").agg(F.count("doc_id").alias("documents"))
     return registry.join(hits, "alias", "left").select("alias", "key", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
 
 

@@ -101,3 +101,13 @@ def test_halves_of_the_sixth_digit_are_rounded_as_in_sql(spark, tmp_path):
     duck.sql(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     row = catalog.QUERIES["d8_trust_chain"](spark, str(tmp_path)).select("entity", "evidence", "fact_confidence", "entity_score").first()
     assert [tuple(row)] == duck.sql(catalog.ORACLES["d8_trust_chain"]).fetchall()
+
+
+def test_contained_names_every_row_and_reads_grams_at_once(spark):
+    rows = [(1, "a 🙂b c"), (2, "a 🙂b c"), (3, "xyz\n🙂"), (4, None), (None, "xyz"), (5, "\n🙂\n")] + [(k, "hot text") for k in range(10, 40)]
+    terms = ["🙂b", "🙂", "xyz", "z\n🙂", "t t", "none", "\n", ""]
+    a, b = spark.createDataFrame(rows, "id long, a string"), spark.createDataFrame([(t,) for t in terms], "b string")
+    got = relational.contained(a, b, "a", "b", ("id",))
+    assert sorted(map(repr, map(tuple, got.select("id", "b").collect()))) == sorted(repr((i, t)) for i, x in rows for t in terms if x and t and t in x)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan and "lambda" not in plan
