@@ -36,10 +36,10 @@ def chunks(documents: DataFrame, embeddings: DataFrame, config: dict) -> DataFra
     owned = d.join(owners, ["doc_id", "content_hash"]).join(embedded, "doc_id", "left")
     cut = owned.withColumn("chunks", text.word_windows(F.col("text"), *scoring.CHUNK_PROFILES[config["profile"]])).drop("text")
     each = cut.select("*", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "text")).drop("chunks")
-    tokens = text.token_count(F.col("text"))
+    tokens = F.size(F.split("text", " "))  # windows are words joined by single spaces
     status = F.when(tokens < config["min_tokens"], "skipped").when(F.col("has_vector"), "embedded").otherwise("pending")
     return each.select("lang", "doc_id", "chunk_index", "total_chunks", tokens.alias("token_count"), "documents", "content_hash",
-                       text.stable_hash(text.normalize_chunk(F.col("text"))).alias("chunk_hash"), status.alias("status"), "text")
+                       text.stable_hash(F.lower("text")).alias("chunk_hash"), status.alias("status"), "text")
 
 
 def run(spark: SparkSession, documents: str, embeddings: str, output: str, config: dict = DEFAULTS) -> DataFrame:

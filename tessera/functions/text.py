@@ -140,8 +140,12 @@ def bounded_headers(headers: Column, entries: int = 100, characters: int = 2000)
 
 def word_windows(c: Column, longest: int, overlap: int) -> Column:
     """Word windows of `longest`, stepping by max(1, longest - overlap), ending with the first that reaches the end."""
-    words = F.filter(F.split(collapse(c), " "), lambda w: w != "")
     step = max(1, longest - overlap)
-    last = F.greatest(F.lit(0), F.ceil((F.size(words) - longest) / F.lit(float(step))).cast("int"))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, longest), " "))).otherwise(
-        F.array().cast("array<string>"))
+
+    def cut(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - longest) / F.lit(float(step))).cast("int"))
+        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, longest), " "))
+        return F.when(F.size(words) > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    words = F.filter(F.split(collapse(c), " "), lambda w: w != "")
+    return F.get(F.transform(F.array(words), cut), F.lit(0))  # the words are found once, not again for each window
