@@ -226,7 +226,9 @@ def d4_embedding_batches(spark, d):
     docs = read(spark, d, "documents", "doc_id", "text").withColumn("ok", t.token_count(F.col("text")) >= 60)
     flaky = udfs.embedding_outcomes(32, refuses=lambda k: k % 7 == 3, breaks=lambda k: k % 7 == 5)  # stands for a remote provider
     got = docs.withColumn("e", F.when(F.col("ok"), flaky("doc_id", "text")))
-    return got.select("doc_id", F.coalesce("e.status", F.lit("skipped")).alias("status"), F.coalesce(F.size("e.vector"), F.lit(0)).alias("d")).select("doc_id", "status", F.greatest("d", F.lit(0)).alias("dims"))
+    out = got.select("doc_id", F.coalesce("e.status", F.lit("skipped")).alias("status"), F.coalesce(F.size("e.vector"), F.lit(0)).alias("d")).select("doc_id", "status", F.greatest("d", F.lit(0)).alias("dims"))
+    with sinks.arrow_batches(spark, 256):  # whole texts: what Python holds at once is a few hundred of them, whatever the table
+        return sinks.staged(out)
 
 
 @query(rq.ORACLES["j12_ngram_mentions"])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tessera.operators.relational import replace_partitions, upsert
-from tessera.sources.shared import shared_folder, staged
+from tessera.sources.shared import arrow_batches, shared_folder, staged
 
-__all__ = ["append", "replace_by_key", "shared_folder", "staged", "upsert_swap"]
+__all__ = ["append", "arrow_batches", "replace_by_key", "shared_folder", "staged", "upsert_swap"]
 
 
 def append(df: DataFrame, path: str) -> None:

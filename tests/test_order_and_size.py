@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import duckdb
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from tessera.functions import scoring, text
 from tessera.operators import packs, relational
@@ -111,3 +113,20 @@ def test_contained_names_every_row_and_reads_grams_at_once(spark):
     assert sorted(map(repr, map(tuple, got.select("id", "b").collect()))) == sorted(repr((i, t)) for i, x in rows for t in terms if x and t and t in x)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" in plan and "lambda" not in plan
+
+
+def test_windows_find_their_words_once(spark):
+    df = spark.createDataFrame([("1 2  3 4 5 6",), (" ",), (None,)], "a string").select(text.word_windows(F.col("a"), 3, 1).alias("w"))
+    assert [r["w"] for r in df.collect()] == [["1 2 3", "3 4 5", "5 6"], [], []]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+
+
+def test_embedding_batches_are_small(spark, monkeypatch):
+    def sizes(*_, **__):
+        return F.pandas_udf(lambda k, x: pd.DataFrame({"status": [str(len(k))] * len(k), "vector": [[0.0]] * len(k)}), "status string, vector array<float>", functionType=PandasUDFType.SCALAR)
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr("tessera.operators.udfs.embedding_outcomes", sizes)
+    got = {r["status"] for r in catalog.QUERIES["d4_embedding_batches"](spark, "/root/testdata/sf0.01").collect()} - {"skipped"}
+    assert got and max(map(int, got)) <= 256 and spark.conf.get(name) == before
